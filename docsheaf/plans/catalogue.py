@@ -1,0 +1,4 @@
+"""The registered queries and, where SQL can express them, their DuckDB twins."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
