@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, packing, secret_scan, url_filter
+from . import media, packing, pii, quality_rules, secret_scan, url_filter
 from .common import read
 
 
@@ -38,5 +38,18 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing)}
+def op7_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op8_pii(spark, sf_dir):
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS) - 1)
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op7_quality_rules, op8_pii)}
 ORACLE_SQL: dict[str, str] = {}
