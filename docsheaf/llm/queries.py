@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, packing, pii, quality_rules, secret_scan, url_filter
+from . import media, near_dup, packing, pii, quality_rules, secret_scan, url_filter
 from .common import read
 
 
@@ -51,5 +51,9 @@ def op8_pii(spark, sf_dir):
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op7_quality_rules, op8_pii)}
+def op10_near_dup(spark, sf_dir):
+    return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op7_quality_rules, op8_pii, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
