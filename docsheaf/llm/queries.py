@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, near_dup, packing, pii, quality_rules, secret_scan, url_filter
+from . import lang_id, media, near_dup, packing, pii, quality_rules, secret_scan, sp_codec, url_filter
 from .common import read
 
 
@@ -38,6 +38,12 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def op6_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, lang_id.train(docs))
+    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), F.round("text_posterior", 6).alias("text_posterior"), "declared_language", "kept")
+
+
 def op7_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rules = quality_rules.train(docs, read(spark, sf_dir, "labels"))
@@ -51,9 +57,15 @@ def op8_pii(spark, sf_dir):
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    import public_tokenizers as public
+
+    return sp_codec.encode_column(read(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"), keep_ids=False).drop("parity")
+
+
 def op10_near_dup(spark, sf_dir):
     return near_dup.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op7_quality_rules, op8_pii, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op6_language_id, op7_quality_rules, op8_pii, op9_sentencepiece, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
