@@ -9,8 +9,9 @@ pseudo-count. All three come from grouped aggregation of the text posteriors ove
 posterior is the normalised product.
 
 A row is rejected if its text has fewer than ``least_letters`` letters, if the best posterior
-is under ``least_posterior``, or if its n-grams are too unlike the best language's own (mean
-log-likelihood under the floor fitted for that language on the sample).
+is under ``least_posterior``, or if its n-grams are too unlike the best language's own: their
+mean log-likelihood is under the language's own mean by ``floor_drop`` nats and ``floor_spreads``
+standard errors.
 
 Defined results: null text counts as empty and is rejected with the prior's language; a null
 declared language, host or suffix is its own category. If no language has sample rows, every
@@ -30,12 +31,15 @@ from .common import id_type, map_batches, table
 
 BUCKETS, MAX_SAMPLE, MAX_LANGUAGES = 1 << 15, 20_000, 64
 TEMPER, MOST_NATS, HOST_WEIGHT, SUFFIX_WEIGHT = 0.1, 30.0, 20.0, 50.0
-LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS = 2, 0.5, 8.0
+LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS, FLOOR_DROP = 2, 0.5, 8.0, 3.5
+
+
+_SPACED = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 
 
 def ngrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed byte trigrams of the lower-cased text, a space at either end."""
-    x = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    """Hashed byte trigrams of the lower-cased text; ASCII other than letters reads as space."""
+    x = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass").translate(_SPACED), np.uint8).astype(np.uint32)
     if len(x) < 3:
         return np.zeros(0, np.int64)
     code = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
@@ -108,7 +112,7 @@ def _softmax(scores: Column) -> Column:
 
 
 def identify(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id", declared: str | None = "lang", host: str | None = "source", temper: float = TEMPER, most_nats: float = MOST_NATS,
-             least_posterior: float = LEAST_POSTERIOR, least_letters: int = LEAST_LETTERS, floor_spreads: float = FLOOR_SPREADS, extra: tuple = ()) -> DataFrame:
+             least_posterior: float = LEAST_POSTERIOR, least_letters: int = LEAST_LETTERS, floor_spreads: float = FLOOR_SPREADS, floor_drop: float = FLOOR_DROP, extra: tuple = ()) -> DataFrame:
     """(key, *extra, language, posterior, text_posterior, declared_language, kept)."""
     names = model["names"]
     own = df.select(F.col(key), *[F.col(c) for c in extra], F.col(text).alias("__text"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("__declared"), (F.col(host) if host else F.lit(None)).cast("string").alias("__host"))
@@ -146,8 +150,8 @@ def identify(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id"
     floors = F.array(*[F.lit(float(m)) for m in model["floor"]])
     spreads = F.array(*[F.lit(float(s)) for s in model["margin"]])
     mean = F.get("__ll", F.col("__i")) / F.greatest("__n", F.lit(1))
-    # the mean of n draws scatters by spread / sqrt(n); real texts scatter more, hence the second term
-    near = mean >= F.get(floors, F.col("__i")) - F.get(spreads, F.col("__i")) * (F.lit(floor_spreads) / F.sqrt(F.greatest("__n", F.lit(1)).cast("double")) + 0.75)
+    # the mean of n draws scatters by spread / sqrt(n); real texts (names, loans) lie lower still
+    near = mean >= F.get(floors, F.col("__i")) - floor_drop - F.get(spreads, F.col("__i")) * floor_spreads / F.sqrt(F.greatest("__n", F.lit(1)).cast("double"))
     return out.select(
         key, *extra, F.get(F.array(*[F.lit(x) for x in names]), F.col("__i")).alias("language"), F.array_max("__p").alias("posterior"),
         F.coalesce(F.get("__post", F.col("__i")), F.lit(0.0)).alias("text_posterior"), F.col("__declared").alias("declared_language"),

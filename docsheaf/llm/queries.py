@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lang_id, media, near_dup, packing, pii, quality_rules, secret_scan, sp_codec, url_filter
+from . import lang_id, media, near_dup, packing, pii, quality_rules, secret_scan, sp_codec, toxicity, url_filter
 from .common import read
 
 
@@ -32,6 +32,15 @@ def op3_secret_scan(spark, sf_dir):
     )
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["last"])), ",").alias("offsets"),
+    )
+
+
 def op5_packing(spark, sf_dir):
     import public_tokenizers as public
 
@@ -67,5 +76,5 @@ def op10_near_dup(spark, sf_dir):
     return near_dup.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op5_packing, op6_language_id, op7_quality_rules, op8_pii, op9_sentencepiece, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_secret_scan, op4_toxicity, op5_packing, op6_language_id, op7_quality_rules, op8_pii, op9_sentencepiece, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
