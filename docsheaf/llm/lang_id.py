@@ -112,16 +112,21 @@ def _softmax(scores: Column) -> Column:
 
 
 def identify(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id", declared: str | None = "lang", host: str | None = "source", temper: float = TEMPER, most_nats: float = MOST_NATS,
-             least_posterior: float = LEAST_POSTERIOR, least_letters: int = LEAST_LETTERS, floor_spreads: float = FLOOR_SPREADS, floor_drop: float = FLOOR_DROP, extra: tuple = ()) -> DataFrame:
-    """(key, *extra, language, posterior, text_posterior, declared_language, kept)."""
+             least_posterior: float = LEAST_POSTERIOR, least_letters: int = LEAST_LETTERS, floor_spreads: float = FLOOR_SPREADS, floor_drop: float = FLOOR_DROP, extra: tuple = (), prefix: str = "") -> DataFrame:
+    """(key, *extra, language, posterior, text_posterior, declared_language, kept); ``extra``
+    columns are carried along, ``prefix`` keeps the new names apart from them."""
     names = model["names"]
-    own = df.select(F.col(key), *[F.col(c) for c in extra], F.col(text).alias("__text"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("__declared"), (F.col(host) if host else F.lit(None)).cast("string").alias("__host"))
+    extra = tuple(c for c in dict.fromkeys(extra) if c != key)
+    source = text if text in (key, *extra) else "__text"
+    own = df.select(F.col(key), *[F.col(c) for c in extra], *([F.col(text).alias("__text")] if source == "__text" else []), (F.col(declared) if declared else F.lit(None)).cast("string").alias("__declared"), (F.col(host) if host else F.lit(None)).cast("string").alias("__host"))
     own = own.withColumn("__suffix", F.regexp_extract(F.coalesce("__host", F.lit("")), r"\.([A-Za-z]{2,})$", 1))
+    outputs = [prefix + c for c in ("language", "posterior", "text_posterior", "declared_language", "kept")]
+    named = lambda *columns: [c.alias(n) for c, n in zip(columns, outputs)]
     if not names:
-        return own.select(key, *extra, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("text_posterior"), F.col("__declared").alias("declared_language"), F.lit(False).alias("kept"))
+        return own.select(key, *extra, *named(F.lit(None).cast("string"), F.lit(0.0), F.lit(0.0), F.col("__declared"), F.lit(False)))
     n = len(names)
     zero = F.array(*[F.lit(0.0)] * n)
-    scored = _texts(own, model, "__text", key, [key, *extra, "__declared", "__host", "__suffix"])
+    scored = _texts(own, model, source, key, [key, *extra, "__declared", "__host", "__suffix"])
     # tempered, and capped so that text alone cannot silence all other evidence
     low = F.array_max("__ll")
     likelihood = F.transform("__ll", lambda x: F.greatest(F.lit(-most_nats), F.lit(temper) * (x - low)))
@@ -152,8 +157,7 @@ def identify(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id"
     mean = F.get("__ll", F.col("__i")) / F.greatest("__n", F.lit(1))
     # the mean of n draws scatters by spread / sqrt(n); real texts (names, loans) lie lower still
     near = mean >= F.get(floors, F.col("__i")) - floor_drop - F.get(spreads, F.col("__i")) * floor_spreads / F.sqrt(F.greatest("__n", F.lit(1)).cast("double"))
-    return out.select(
-        key, *extra, F.get(F.array(*[F.lit(x) for x in names]), F.col("__i")).alias("language"), F.array_max("__p").alias("posterior"),
-        F.coalesce(F.get("__post", F.col("__i")), F.lit(0.0)).alias("text_posterior"), F.col("__declared").alias("declared_language"),
-        ((F.col("__letters") >= least_letters) & (F.array_max("__p") >= least_posterior) & near).alias("kept"),
-    )
+    return out.select(key, *extra, *named(
+        F.get(F.array(*[F.lit(x) for x in names]), F.col("__i")), F.array_max("__p"), F.coalesce(F.get("__post", F.col("__i")), F.lit(0.0)), F.col("__declared"),
+        (F.col("__letters") >= least_letters) & (F.array_max("__p") >= least_posterior) & near,
+    ))

@@ -282,8 +282,8 @@ def _word_rows(df: DataFrame, text: str) -> DataFrame:
     return map_batches(df, ["node", text], schema, make)
 
 
-def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(key, class_id, class_rows) of every row."""
+def _labelled(df: DataFrame, text: str, key: str, block: int) -> DataFrame:
+    """(key, text_key, class) of every row, written to the shared folder."""
     base = table(_sketched(df, text, key))
     nodes = base.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("text_key", key)).alias("pick"))
     held = base.select("node", F.explode("sketch").alias("bucket")).distinct()
@@ -296,9 +296,26 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     rows = _units(members, block).join(_word_rows(texts.select("node", text), text), "node")
     links = table(_linked(rows.repartition("unit").sortWithinPartitions("unit", "node")))
     found = components(links, "a", "b")
-    labelled = base.select(key, "node").join(found, "node", "left").select(key, F.coalesce("root", "node").alias("class"))
-    labelled = table(labelled)
+    return table(base.select(key, "text_key", "node").join(found, "node", "left").select(key, "text_key", F.coalesce("root", "node").alias("class")))
+
+
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """(key, class_id, class_rows) of every row."""
+    labelled = _labelled(df, text, key, block)
     several = labelled.groupBy("class").agg(F.min(key).alias("class_id"), F.count("*").alias("class_rows")).where("class_rows > 1")
     return labelled.join(several, "class", "left").select(
         key, F.when(F.col("class_rows").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")
     )
+
+
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """The rows of ``df``, all columns, that stay: of each class the one with the least key. Of
+    rows that agree in key and text one stays."""
+    labelled = _labelled(df, text, key, block)
+    picks = labelled.groupBy("class").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_key").alias("t"))).alias("p"), F.count("*").alias("c")).where("c > 1").select("class", F.col("p.k").alias("__k"), F.col("p.t").alias("__t"))
+    gone = labelled.join(picks, "class").where(~(F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_key") == F.col("__t")))).select(F.col(key).alias("__gk"), F.col("text_key").alias("__gt")).distinct()
+    keyed = df.withColumn("__tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    left = keyed.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("__gk")) & (F.col("__tk") == F.col("__gt")), "left_anti")
+    if labelled.groupBy(key, "text_key").agg(F.count("*").alias("c")).where("c > 1").take(1):
+        left = left.dropDuplicates([key, "__tk"])
+    return left.select(*df.columns)

@@ -107,18 +107,21 @@ def mentions(df: DataFrame, text: str = "text", key: str = "doc_id", near: int =
 
     def make():
         def step(cols):
-            keys, base, context = [], [], []
+            base, context = [], []
             for t in cols[text]:
                 t = t or ""
                 found = entities(t)
-                keys.append(_hash(t))
                 base.append([{"first": a, "rank": r, "last": b} for a, r, b in found])
                 context.append([{"entity": _hash(e), "term": _hash(w), "first": a, "last": b} for e, w, a, b in (neighbours(t, found, near) if found else ())])
-            return {key: cols[key], "text_key": keys, "base": base, "context": context}
+            return {key: cols[key], "text_key": cols["__tk"], "base": base, "context": context}
 
         return step
 
-    return map_batches(df, [key, text], schema, make)
+    return map_batches(df.select(F.col(key), F.col(text), text_key(text).alias("__tk")), [key, text, "__tk"], schema, make)
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _term_counts(df: DataFrame, text: str) -> DataFrame:
@@ -193,3 +196,14 @@ def sanitised(text: Column, spans_: Column, remove_terms: bool = False) -> Colum
     longest = F.array_sort(spans_, lambda a, b: F.when(a["first"] != b["first"], F.signum(a["first"] - b["first"]).cast("int")).otherwise(F.signum(b["last"] - a["last"]).cast("int")))
     whole = F.aggregate(longest, start, grow, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans_) > 0, whole).otherwise(text)
+
+
+def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars", **how) -> DataFrame:
+    """The rows of ``df``, all columns, with spans generalised in the text; ``n_chars`` follows."""
+    by_text = spans(df, text, key, **how).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("__spans"))
+    none = F.array().cast("array<struct<first:int,rank:int,last:int>>")
+    out = df.withColumn("__tk", text_key(text)).join(by_text.hint("merge"), F.col("__tk") == F.col("text_key"), "left")
+    out = out.withColumn(text, sanitised(F.col(text), F.coalesce("__spans", none)))
+    if n_chars in df.columns:
+        out = out.withColumn(n_chars, F.when(F.col("__spans").isNotNull(), F.char_length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.select(*df.columns)

@@ -70,17 +70,18 @@ def text_stats(text: str, stop: frozenset = frozenset()) -> tuple:
     return (n, chars, symbols, dup, repeat, symbols / n, dup / len(lines), repeat / n, chars / n, upper / len(data), digits / len(data), marks / n, top / n, common / n, n / len(lines))
 
 
-def stats(df: DataFrame, text: str = "text", key: str = "doc_id", extra: tuple = ()) -> DataFrame:
-    """(key, *extra columns carried along, COUNTS, SHARES) of every row."""
-    carried = [T.StructField(c, df.schema[c].dataType) for c in (key, *extra)]
-    schema = T.StructType([*carried, *[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(c, T.DoubleType()) for c in SHARES]])
+def stats(df: DataFrame, text: str = "text", key: str = "doc_id", extra: tuple = (), prefix: str = "") -> DataFrame:
+    """(key, *extra columns carried along, COUNTS, SHARES) of every row; ``prefix`` keeps the new
+    names apart from carried ones."""
+    carried = [T.StructField(c, df.schema[c].dataType) for c in dict.fromkeys((key, *extra))]
+    schema = T.StructType([*carried, *[T.StructField(prefix + c, T.LongType()) for c in COUNTS], *[T.StructField(prefix + c, T.DoubleType()) for c in SHARES]])
 
     def make():
         def step(cols):
             out = {c: cols[c] for c in (key, *extra)}
             rows = [text_stats(t or "") for t in cols[text]]
             for i, c in enumerate((*COUNTS, *SHARES)):
-                out[c] = [r[i] for r in rows]
+                out[prefix + c] = [r[i] for r in rows]
             return out
 
         return step
@@ -173,18 +174,15 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return learn(x, np.array([r["__y"] == 0 for r in rows]))
 
 
-def decision(rules: list[Rule]) -> Column:
+def decision(rules: list[Rule], prefix: str = "") -> Column:
     """The list as one ordered conditional expression: true keeps the row."""
     out = None
     for rule in rules:
-        out = F.when(rule.column(), F.lit(False)) if out is None else out.when(rule.column(), F.lit(False))
+        out = (F if out is None else out).when(rule.column(prefix), F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def judge(df: DataFrame, rules: list[Rule], text: str = "text", key: str = "doc_id", extra: tuple = ()) -> DataFrame:
+def judge(df: DataFrame, rules: list[Rule], text: str = "text", key: str = "doc_id", extra: tuple = (), prefix: str = "") -> DataFrame:
     """(key, *extra, COUNTS, SHARES, base_failed, kept)."""
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return stats(df, text, key, extra).withColumns({"base_failed": failed, "kept": ~failed & decision(rules)})
-
-
-WORD = re.compile("[^\x20\x09-\x0d]+")
+    failed = base_failed(F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words"))
+    return stats(df, text, key, extra, prefix).withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": ~failed & decision(rules, prefix)})
