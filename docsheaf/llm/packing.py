@@ -1,8 +1,8 @@
 """Operator 5, packing: token windows of near-equal size by Karmarkar-Karp multiway differencing.
 
 A document's ids are those of a public tokenizer plus one end id. Whole windows of ``window``
-ids are cut off its front; what is left is cut into pieces of at most ``max_piece`` ids. The
-left-over pieces of a block of rows are spread over k windows by multiway differencing: every
+ids are cut off its front; what is left is cut into falling powers of two down to ``least``
+ids and a rest, since few large and many small pieces balance best. The left-over pieces of a block of rows are spread over k windows by multiway differencing: every
 piece starts as a partition of its own, the two partitions with the widest spread are merged
 again and again so that the largest sum of one meets the smallest of the other, until one
 partition of k near-equal windows is left. If a window exceeds the capacity, k rises by one.
@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import id_type
 
-WINDOW, MAX_PIECE, BLOCK, END_ID = 2048, 512, 4096, 1
+WINDOW, LEAST, BLOCK, END_ID = 2048, 64, 512, 1
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -86,14 +86,17 @@ def pack(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
-def cuts(n: int, window: int = WINDOW, max_piece: int = MAX_PIECE) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then near-equal left-over pieces."""
-    full = n // window * window
-    out = [(at, window) for at in range(0, full, window)]
-    if rest := n - full:
-        parts = -(-rest // max_piece)
-        edges = [full + rest * i // parts for i in range(parts + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:])]
+def cuts(n: int, window: int = WINDOW, least: int = LEAST) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: full windows, falling powers of two, a rest."""
+    at = n // window * window
+    out = [(x, window) for x in range(0, at, window)]
+    size = 1 << (window - 1).bit_length() - 1
+    while at < n:
+        take = size if size >= least else n - at
+        if take <= n - at:
+            out.append((at, take))
+            at += take
+        size //= 2
     return out
 
 
@@ -117,7 +120,7 @@ def load_encoder(path: str, ranks_path: str | None = None, pattern: str | None =
 
 
 def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id",
-                   window: int = WINDOW, max_piece: int = MAX_PIECE, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
+                   window: int = WINDOW, least: int = LEAST, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     schema = T.StructType([
         T.StructField(key, id_type(df, key)), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -148,7 +151,7 @@ def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, patt
             for at in range(0, len(keys), 256):
                 for k, ids in zip(keys[at : at + 256], encode([t or "" for t in texts[at : at + 256]])):
                     ids = np.array([*ids, end_id], dtype="<u4")
-                    for start, length in cuts(len(ids), window, max_piece):
+                    for start, length in cuts(len(ids), window, least):
                         pieces.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)))
                     rows += 1
                     if rows == block:
