@@ -1,4 +1,394 @@
 """The registered queries and, where SQL can express them, their DuckDB twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsheaf import config
+from docsheaf.functions.text import model_output_text, without_marks
+from docsheaf.operators import geometry as geo
+from docsheaf.operators import jobs, kernels, merge, profile, steps, validate
+from docsheaf.plans.oracle import ORACLE_SQL  # noqa: F401
+from docsheaf.sources import fixtures as fx
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+GLOBAL = config.GLOBAL_SPLITTING
+QARI = config.ENGINE_SPLITTING["qari"]
+
+
+def wh():
+    return F.col("width"), F.col("height")
+
+
+# --- text merge ---------------------------------------------------------------------------
+
+
+@query
+def merge_exact_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.merge_exact(fx.chunk_text(spark, sf))
+
+
+@query
+def merge_two_columns(spark, sf):
+    return merge.merge_exact(fx.chunk_text(spark, sf, 2))
+
+
+@query
+def reading_order_ltr(spark, sf):
+    return merge.formatted(fx.chunk_text(spark, sf, 2))
+
+
+@query
+def reading_order_rtl(spark, sf):
+    return merge.formatted(fx.chunk_text(spark, sf, 2), rtl=True)
+
+
+@query
+def adjacent_pairs(spark, sf):
+    return merge.adjacency(fx.chunk_text(spark, sf, 2))
+
+
+@query
+def chunk_concat(spark, sf):
+    return merge.concat(fx.chunk_text(spark, sf))
+
+
+@query
+def section_merge(spark, sf):
+    return merge.sections(fx.chunk_text(spark, sf))
+
+
+@query
+def section_merge_rtl(spark, sf):
+    return merge.sections(fx.chunk_text(spark, sf), columns=2)
+
+
+@query
+def pdf_page_merge(spark, sf):
+    return merge.pages(fx.pdf_pages(spark, sf))
+
+
+@query
+def infer_output_parse(spark, sf):
+    bar = F.lit("=" * 21)
+    p = fx.pdf_pages(spark, sf).withColumn("k", F.col("job_id") % 3)
+    head = F.concat(bar, F.lit("\nBASE:  torch.Size([1])\nPATCHES:  torch.Size([2])\n"))
+    out = F.when(F.col("k") == 0, F.col("text")).otherwise(F.concat(head, bar, F.lit("\n"), F.col("text"), F.lit("\nPATCHES: x\n\nlast line\n"), F.when(F.col("k") == 1, "=" * 15 + "save results:" + "=" * 15 + "\nignored").otherwise(F.concat(bar, F.lit("\nmore")))))
+    return p.select("job_id", "page_number", model_output_text(out).alias("parsed"))
+
+
+@query
+def fuzzy_overlap(spark, sf):
+    c = fx.chunk_text(spark, sf)
+    # one changed letter in the shared part, so that only the fuzzy test finds it
+    nxt = c.select("doc_id", (F.col("index") - 1).alias("index"), F.concat(F.substring("text", 1, 12), F.lit("#"), F.substring("text", 14, 600)).alias("after"))
+    tail = F.right("text", F.lit(120))
+    return c.join(nxt, ["doc_id", "index"]).select("doc_id", "index", merge.fuzzy_overlap(tail, "after").alias("cut"))
+
+
+@query
+def rtl_marks(spark, sf):
+    base = fx.chunk_text(spark, sf).select("doc_id", "index", F.regexp_replace("text", "a", "aَ").alias("t"))
+    return base.select("doc_id", "index", F.char_length("t").cast("long").alias("before"), without_marks(F.col("t")).alias("plain"))
+
+
+@query
+def rtl_merge(spark, sf):
+    c = fx.chunk_text(spark, sf)
+    # marks differ between the copies of an overlap: every second chunk carries them
+    marked = c.withColumn("text", F.when(F.col("index") % 2 == 1, F.regexp_replace("text", "e", "eِ")).otherwise(F.col("text"))).withColumn("col", F.lit(0).cast("long"))
+    return merge.merge_exact(marked, rtl=True)
+
+
+@query
+def result_base64(spark, sf):
+    return fx.read(spark, sf, "documents").select("doc_id", F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("encoded"))
+
+
+# --- geometry -----------------------------------------------------------------------------
+
+
+@query
+def needs_splitting(spark, sf):
+    docs = fx.image_meta(spark, sf).withColumn("engine", F.get(F.array(*[F.lit(e) for e in ("qari", "got", "deepseek", "other")]), (F.col("doc_id") % 4).cast("int")))
+    c = docs.join(F.broadcast(config.engine_config(spark)), "engine", "left")  # one row per engine
+    mp, dim = F.coalesce("max_megapixels", F.lit(GLOBAL.max_megapixels)), F.coalesce("max_dimension", F.lit(GLOBAL.max_dimension))
+    return c.select("doc_id", "engine", geo.needs_splitting(*wh(), mp, dim).alias("needs_split"))
+
+
+@query
+def estimated_dpi(spark, sf):
+    return fx.image_meta(spark, sf).select("doc_id", geo.estimated_dpi(*wh()).alias("dpi"))
+
+
+@query
+def target_chunks_grid(spark, sf):
+    d = fx.image_meta(spark, sf).withColumn("target", geo.target_chunks(*wh(), GLOBAL.max_megapixels, GLOBAL.max_dimension))
+    rows, cols = geo.chunk_grid(F.col("target"))
+    return d.select("doc_id", "target", rows.alias("rows"), cols.alias("cols"))
+
+
+def _grids(spark, sf, c=GLOBAL):
+    d = fx.image_meta(spark, sf).withColumn("prefer_horizontal", F.explode(F.array(F.lit(False), F.lit(True))))
+    rows, cols = geo.grid_size(*wh(), c.target_chunk_size, c.max_dimension, c.max_megapixels, F.col("prefer_horizontal"))
+    return d.withColumns({"rows": rows, "cols": cols})
+
+
+@query
+def grid_size(spark, sf):
+    return _grids(spark, sf).select("doc_id", "prefer_horizontal", "rows", "cols")
+
+
+@query
+def grid_tiles(spark, sf):
+    return geo.overlapping_tiles(_grids(spark, sf, QARI).where("prefer_horizontal"), QARI.overlap_percent)
+
+
+@query
+def boundary_tiles(spark, sf):
+    d = fx.image_meta(spark, sf)
+    return geo.boundary_tiles(d, F.array(F.expr("2 * height div 3"), F.expr("height div 3")), F.array(F.expr("width div 2")))
+
+
+@query
+def legacy_suggested_grid(spark, sf):
+    rows, cols = geo.suggested_grid(*wh())
+    return fx.image_meta(spark, sf).select("doc_id", rows.alias("rows"), cols.alias("cols"))
+
+
+@query
+def legacy_grid_tiles(spark, sf):
+    rows, cols = geo.suggested_grid(*wh())
+    return geo.integer_grid_tiles(fx.image_meta(spark, sf).withColumns({"rows": rows, "cols": cols}))
+
+
+@query
+def legacy_columns(spark, sf):
+    return geo.columns(fx.image_meta(spark, sf), 3)
+
+
+@query
+def scale_factor_dims(spark, sf):
+    d = fx.image_meta(spark, sf).withColumn("dpi", geo.estimated_dpi(*wh())).withColumn("factor", geo.scale_factor(F.col("dpi")))
+    return d.select("doc_id", F.round("factor", 6).alias("factor"), (F.col("width") * F.col("factor")).cast("long").alias("w"), (F.col("height") * F.col("factor")).cast("long").alias("h"))
+
+
+@query
+def adaptive_block_size(spark, sf):
+    return fx.image_meta(spark, sf).select("doc_id", geo.adaptive_block(*wh()).alias("block"))
+
+
+@query
+def rotation_canvas(spark, sf):
+    angle = ((F.col("doc_id") * 53) % 200 - 100) / F.lit(20.0)
+    w, h = geo.rotated_canvas(*wh(), angle)
+    return fx.image_meta(spark, sf).select("doc_id", angle.alias("angle"), w.alias("w"), h.alias("h"))
+
+
+def _analysis(spark, sf):
+    d = F.col("doc_id")
+    part = lambda m, n, s: ((d * m) % n) / F.lit(float(s))
+    return fx.image_meta(spark, sf).withColumns({"dpi": geo.estimated_dpi(*wh()), "noise": part(37, 100, 500), "skew": ((d * 53) % 200 - 100) / F.lit(20.0), "contrast": part(29, 100, 100), "value_range": part(17, 100, 100), "is_inverted": d % 7 == 0, "is_binary": d % 11 == 0})
+
+
+@query
+def step_plan(spark, sf):
+    a = _analysis(spark, sf)
+    out = []
+    for engine, c in (("deepseek", config.GLOBAL_PREPROCESSING), ("qari", config.ENGINE_PREPROCESSING["qari"])):
+        applies = steps.predicates(c, F.col("channels"), F.col("is_inverted"), F.col("noise"), F.col("skew"), F.col("contrast"), F.col("value_range"), F.col("is_binary"), F.col("dpi"))
+        applied, skipped = steps.plan(applies)
+        out.append(F.struct(F.lit(engine).alias("engine"), F.array_join(applied, ",").alias("applied"), F.array_join(skipped, ",").alias("skipped"), steps.rotates_page(c, F.col("skew")).alias("rotates_page")))
+    return a.select("doc_id", F.explode(F.array(*out)).alias("p")).select("doc_id", "p.*")
+
+
+@query
+def applied_step_union(spark, sf):
+    """Distinct steps over all chunks of a document, in pipeline order."""
+    s = step_plan(spark, sf).select((F.col("doc_id") % 50).alias("grp"), F.explode(F.split("applied", ",")).alias("s")).where("s != ''")
+    order = F.array(*[F.lit(x) for x in steps.ORDER])
+    return s.groupBy("grp").agg(F.array_sort(F.collect_set(F.struct(F.array_position(order, F.col("s")).alias("i"), "s"))).alias("a")).select("grp", F.array_join(F.transform("a", lambda x: x["s"]), ",").alias("steps"))
+
+
+# --- validation ---------------------------------------------------------------------------
+
+
+@query
+def detect_file_type(spark, sf):
+    return fx.uploads(spark, sf).select("doc_id", validate.detect_type(F.col("header")).alias("file_type"))
+
+
+@query
+def validate_upload(spark, sf):
+    u = fx.uploads(spark, sf)
+    return u.select("doc_id", validate.check_file(F.col("size_bytes"), F.col("header"), "image", config.MAX_IMAGE_MB).alias("image_result"), validate.check_file(F.col("size_bytes"), F.col("header"), "pdf", config.MAX_PDF_MB).alias("pdf_result"), validate.check_dpi(F.col("dpi")).alias("dpi_ok"))
+
+
+@query
+def validate_filename(spark, sf):
+    return fx.uploads(spark, sf).select("doc_id", validate.safe_name(F.col("filename")).alias("base"), validate.check_name(F.col("filename")).alias("result"))
+
+
+# --- profiles -----------------------------------------------------------------------------
+
+
+@query
+def row_projection(spark, sf):
+    s = profile.smoothed(fx.ink_profile(spark, sf))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("window_ink").alias("total"), F.max("top").alias("top"), F.max(F.round(profile.value(F.col("window_ink"), F.col("top")), 6)).alias("peak"), F.sum(F.when(F.col("window_ink") < 0.25 * F.col("top"), 1).otherwise(0)).alias("low"))
+
+
+@query
+def col_projection(spark, sf):
+    p = fx.ink_profile(spark, sf).withColumnRenamed("y", "x")
+    return profile.smoothed(p, "x", 5).where("x % 7 = 0").select("doc_id", "x", F.round(profile.value(F.col("window_ink"), F.col("top")), 6).alias("v"))
+
+
+def _gaps(spark, sf):
+    return profile.gaps(profile.runs(profile.smoothed(fx.ink_profile(spark, sf))))
+
+
+@query
+def find_gaps(spark, sf):
+    return _gaps(spark, sf)
+
+
+def _positions(spark, sf):
+    return _gaps(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list("center")).alias("g"), F.max("size").alias("size"))
+
+
+@query
+def select_gaps(spark, sf):
+    g = _positions(spark, sf)
+    return g.select("doc_id", F.array_join(profile.select_gaps(F.col("g"), F.col("size"), 3).cast("array<string>"), ",").alias("splits"))
+
+
+@query
+def min_size_filter(spark, sf):
+    g = _positions(spark, sf)
+    return g.select("doc_id", *[F.array_join(profile.by_min_size(F.col("g"), F.col("size"), n).cast("array<string>"), ",").alias(f"min{n}") for n in (64, 256)])
+
+
+@query
+def otsu_threshold(spark, sf):
+    h = fx.ink_profile(spark, sf).groupBy("doc_id", (F.col("ink") % 256).alias("v")).agg(F.count("*").alias("n"))
+    return profile.otsu(h)
+
+
+@query
+def component_splits(spark, sf):
+    """Split lines on rows no padded text line covers; runs of ink stand for text regions."""
+    p = fx.ink_profile(spark, sf)
+    lines = p.where("ink > 0").groupBy("doc_id", F.floor((F.col("y") - 20) / 16).alias("line")).agg(F.min("y").alias("a"), (F.max("y") + 1).alias("b"))
+    size = p.groupBy("doc_id").agg(F.count("*").alias("size"))
+    occ = lines.groupBy("doc_id").agg(F.collect_list(F.struct(F.greatest(F.lit(0), F.col("a") - 5).alias("first"), (F.col("b") + 5).alias("last"))).alias("o"))
+    few = occ.join(size, "doc_id").where("size <= 600")
+    return few.select("doc_id", F.array_join(profile.free_positions_split(F.col("o"), F.col("size"), 2, 64).cast("array<string>"), ",").alias("splits"))
+
+
+# --- jobs and models ----------------------------------------------------------------------
+
+
+@query
+def job_latest_state(spark, sf):
+    return jobs.latest(fx.job_events(spark, sf)).select("job_id", "status", "updated_us", "error")
+
+
+@query
+def job_expired(spark, sf):
+    s = jobs.latest(fx.job_events(spark, sf))
+    return s.select("job_id", jobs.expired(s).alias("expired"))
+
+
+@query
+def stale_jobs(spark, sf):
+    return jobs.swept(jobs.latest(fx.job_events(spark, sf))).select("job_id", "status", "error", "is_stale")
+
+
+@query
+def model_listing(spark, sf):
+    registered = spark.createDataFrame([(e,) for e in config.ENGINES], "model string")
+    return jobs.listing(registered, fx.model_events(spark, sf), config.DEFAULT_ENGINE)
+
+
+@query
+def stale_model_status(spark, sf):
+    return jobs.stale_status(fx.model_events(spark, sf), "user_id")
+
+
+@query
+def available_models(spark, sf):
+    dirs = fx.read(spark, sf, "events").select(F.get(F.array(*[F.lit(x) for x in ("qari", "got", "deepseek", "tmp", ".cache")]), (F.col("user_id") % 5).cast("int")).alias("model")).distinct()
+    return dirs.join(F.broadcast(spark.createDataFrame([(e,) for e in config.ENGINES], "model string")), "model", "left_semi")
+
+
+@query
+def resolve_engine(spark, sf):
+    m = fx.model_events(spark, sf)
+    state = m.groupBy("model").agg(F.max_by("status", F.struct("us", "event_id")).alias("status"))  # one row per engine
+    ids = m.select("user_id").distinct()
+    asked = F.get(F.array(F.lit("qari"), F.lit(""), F.lit(None).cast("string"), F.lit("unknown")), (F.col("user_id") % 4).cast("int"))
+    e = ids.select("user_id", jobs.resolve_engine(asked, F.when(F.col("user_id") % 3 == 0, "got").otherwise("")).alias("engine"))
+    return e.join(F.broadcast(state), e["engine"] == state["model"], "left").select("user_id", "engine", jobs.submit_gate(F.col("engine"), F.col("status")).alias("code"))
+
+
+@query
+def download_lock_winner(spark, sf):
+    return jobs.lock_winners(fx.model_events(spark, sf), "user_id")
+
+
+@query
+def job_timeout_budget(spark, sf):
+    return fx.pdf_pages(spark, sf).groupBy("job_id").agg((F.count("*") * config.JOB_TIMEOUT_S).alias("timeout_s"))
+
+
+@query
+def webhook_payload(spark, sf):
+    s = jobs.latest(fx.job_events(spark, sf)).where("job_id % 2 = 0 and status in ('completed', 'failed')")
+    name = F.when(F.col("job_id") % 6 == 0, F.lit('a "quoted" \\ name.png')).otherwise(F.concat(F.lit("f"), F.col("job_id"), F.lit(".png")))
+    return s.select("job_id", jobs.webhook_payload(F.col("job_id"), F.col("status"), name, F.col("error")).alias("payload"))
+
+
+@query
+def failure_handler(spark, sf):
+    """Failures of page jobs are marked; those of whole-document jobs are not."""
+    e = fx.events(spark, sf).where("event_type = 'error'")
+    func = F.when(F.col("event_id") % 3 == 0, "process_pdf_job").otherwise("process_ocr_job")
+    return e.select("event_id", F.col("user_id").alias("job_id"), func.alias("func"), F.when(func == "process_ocr_job", F.concat(F.lit("RuntimeError: E"), F.col("event_id"))).alias("marked"))
+
+
+@query
+def download_complete(spark, sf):
+    d = fx.read(spark, sf, "documents")
+    files = d.select((F.col("doc_id") % 97).alias("model"), (F.col("n_chars") * 7919).alias("bytes"), F.concat(F.lit("blob"), F.col("doc_id"), F.when(F.col("doc_id") % 331 == 5, ".incomplete").otherwise("")).alias("path"))
+    return jobs.download_complete(files)
+
+
+# --- pixels -------------------------------------------------------------------------------
+
+
+def rasters(spark, sf):
+    """A 48 x 64 gray raster for each document, filled with its first bytes."""
+    text = F.regexp_replace(F.substring("text", 1, 3072), "[^ -~]", "~")
+    return fx.read(spark, sf, "documents").select("doc_id", F.lit(48).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), F.encode(F.rpad(text, 3072, " "), "UTF-8").alias("data"))
+
+
+@query
+def image_metrics(spark, sf):
+    return kernels.analyse(rasters(spark, sf))
+
+
+@query
+def pixel_statistics(spark, sf):
+    """Contrast, brightness and the inverted mean of the same rasters, without Python."""
+    px = rasters(spark, sf).select("doc_id", F.transform(F.split(F.decode("data", "UTF-8"), ""), lambda c: F.ascii(c)).alias("v"))
+    lo, hi, total = F.array_min("v"), F.array_max("v"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return px.select("doc_id", F.round((hi - lo) / (hi + lo).cast("double"), 6).alias("contrast"), F.round(total / F.lit(3072.0 * 255), 6).alias("brightness"), F.round((F.lit(255 * 3072) - total) / 3072.0, 6).alias("inverted_mean"), F.size(F.array_distinct("v")).cast("long").alias("n_values"))
