@@ -292,7 +292,7 @@ def _labelled(df: DataFrame, text: str, key: str, block: int) -> DataFrame:
     families = components(stars, "node", "hub")
     members = table(families.join(nodes, "node").select("node", "root", "size", F.col("pick.text_key").alias("text_key"), F.col(f"pick.{key}").alias("pick_key")))
     keyed = df.select(F.col(key).alias("__key"), F.col(text).alias(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tk"))
-    texts = keyed.join(members.select("node", "text_key", "pick_key"), (F.col("__tk") == F.col("text_key")) & F.col("__key").eqNullSafe(F.col("pick_key")))
+    texts = keyed.join(members.select("node", "text_key", "pick_key").hint("merge"), (F.col("__tk") == F.col("text_key")) & F.col("__key").eqNullSafe(F.col("pick_key")))
     rows = _units(members, block).join(_word_rows(texts.select("node", text), text), "node")
     links = table(_linked(rows.repartition("unit").sortWithinPartitions("unit", "node")))
     found = components(links, "a", "b")
