@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import xxhash
@@ -31,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import id_type, map_batches
 
-MAX_LABELLED, LEAST_ODDS, SUPPORT, WIDTH, SPAN = 12_000, 2.0, 4, 1 << 16, 24
+MAX_LABELLED, LEAST_ODDS, SUPPORT, WIDTH, SPAN = 6_000, 2.0, 4, 1 << 16, 24
 _TOKEN = re.compile(r"\w+")
 
 
@@ -153,37 +152,37 @@ def fit(texts: list[str], toxic: list[bool], width: int = WIDTH) -> dict | None:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    tokens = [_TOKEN.findall(t.lower()) for t in texts]
-    bad, good = Counter(), Counter()
+    vocabulary: dict[str, int] = {}
+    tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _TOKEN.findall(t.lower())], np.int32) for t in texts]
+    words = list(vocabulary)
+    bad, good = np.zeros(len(words)), np.zeros(len(words))
     for ts, y in zip(tokens, toxic):
-        (bad if y else good).update(set(ts))
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    lexicon = {w for w, c in bad.items() if c >= SUPPORT and math.log((c + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1)) >= LEAST_ODDS}
-    memo: dict = {}
-
-    def triple(w):
-        if w not in memo:
-            memo[w] = features(w, width)
-        return memo[w]
+        (bad if y else good)[np.unique(ts)] += 1
+    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
+    listed = (bad >= SUPPORT) & (odds >= LEAST_ODDS)
+    triples = np.array([features(w, width) for w in words], np.int32).reshape(len(words), 3)
 
     sequences = []
     for i, (ts, y) in enumerate(zip(tokens, toxic)):
-        hits = [j for j, w in enumerate(ts) if w in lexicon] if y else []
-        starts = sorted({max(0, j - SPAN // 2) for j in hits[:: max(1, len(hits) // 4)]}) if hits else [(i * 7919) % max(1, len(ts) - SPAN)] if ts and (i % 3 == 0) else []
-        if not y and any(w in lexicon for w in ts):
-            starts.append(max(0, next(j for j, w in enumerate(ts) if w in lexicon) - SPAN // 2))
-        for s in starts:
+        hits = np.flatnonzero(listed[ts])
+        if y:
+            starts = {max(0, int(j) - SPAN // 2) for j in hits[:: max(1, len(hits) // 4)]}
+        else:  # other documents show listed words too, and plain text
+            starts = {max(0, int(j) - SPAN // 2) for j in hits[:1]}
+        if not len(hits) and len(ts) and i % 3 == 0:
+            starts = {(i * 7919) % max(1, len(ts) - SPAN)}
+        for s in sorted(starts):
             part = ts[s : s + SPAN]
-            sequences.append(([triple(w) for w in part], [int(bool(y) and w in lexicon) for w in part]))
+            sequences.append((triples[part].tolist(), (listed[part] & bool(y)).astype(int).tolist()))
     if not sequences:
         return None
     field = _fit_field(sequences, width)
     lengths = np.array([len(ts) for ts in tokens])
-    emission = np.array([field["weights"][list(triple(w))].sum() for ts in tokens for w in ts])
-    m = marginals(emission, lengths, field)
+    emission = field["weights"][triples].sum(axis=1)
+    m = marginals(emission[np.concatenate(tokens)], lengths, field)
     ends = np.cumsum(lengths)
     x = np.array([summary(m[e - n : e]) for e, n in zip(ends, lengths)])
-    return {"field": field, "document": _logistic(x, toxic.astype(float)), "lexicon": sorted(lexicon)}
+    return {"field": field, "document": _logistic(x, toxic.astype(float)), "lexicon": [w for w, k in zip(words, listed) if k]}
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = MAX_LABELLED) -> dict | None:
