@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf import config
 from docsheaf.functions.text import model_output_text, without_marks
+from docsheaf.operators import engines, jobs, kernels, merge, profile, splitting, steps, validate
 from docsheaf.operators import geometry as geo
-from docsheaf.operators import jobs, kernels, merge, profile, steps, validate
 from docsheaf.plans.oracle import ORACLE_SQL  # noqa: F401
+from docsheaf.sources import files
 from docsheaf.sources import fixtures as fx
+from docsheaf.streaming import jobs as job_stream
 
 QUERIES: dict = {}
 
@@ -392,3 +396,59 @@ def pixel_statistics(spark, sf):
     px = rasters(spark, sf).select("doc_id", F.transform(F.split(F.decode("data", "UTF-8"), ""), lambda c: F.ascii(c)).alias("v"))
     lo, hi, total = F.array_min("v"), F.array_max("v"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return px.select("doc_id", F.round((hi - lo) / (hi + lo).cast("double"), 6).alias("contrast"), F.round(total / F.lit(3072.0 * 255), 6).alias("brightness"), F.round((F.lit(255 * 3072) - total) / 3072.0, 6).alias("inverted_mean"), F.size(F.array_distinct("v")).cast("long").alias("n_values"))
+
+
+# --- engines, pages, streams --------------------------------------------------------------
+
+
+@query
+def engine_pipeline(spark, sf):
+    """Chunks as rasters through a stand-in engine and back into documents."""
+    c = fx.chunk_text(spark, sf).withColumn("data", F.encode("text", "UTF-8")).drop("text")
+    return engines.process(c, "deepseek").select("doc_id", "merged")
+
+
+@query
+def engine_concat(spark, sf):
+    c = fx.chunk_text(spark, sf).withColumn("data", F.encode("text", "UTF-8")).drop("text")
+    return engines.process(c, "got").select("doc_id", F.col("merged").alias("text"))
+
+
+@query
+def pdf_to_pages(spark, sf):
+    d = fx.read(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    found = files.pages(d, lambda data, zoom: data.split(b"\n"))
+    return found.select("doc_id", "page_number", "total_pages", "page_name", F.octet_length("data").cast("long").alias("bytes"), "error")
+
+
+@query
+def smart_split_method(spark, sf):
+    """Which splitter each page gets: gaps of its profile, free rows, or a grid."""
+    p = fx.ink_profile(spark, sf)
+    size = p.groupBy("doc_id").agg(F.count("*").alias("height"))
+    g = size.join(_positions(spark, sf).select("doc_id", "g"), "doc_id", "left").withColumn("g", F.coalesce("g", F.array().cast("array<bigint>")))
+    lines = p.where("ink > 0").groupBy("doc_id", F.floor((F.col("y") - 20) / 16).alias("line")).agg(F.min("y").alias("a"), (F.max("y") + 1).alias("b"))
+    occ = lines.groupBy("doc_id").agg(F.collect_list(F.struct(F.greatest(F.lit(0), F.col("a") - 5).alias("first"), (F.col("b") + 5).alias("last"))).alias("o"))
+    d = g.join(occ, "doc_id", "left").withColumn("width", F.lit(1000).cast("long"))
+    proj = profile.by_min_size(profile.select_gaps(F.col("g"), F.col("height"), 1), F.col("height"), 128)
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    comp = F.when(F.size(proj) > 0, F.array().cast("array<bigint>")).otherwise(profile.free_positions_split(F.coalesce("o", none), F.col("height"), 1, 64))
+    need = geo.needs_splitting(F.col("width"), F.col("height"), 0.15, 2048)
+    d = d.withColumns({"proj": proj, "comp": comp})
+    report = splitting.report(F.col("proj"), F.col("comp"))
+    return d.select("doc_id", splitting.choose(need, F.col("proj"), F.col("comp")).alias("method"), splitting.recommended(report).alias("recommended"))
+
+
+@query
+def job_state_stream(spark, sf):
+    """The stream of job events, run over what there is; the last update of each job."""
+    schema = fx.read(spark, sf, "events").schema
+    bounds = fx.read(spark, sf, "events").agg(F.min(fx.epoch_us(F.col("ts"))).alias("t0")).first()["t0"] or 0
+    e = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    status = fx.mapped(F.col("event_type"), fx.JOB_STATUS)
+    events = e.select(F.col("user_id").alias("job_id"), "event_id", ((fx.epoch_us(F.col("ts")) - F.lit(bounds)) / 20).cast("long").alias("us"), status.alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("event_id"))).alias("error")).where("status is not null")
+    name = f"job_states_{uuid.uuid4().hex}"
+    run = job_stream.job_states(events, timeouts=False).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("status", "updated_us", "error"), "updated_us").alias("s"))
+    return last.select("job_id", "s.status", "s.updated_us", "s.error")

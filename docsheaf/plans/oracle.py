@@ -219,4 +219,8 @@ ORACLE_SQL = {
     "failure_handler": "SELECT event_id, user_id AS job_id, CASE WHEN event_id % 3 = 0 THEN 'process_pdf_job' ELSE 'process_ocr_job' END AS func, CASE WHEN event_id % 3 <> 0 THEN 'RuntimeError: E' || event_id END AS marked FROM events WHERE event_type = 'error'",
     "download_complete": "SELECT model, bytes, NOT open AND bytes >= 104857600 AS complete FROM (SELECT doc_id % 97 AS model, CAST(sum(n_chars * 7919) AS BIGINT) AS bytes, bool_or(doc_id % 331 = 5) AS open FROM documents GROUP BY 1)",
     "pixel_statistics": f"WITH {RASTER} SELECT doc_id, round((hi - lo) / (hi + lo)::DOUBLE, 6) AS contrast, round(t / (3072.0::DOUBLE * 255), 6) AS brightness, round((255 * 3072 - t) / 3072.0::DOUBLE, 6) AS inverted_mean, n_values FROM (SELECT doc_id, list_min(v) AS lo, list_max(v) AS hi, CAST(list_sum(v) AS BIGINT) AS t, CAST(len(list_distinct(v)) AS BIGINT) AS n_values FROM v)",
+    "engine_pipeline": merged(1),
+    "engine_concat": f"WITH {chunks(1)} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM chunk GROUP BY doc_id",
+    "pdf_to_pages": "SELECT doc_id, n AS page_number, total AS total_pages, doc_id || '_page_' || printf('%03d', n) || '.png' AS page_name, CAST(strlen(l) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, len(string_split(text, chr(10))) AS total, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)",
+    "job_state_stream": f"WITH {JOBS} SELECT job_id, status, updated_us, error FROM latest",
 }

@@ -1,0 +1,59 @@
+"""File sources: uploads as binary files, page explosion by a pluggable renderer, decoded images."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from docsheaf import config
+from docsheaf.operators import validate
+
+
+def uploads(spark: SparkSession, path: str, expected: str = "image", stream: bool = False) -> DataFrame:
+    """(path, name, size_bytes, check, content): files with the first failed check or ok. Size and
+    signature are tested before anything is decoded; ``stream`` reads new files as they come."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    files = reader.format("binaryFile").load(path)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    most = config.MAX_PDF_MB if expected == "pdf" else config.MAX_IMAGE_MB
+    named = validate.check_name(name)
+    return files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), F.when(named != "ok", named).otherwise(validate.check_file(F.col("length"), F.col("content"), expected, most)).alias("check"), "content")
+
+
+PAGE = T.StructType([T.StructField("page_number", T.LongType()), T.StructField("total_pages", T.LongType()), T.StructField("page_name", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
+def pages(df: DataFrame, render: Callable[[bytes, float], Iterable[bytes]], key: str = "doc_id", content: str = "content", dpi: int = 300) -> DataFrame:
+    """One row per page of each file: ``render(content, zoom)`` gives the pages, zoom is dpi / 72.
+    A file without pages or with an error is one row that says so, so that its job can fail as a
+    whole. Pages leave one by one; a file's pages are never held together with another file's."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *PAGE.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found, error = list(render(data or b"", dpi / 72)), None
+                except Exception as e:  # noqa: BLE001  whatever a renderer raises is that file's failure
+                    found, error = [], f"Failed to convert: {e}"
+                rows = [(k, i, len(found), f"{k}_page_{i:03d}.png", p, None) for i, p in enumerate(found, 1)] or [(k, 0, 0, None, None, error or "File has no pages")]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=arrow)
+
+    return df.select(key, content).mapInArrow(run, schema)
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, height, width, channels, data) of pictures the JVM can decode; three channels are
+    blue, green, red."""
+    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
+    """One line-delimited text output; partitioning and naming are Spark's."""
+    df.select(F.regexp_replace(text, "\n", "\\\\n").alias("value")).write.mode("overwrite").text(path)

@@ -1,0 +1,266 @@
+"""Edges of single operators, held against plain Python written from their definitions."""
+
+from difflib import SequenceMatcher
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docsheaf import config
+from docsheaf.functions.text import exact_overlap, model_output_text, position_of_base_char, strip, without_marks
+from docsheaf.operators import engines, geometry, jobs, kernels, merge, profile, splitting, steps, validate
+from docsheaf.sources import files
+from docsheaf.streaming import jobs as job_stream
+
+
+def one(df):
+    return df.first()
+
+
+def chunk_rows(spark, texts, columns=1):
+    return spark.createDataFrame([(1, i, i // columns, i % columns, t) for i, t in enumerate(texts)], "doc_id long, index long, row long, col long, text string")
+
+
+def plain_overlap(a, b, least=10):
+    a, b = a[-500:], b[:500]
+    return next((n for n in range(min(len(a), len(b)), least - 1, -1) if a[-n:] == b[:n]), 0)
+
+
+def test_strip_takes_all_unicode_spaces(spark):
+    for s in ("\t\x1c x y　\n", "\x85\xa0", "​z​", ""):
+        assert one(spark.createDataFrame([(s,)], "t string").select(strip(F.col("t")).alias("r")))["r"] == s.strip()
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [("hello wonderful world", "wonderful world again"), ("abcabcabcabcabc", "abcabcabcabcabcx"), ("short", "short"), ("x" * 600, "x" * 700), ("aaaaaaaaaab" * 3, "aaaaaaaaaabaaaaaaaaaac"), ("", "abc"), ("no overlap here at all", "something else entirely"), ("0123456789", "0123456789")],
+)
+def test_exact_overlap(spark, a, b):
+    got = one(spark.createDataFrame([(a, b)], "a string, b string").select(exact_overlap(F.col("a"), F.col("b")).alias("n")))["n"]
+    assert got == plain_overlap(a, b)
+
+
+def test_merge_keeps_and_drops(spark):
+    whole = "The quick brown fox jumps over the lazy dog and then sleeps for a long while under the tree."
+    assert one(merge.merge_exact(chunk_rows(spark, [whole[:60], whole[40:]])))["merged"] == f"{whole[:60].strip()}\n\n{whole[60:].strip()}"
+    # a chunk wholly contained in its predecessor disappears and is not the next one's predecessor
+    assert one(merge.merge_exact(chunk_rows(spark, [whole, whole[-30:], "next part"])))["merged"] == f"{whole}\n\nnext part"
+    # a blank chunk between neighbours
+    assert one(merge.merge_exact(chunk_rows(spark, [whole[:60], " \n", whole[40:]])))["merged"] == f"{whole[:60].strip()}\n\n{whole[60:].strip()}"
+    assert one(merge.merge_exact(chunk_rows(spark, ["  single \n"])))["merged"] == "single"
+
+
+def test_rtl_cut_stops_after_the_last_base_character(spark):
+    a, b = "كتاب جميل جدا", "كتَاب جميل جداً هنا"
+    r = one(merge.merge_exact(chunk_rows(spark, [a, b]), rtl=True))["merged"]
+    assert r == f"{a}\n\nً هنا"
+    df = spark.createDataFrame([(b,)], "t string")
+    assert one(df.select(without_marks(F.col("t")).alias("x")))["x"] == b.replace("َ", "").replace("ً", "")
+    assert one(df.select(position_of_base_char(F.col("t"), F.lit(3)).alias("x")))["x"] == 4
+
+
+def test_fuzzy_length():
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eighx nine ten more"
+    assert SequenceMatcher(None, a, b[: len(a)]).ratio() >= 0.95
+    assert merge.fuzzy_length(a, b) == len(a)
+    assert merge.fuzzy_length("a b", "a b") == 0 and merge.fuzzy_length("x y z w", "p q r s") == 0
+
+
+def test_sections(spark):
+    assert one(merge.sections(chunk_rows(spark, ["a", " ", "b", "c"]), columns=2))["text"] == "--- Section 1 ---\nb\n\n--- Section 2 ---\na\n\n--- Section 3 ---\nc"
+    assert one(merge.sections(chunk_rows(spark, [" a ", ""])))["text"] == "a"
+
+
+def test_model_output(spark):
+    bar = "=" * 21
+    cases = {f"{bar}\nBASE: 1\n{bar}\nline\n\nPATCHES: 2\nend\n{'=' * 15}save results:\nno": "line\n\nend", "plain": "", f"{bar}\n{bar}\na\n{bar}\nb": "a\nb", f"{'=' * 15}\n{bar}\n{bar}\nx": ""}
+    for text, want in cases.items():
+        assert one(spark.createDataFrame([(text,)], "t string").select(model_output_text(F.col("t")).alias("r")))["r"] == want
+
+
+@pytest.mark.parametrize("w,h,want", [(1000, 1250, 125), (1000, 1350, 125), (1000, 1500, 125), (1000, 1300, 117), (1000, 1400, 120), (0, 500, 72), (9000, 9000, 600)])
+def test_dpi_edges(spark, w, h, want):
+    df = spark.createDataFrame([(w, h)], "w long, h long")
+    assert one(df.select(geometry.estimated_dpi(F.col("w"), F.col("h")).alias("r")))["r"] == want
+
+
+def test_split_limits_are_strict(spark):
+    need = lambda w, h: one(spark.createDataFrame([(w, h)], "w long, h long").select(geometry.needs_splitting(F.col("w"), F.col("h"), 2.0, 2048).alias("r")))["r"]
+    assert not need(2000, 1000) and need(2001, 1000) and not need(2048, 10) and need(10, 2049)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(1, 5000), st.integers(1, 5000), st.integers(1, 4), st.integers(1, 4))
+def test_tiles_cover_the_page(spark, w, h, rows, cols):
+    df = spark.createDataFrame([(1, w, h, rows, cols)], "doc_id long, width long, height long, rows long, cols long")
+    tiles = geometry.overlapping_tiles(df, 0.0).collect()
+    assert sum(t["w"] * t["h"] for t in tiles) == w * h  # without overlap the tiles partition it
+    wide = geometry.overlapping_tiles(df, 0.3).collect()
+    assert min(t["x_offset"] for t in wide) == 0 and max(t["x_offset"] + t["w"] for t in wide) == w and max(t["y_offset"] + t["h"] for t in wide) == h
+
+
+def test_file_checks(spark):
+    limit = 50 * 1024 * 1024
+    rows = [(0, "FFD8FF"), (limit, "FFD8FF"), (limit + 1, "FFD8FF"), (5, "52494646000000005745425000"), (5, "5249464600000000574542"), (5, "25504446"), (5, "255044462D"), (5, "424D"), (5, "")]
+    df = spark.createDataFrame(rows, "n long, h string")
+    got = [r["r"] for r in df.select(validate.check_file(F.col("n"), F.unhex("h"), "image", 50).alias("r")).collect()]
+    assert got == ["File is empty", "ok", "File too large: 50.0MB (max 50MB)", "ok", "Unknown or unsupported file type", "Unknown or unsupported file type", "File type mismatch: expected image, detected pdf", "ok", "Unknown or unsupported file type"]
+
+
+def test_names(spark):
+    want = {"": "Filename cannot be empty", "a/b/c.png": "ok", "dir/": "ok", "/": "Invalid filename", "..": "Invalid filename pattern", ".x": "Invalid filename pattern", "a..b": "Invalid filename pattern", "x" * 255: "ok", "x" * 256: "Filename too long (max 255 characters)", None: "Filename cannot be empty"}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert [r["r"] for r in df.select(validate.check_name(F.col("t")).alias("r")).collect()] == list(want.values())
+
+
+def plain_select(gaps, size, k):
+    if len(gaps) <= k:
+        return sorted(gaps)
+    left, out = list(gaps), []
+    for i in range(k):
+        best = min(left, key=lambda g: abs(g - size / (k + 1) * (i + 1)))
+        out.append(best)
+        left.remove(best)
+    return sorted(out)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.sets(st.integers(1, 999), max_size=12), st.integers(1, 4), st.integers(1, 300))
+def test_split_choice(spark, gaps, k, least):
+    g = sorted(gaps)
+    df = spark.createDataFrame([(g, 1000)], "g array<bigint>, n long")
+    r = one(df.select(profile.select_gaps(F.col("g"), F.col("n"), k).alias("s"), profile.by_min_size(F.col("g"), F.col("n"), least).alias("m")))
+    assert r["s"] == plain_select(g, 1000, k)
+    kept, prev = [], 0
+    for s in g:
+        if s - prev >= least and 1000 - s >= least:
+            kept.append(s)
+            prev = s
+    assert r["m"] == kept
+
+
+def test_runs_at_the_edges(spark):
+    ink = [0] * 30 + [9] * 30 + [0] * 40 + [9] * 30 + [0] * 30  # the run that reaches the end is not closed
+    df = spark.createDataFrame([(1, y, v) for y, v in enumerate(ink)], "doc_id long, y long, ink long")
+    found = profile.runs(profile.smoothed(df)).collect()
+    assert sorted((r["first"], r["width"]) for r in found) == [(0, 28), (62, 36)]
+    assert [r["center"] for r in profile.gaps(profile.runs(profile.smoothed(df))).collect()] == [80]
+    empty = spark.createDataFrame([(1, y, 0) for y in range(40)], "doc_id long, y long, ink long")
+    assert profile.runs(profile.smoothed(empty)).count() == 0
+
+
+def test_thresholds_of_steps(spark):
+    c = config.GLOBAL_PREPROCESSING
+    df = spark.createDataFrame([(1.0,), (1.01,), (-1.0,)], "skew double")
+    flags = steps.flags(c, F.lit(0.1), F.col("skew"), F.lit(0.3))
+    got = df.select(flags["needs_deskewing"].alias("a"), steps.rotates_page(c, F.col("skew")).alias("b"), flags["needs_denoising"].alias("n"), flags["needs_contrast"].alias("k")).collect()
+    assert [tuple(r) for r in got] == [(False, True, False, False), (True, True, False, False), (False, True, False, False)]
+    p = steps.StepPlan({"invert": F.lit(True)})
+    p.add("mine", F.lit(True), 0)
+    assert one(df.select(p.applied().alias("a")))["a"] == ["mine", "invert"] and p.remove("invert") and not p.remove("invert")
+
+
+def test_config_ranges():
+    with pytest.raises(ValueError):
+        config.Splitting(overlap_percent=1.5)
+    with pytest.raises(ValueError):
+        config.Preprocessing(binarization_method="x")
+
+
+def test_job_state(spark):
+    s = 1_000_000
+    rows = [(1, 1, 0, "processing", None, 300 * s), (2, 2, 0, "processing", None, 301 * s), (3, 3, 0, "failed", "E3", 9 * s), (3, 4, 5, "completed", None, 9 * s)]
+    ev = spark.createDataFrame(rows, "job_id long, event_id long, us long, status string, error string, now_us long")
+    got = {r["job_id"]: (r["status"], r["error"]) for r in jobs.swept(jobs.latest(ev)).collect()}
+    assert got == {1: ("processing", None), 2: ("failed", jobs.STALE_ERROR), 3: ("completed", "E3")}
+    state = jobs.latest(ev)
+    assert not any(r["e"] for r in state.select(jobs.expired(state).alias("e")).collect())
+
+
+def test_lock_winner(spark):
+    m = 1_000_000
+    df = spark.createDataFrame([("a", 1, 0, True), ("a", 2, 899 * m, True), ("a", 3, 900 * m, True), ("b", 4, 5, False)], "k string, event_id long, us long, locks boolean")
+    assert [tuple(r) for r in jobs.lock_winners(df, "k").collect()] == [("a", 2, 3)]
+
+
+def test_engines(spark):
+    assert engines.ENGINES.names() == ["deepseek", "got", "qari"] and "got" in engines.ENGINES
+    with pytest.raises(ValueError):
+        engines.ENGINES.create("none")
+
+    class Broken(engines.Engine):
+        name = "broken"
+
+        def extract(self, data):
+            raise RuntimeError("no")
+
+    c = chunk_rows(spark, ["a", "b"]).withColumn("data", F.encode("text", "UTF-8")).drop("text")
+    assert [r["error"] for r in engines.recognise(c, Broken).collect()] == ["chunk 0: no", "chunk 1: no"]
+    assert [(r["text"], r["error"]) for r in engines.recognise(c, Broken, swallow=True).collect()] == [("", None)] * 2
+
+
+def test_page_source(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"GIF89a")
+    up = files.uploads(spark, str(tmp_path), "pdf")
+    assert {r["name"]: r["check"] for r in up.collect()} == {"a.pdf": "ok", "b.pdf": "File type mismatch: expected pdf, detected image"}
+
+    def render(data, zoom):
+        if data.startswith(b"GIF"):
+            raise ValueError("bad")
+        return data.split(b"\f")
+
+    got = files.pages(up, render, key="name").sort("name", "page_number").collect()
+    assert [(r["page_name"], r["total_pages"], r["error"]) for r in got] == [("a.pdf_page_001.png", 2, None), ("a.pdf_page_002.png", 2, None), (None, 0, "Failed to convert: bad")]
+
+
+def test_split_method(spark):
+    df = spark.createDataFrame([([5], [], True), ([], [7], True), ([], [], True), ([5], [], False)], "p array<bigint>, c array<bigint>, n boolean")
+    r = df.select(splitting.choose(F.col("n"), F.col("p"), F.col("c")).alias("m"), splitting.recommended(splitting.report(F.col("p"), F.col("c"))).alias("r")).collect()
+    assert [x["m"] for x in r] == ["projection", "components", "grid", "none"] and [x["r"] for x in r] == ["projection", "components", "grid", "projection"]
+    with pytest.raises(ValueError):
+        splitting.by_name("x", F.lit(1), F.lit(1), F.lit(1))
+
+
+def test_pixel_kernels():
+    flat = np.full((12, 12), 7, np.uint8)
+    assert kernels.laplacian_variance(flat) == 0 and kernels.noise_level(flat) == 0 and kernels.michelson(flat) == 0 and kernels.skew_angle(flat) == 0
+    two = np.full((40, 60), 250, np.uint8)
+    two[5:15, 5:15] = 10
+    two[20:35, 30:55] = 12
+    assert 12 <= kernels.otsu_threshold(two) < 250 and kernels.ink(two).sum() == 100 + 375
+    assert [r[:4] for r in kernels.regions(two)] == [(1, 1, 18, 18), (26, 16, 33, 23)]
+    assert set(np.unique(kernels.binarize_otsu(two))) == {0, 255} and (kernels.invert(kernels.invert(two)) == two).all()
+    assert kernels.stretch(np.array([[10, 20], [30, 60]], np.uint8)).tolist() == [[0, 51], [102, 255]]
+    assert kernels.rotate(two, 0.05) is two and kernels.rotate(two, 90).shape == (60, 40)
+    assert kernels.resize(two, 120, 80).shape == (80, 120) and kernels.denoise(flat, 10).tolist() == flat.tolist()
+    assert kernels.binarize_adaptive(two).shape == two.shape
+    assert kernels.michelson(np.zeros((1, 1), np.uint8)) == 0.0 and kernels.analyse.__doc__
+    diagonal = np.eye(4, dtype=bool)
+    assert kernels.components(diagonal) == [(0, 0, 4, 4, 4)]
+    assert len(kernels.components(np.array([[1, 0, 1], [1, 0, 1], [1, 1, 1]], bool))) == 1
+
+
+def test_webhook_attempts():
+    calls = []
+
+    class Frame:
+        def select(self, *a):
+            return self
+
+        def where(self, *a):
+            return self
+
+        def foreachPartition(self, f):
+            f([{"webhook_url": "u", "payload": "p"}, {"webhook_url": "", "payload": "q"}])
+
+    import docsheaf.streaming.jobs as m
+
+    old, m.F = m.F, type("F", (), {"coalesce": staticmethod(lambda *a: ""), "lit": staticmethod(lambda x: x)})
+    try:
+        job_stream.deliver(lambda u, p: calls.append(u) or False)(Frame(), 0)
+    finally:
+        m.F = old
+    assert calls == ["u"] * 3
