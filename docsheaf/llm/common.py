@@ -20,6 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def map_batches(df: DataFrame, columns: list[str], schema: StructType, make: Callable) -> DataFrame:
     """One Arrow pass. ``make()`` runs once per task and gives a function from a dict of
     column lists to a dict of column lists; only one batch is in memory at a time."""
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -30,6 +31,14 @@ def map_batches(df: DataFrame, columns: list[str], schema: StructType, make: Cal
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch: whole documents are long, so the usual 10,000 of them do not fit a
+    Python worker's share of memory. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a local one is chosen only where none is configured."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches, table
+from .common import id_type, map_batches, small_batches, table
 
 K, SIMILARITY, FUNCTIONS, PICKS, BLOCK = 5, 0.8, 24, 3, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -270,6 +270,7 @@ def _linked(rows: DataFrame) -> DataFrame:
         if held:
             yield close()
 
+    small_batches(rows.sparkSession)
     return rows.select("unit", "side", "node", "words").mapInArrow(run, schema)
 
 

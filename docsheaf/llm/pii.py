@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, map_batches, table
+from .common import id_type, map_batches, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SUPPORT, LEAST_BITS, LEAST_SHARE = 3, 3, 8.0, 0.8
@@ -143,6 +143,7 @@ def _term_counts(df: DataFrame, text: str) -> DataFrame:
         if counts:
             yield out(counts)
 
+    small_batches(df.sparkSession)
     return df.select(text).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
