@@ -31,7 +31,7 @@ from .common import id_type, map_batches, table
 
 BUCKETS, MAX_SAMPLE, MAX_LANGUAGES = 1 << 15, 20_000, 64
 TEMPER, MOST_NATS, HOST_WEIGHT, SUFFIX_WEIGHT = 0.1, 30.0, 20.0, 50.0
-LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS, FLOOR_DROP = 2, 0.5, 8.0, 3.5
+LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS, FLOOR_DROP = 2, 0.5, 8.0, 4.5
 
 
 _SPACED = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
@@ -74,7 +74,7 @@ def train(df: DataFrame, declared: str = "lang", text: str = "text", key: str =
     for r in map_batches(few, ["__d", "__t"], schema, make).toLocalIterator():
         counts[place[r["lang"]]] += np.frombuffer(r["counts"], "<i8")
     logp = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets)).astype(np.float32)
-    p = np.exp(logp)
+    p = counts / np.maximum(1.0, counts.sum(axis=1, keepdims=True))
     mean = (p * logp).sum(axis=1)
     spread = np.sqrt((p * (logp - mean[:, None]) ** 2).sum(axis=1))
     return {"names": sorted(names), "logp": logp, "floor": mean, "margin": spread}
