@@ -67,6 +67,12 @@ http://ads-network-track.test/pixel
 http://www.ads-track-clicks.test/
 https://spam-pages.test/
 http://cheap-pills-for-less.test/
+http://cheap-pills-store.test/en/450
+https://www.spam-farm-links.test/de/612.html
+http://m.free-bets-now.test/fr/176/
+https://blog.adult-x-pics.test/es/77?page=2
+http://ads-track-pixel.test/en/9#top
+https://www.casino-win-big.test/en/3310
 """.split()
 WANTED = """
 https://www.university.test/research/papers/1234
@@ -142,10 +148,11 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 
 
 def ngram_buckets(host: Column, path: Column, buckets: int = BUCKETS, sizes: tuple = SIZES) -> Column:
-    """array<int>: the distinct hashed n-grams; marks at both ends of host and path are part of them."""
+    """array<int>: the distinct hashed n-grams; marks at both ends of host and path are part of
+    them, and runs of digits read as one zero."""
     parts = []
     for mark, s in (("h", host), ("p", path)):
-        s = F.when(s == "", "").otherwise(F.concat(F.lit("^"), s, F.lit("$")))
+        s = F.when(s == "", "").otherwise(F.concat(F.lit("^"), F.regexp_replace(s, "[0-9]+", "0"), F.lit("$")))
         for n in sizes:
             grams = F.transform(F.sequence(F.lit(1), F.char_length(s) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.lit(f"{mark}{n}"), F.substring(s, i, F.lit(n))), F.lit(buckets)).cast("int"))
             parts.append(F.when(F.char_length(s) >= n, grams).otherwise(F.array().cast("array<int>")))
