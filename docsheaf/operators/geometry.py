@@ -110,3 +110,19 @@ def rotated_canvas(w: Column, h: Column, degrees: Column) -> tuple[Column, Colum
     """Canvas that holds the rotated page; sines are rounded so that engines agree."""
     c, s = F.round(F.abs(F.cos(F.radians(degrees))), 9), F.round(F.abs(F.sin(F.radians(degrees))), 9)
     return (h * s + w * c).cast("long"), (h * c + w * s).cast("long")
+
+
+def scaled(w: Column, h: Column, factor: Column) -> tuple[Column, Column]:
+    return (w * factor).cast("long"), (h * factor).cast("long")
+
+
+def dpi_factor(current: Column, target: int = 300, cap: float = 3.0) -> Column:
+    """Direct scaling to a resolution: no least factor, the cap is fixed."""
+    return F.when(current >= target, 1.0).otherwise(F.least(F.lit(float(target)) / current, F.lit(cap)))
+
+
+def split_grid(target: Column, prefer_horizontal: Column) -> tuple[Column, Column]:
+    """(rows, cols) for a number of chunks; the longer side goes down the page if preferred."""
+    a = F.ceil(F.sqrt(target.cast("double"))).cast("long")
+    b = ceil_div(target, a)
+    return F.when(prefer_horizontal, a).otherwise(b), F.when(prefer_horizontal, b).otherwise(a)

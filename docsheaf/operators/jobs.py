@@ -79,3 +79,24 @@ def webhook_payload(job_id: Column, status: Column, filename: Column, error: Col
 def download_complete(files: DataFrame, key: str = "model", least: int = config.MODEL_MIN_BYTES) -> DataFrame:
     """Models whose files have no unfinished part and ``least`` bytes in all."""
     return files.groupBy(key).agg(F.sum("bytes").alias("bytes"), F.max(F.col("path").endswith(".incomplete").cast("int")).alias("open")).select(key, "bytes", ((F.col("open") == 0) & (F.col("bytes") >= least)).alias("complete"))
+
+
+def current_model(events: DataFrame, default: str = config.DEFAULT_ENGINE) -> DataFrame:
+    """(model): the global register. A ready model takes it, a removed one (not_found) clears it if
+    it was the last to write; an empty register holds the default."""
+    last = events.where(F.col("status").isin("ready", "not_found")).agg(F.max_by(F.struct("model", "status"), F.struct("us", "event_id")).alias("x"))
+    return last.select(F.coalesce(F.when(F.col("x.status") == "ready", F.col("x.model")), F.lit(default)).alias("model"))
+
+
+def status_map(events: DataFrame) -> DataFrame:
+    """(statuses): one map of every model's live status."""
+    return live_status(events, "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "status")))).alias("statuses"))  # a row per model
+
+
+def without(jobs_: DataFrame, gone: DataFrame, key: str = "job_id") -> DataFrame:
+    """Deleted jobs taken out."""
+    return jobs_.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def with_prefix(keys: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    return keys.where(F.startswith(F.col(key), F.lit(prefix)))

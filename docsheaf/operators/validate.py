@@ -54,3 +54,14 @@ def check_name(name: Column) -> Column:
         .when(F.contains(base, F.lit("..")) | F.startswith(base, F.lit(".")), "Invalid filename pattern")
         .when(F.char_length(base) > 255, "Filename too long (max 255 characters)").otherwise("ok")
     )
+
+
+def stored_name(job_id: Column, name: Column) -> Column:
+    """``{job_id}{suffix}``; a name without a suffix is stored as .png."""
+    suffix = F.regexp_extract(safe_name(name), r"^.+(\.[^.]+)$", 1)
+    return F.concat(job_id.cast("string"), F.when(suffix == "", ".png").otherwise(suffix))
+
+
+def submit(code: Column, name_check: Column, file_check: Column) -> Column:
+    """HTTP-like result of an upload: the engine gate first, then name and file (400), else 202."""
+    return F.when(code != 202, code).when((name_check != "ok") | (file_check != "ok"), 400).otherwise(202).cast("long")

@@ -222,6 +222,27 @@ def applied_step_union(spark, sf):
     return s.groupBy("grp").agg(F.array_sort(F.collect_set(F.struct(F.array_position(order, F.col("s")).alias("i"), "s"))).alias("a")).select("grp", F.array_join(F.transform("a", lambda x: x["s"]), ",").alias("steps"))
 
 
+@query
+def image_info(spark, sf):
+    rows, cols = geo.suggested_grid(*wh())
+    return fx.image_meta(spark, sf).select("doc_id", "width", "height", F.round(geo.megapixels(*wh()), 6).alias("megapixels"), geo.needs_splitting(*wh(), 2.0, 2048).alias("needs_splitting"), rows.alias("rows"), cols.alias("cols"))
+
+
+@query
+def scale_to_dpi(spark, sf):
+    d = fx.image_meta(spark, sf).withColumn("dpi", geo.estimated_dpi(*wh())).withColumn("f", geo.dpi_factor(F.col("dpi"), 400))
+    w, h = geo.scaled(*wh(), F.col("f"))
+    bw, bh = geo.scaled(*wh(), F.lit(1.5))
+    return d.select("doc_id", w.alias("w"), h.alias("h"), bw.alias("by_factor_w"), bh.alias("by_factor_h"))
+
+
+@query
+def split_grid(spark, sf):
+    d = fx.image_meta(spark, sf).withColumn("target", geo.target_chunks(*wh(), GLOBAL.max_megapixels, GLOBAL.max_dimension)).withColumn("prefer_horizontal", F.explode(F.array(F.lit(False), F.lit(True))))
+    rows, cols = geo.split_grid(F.col("target"), F.col("prefer_horizontal"))
+    return d.select("doc_id", "prefer_horizontal", rows.alias("rows"), cols.alias("cols"))
+
+
 # --- validation ---------------------------------------------------------------------------
 
 
@@ -376,6 +397,37 @@ def download_complete(spark, sf):
     return jobs.download_complete(files)
 
 
+@query
+def current_model(spark, sf):
+    return jobs.current_model(fx.model_events(spark, sf))
+
+
+@query
+def status_map(spark, sf):
+    m = jobs.status_map(fx.model_events(spark, sf))
+    entry = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    return m.select(F.array_join(F.array_sort(F.transform(F.map_entries("statuses"), entry)), ",").alias("statuses"))
+
+
+@query
+def submit_upload(spark, sf):
+    """Uploads to job rows: engine gate, checks, stored name, first status."""
+    m = fx.model_events(spark, sf)
+    state = m.groupBy("model").agg(F.max_by("status", F.struct("us", "event_id")).alias("status"))  # one row per engine
+    u = fx.uploads(spark, sf).withColumn("engine", jobs.resolve_engine(F.get(F.array(F.lit("qari"), F.lit(""), F.lit("nope")), (F.col("doc_id") % 3).cast("int")), F.lit(None).cast("string")))
+    j = u.join(F.broadcast(state), u["engine"] == state["model"], "left")
+    code = validate.submit(jobs.submit_gate(F.col("engine"), F.col("status")), validate.check_name(F.col("filename")), validate.check_file(F.col("size_bytes"), F.col("header"), "image", config.MAX_IMAGE_MB))
+    return j.withColumn("code", code).select("doc_id", "engine", "code", F.when(F.col("code") == 202, "pending").alias("state"), F.when(F.col("code") == 202, validate.stored_name(F.col("doc_id"), F.col("filename"))).alias("stored_as"))
+
+
+@query
+def job_lookup(spark, sf):
+    """Point lookup and prefix scan over keyed states; deleted jobs are gone."""
+    s = jobs.latest(fx.job_events(spark, sf))
+    left = jobs.without(s, s.where("job_id % 10 = 3")).withColumn("key", F.concat(F.lit("job:"), F.col("job_id")))
+    return jobs.with_prefix(left, "job:1").select("key", "status")
+
+
 # --- pixels -------------------------------------------------------------------------------
 
 

@@ -223,4 +223,14 @@ ORACLE_SQL = {
     "engine_concat": f"WITH {chunks(1)} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM chunk GROUP BY doc_id",
     "pdf_to_pages": "SELECT doc_id, n AS page_number, total AS total_pages, doc_id || '_page_' || printf('%03d', n) || '.png' AS page_name, CAST(strlen(l) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, len(string_split(text, chr(10))) AS total, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)",
     "job_state_stream": f"WITH {JOBS} SELECT job_id, status, updated_us, error FROM latest",
+    "image_info": SUGGESTED + " SELECT k.doc_id, k.width, k.height, round(k.width * k.height / 1000000.0::DOUBLE, 6) AS megapixels, need AS needs_splitting, rows, cols FROM k JOIN grid USING (doc_id)",
+    "scale_to_dpi": f"WITH {META} SELECT doc_id, CAST(trunc(width * f) AS BIGINT) AS w, CAST(trunc(height * f) AS BIGINT) AS h, CAST(trunc(width * 1.5::DOUBLE) AS BIGINT) AS by_factor_w, CAST(trunc(height * 1.5::DOUBLE) AS BIGINT) AS by_factor_h FROM (SELECT *, CASE WHEN dpi >= 400 THEN 1.0::DOUBLE ELSE least(400.0::DOUBLE / dpi, 3.0) END AS f FROM dpi)",
+    "split_grid": f"""WITH {META}, t AS (SELECT doc_id, CAST(greatest(ceil(width * height / 1000000.0::DOUBLE / 2.0::DOUBLE), ceil(width / 2048.0) * ceil(height / 2048.0), 2) AS BIGINT) AS target FROM meta), g AS (SELECT doc_id, CAST(ceil(sqrt(target)) AS BIGINT) AS a, CAST(ceil(target / ceil(sqrt(target))) AS BIGINT) AS b FROM t)
+ SELECT doc_id, p AS prefer_horizontal, CASE WHEN p THEN a ELSE b END AS rows, CASE WHEN p THEN b ELSE a END AS cols FROM g, (VALUES (false), (true)) v(p)""",
+    "current_model": f"WITH {MODELS}, l AS (SELECT arg_max({{'m': model, 's': status}}, (us, event_id)) AS x FROM m WHERE status IN ('ready', 'not_found')) SELECT coalesce(CASE WHEN x.s = 'ready' THEN x.m END, 'deepseek') AS model FROM l",
+    "status_map": f"WITH {MODELS}, s AS (SELECT model, arg_max(status, (us, event_id)) AS raw, max(us) AS u, max(now_us) AS n FROM m GROUP BY model) SELECT string_agg(model || '=' || CASE WHEN raw IN ('downloading', 'loading') AND n - u > 600000000 THEN 'not_found' ELSE raw END, ',' ORDER BY model) AS statuses FROM s",
+    "submit_upload": f"""WITH {MODELS}, {UPLOADS}, s AS (SELECT model, arg_max(status, (us, event_id)) AS status FROM m GROUP BY model), u AS (SELECT *, coalesce(nullif(['qari', '', 'nope'][CAST(doc_id % 3 AS INT) + 1], ''), 'deepseek') AS engine, regexp_extract(regexp_replace(filename, '(/\\.?)+$', ''), '([^/]*)$', 1) AS base FROM kind),
+ c AS (SELECT doc_id, engine, base, CAST(CASE WHEN engine NOT IN ('qari', 'got', 'deepseek') THEN 400 WHEN status IN ('downloading', 'failed') THEN 503 WHEN filename = '' OR base = '' OR base = '.' OR contains(base, '..') OR starts_with(base, '.') OR length(base) > 255 OR {check('image', 50)} <> 'ok' THEN 400 ELSE 202 END AS BIGINT) AS code FROM u LEFT JOIN s ON s.model = u.engine)
+ SELECT doc_id, engine, code, CASE WHEN code = 202 THEN 'pending' END AS state, CASE WHEN code = 202 THEN doc_id || CASE WHEN regexp_extract(base, '^.+(\\.[^.]+)$', 1) = '' THEN '.png' ELSE regexp_extract(base, '^.+(\\.[^.]+)$', 1) END END AS stored_as FROM c""",
+    "job_lookup": f"WITH {JOBS} SELECT 'job:' || job_id AS key, status FROM latest WHERE job_id % 10 <> 3 AND starts_with('job:' || job_id, 'job:1')",
 }

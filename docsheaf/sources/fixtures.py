@@ -51,8 +51,9 @@ def epoch_us(ts: Column) -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ``us`` (compressed time) and ``now_us``, its largest value."""
     e = read(spark, sf_dir, "events").withColumn("t", epoch_us(F.col("ts")))
-    bounds = e.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    return e.crossJoin(F.broadcast(bounds)).withColumn("us", F.expr("(t - t0) div 20")).withColumn("now_us", F.expr("(t1 - t0) div 20")).drop("t", "t0", "t1")
+    # two scalar subqueries over the one column, computed once
+    bound = lambda f: read(spark, sf_dir, "events").select(f(epoch_us(F.col("ts")))).scalar()
+    return e.withColumn("t0", bound(F.min)).withColumn("t1", bound(F.max)).withColumn("us", F.expr("(t - t0) div 20")).withColumn("now_us", F.expr("(t1 - t0) div 20")).drop("t", "t0", "t1")
 
 
 def mapped(column: Column, names: dict) -> Column:
