@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsheaf.functions.text import let
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # (kind, pattern, group-1 rule): a run of 20 or 24 characters is a maximal run of that length or more
 BASE = (("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-f]{24,}"))
@@ -61,24 +63,24 @@ def _windows(value: Column, least: float, width: int = WIDTH) -> Column:
     plogp = F.array(*[F.lit(x) for x in _PLOGP])
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
-    def count(window, ch):
-        return F.char_length(window) - F.char_length(F.replace(window, ch, F.lit("")))
-
-    def slide(acc, i):
-        kept = F.substring(value, F.greatest(i - width + 1, F.lit(1)), F.least(i - 1, F.lit(width - 1)))
-        enters = F.substring(value, i, F.lit(1))
-        leaves = F.substring(value, i - width, F.lit(1))
-        c_out, c_in = count(kept, leaves), count(kept, enters)
-        fall = F.when(i > width, F.get(plogp, c_out + 1) - F.get(plogp, c_out)).otherwise(0.0)
-        s = acc["s"] - fall + F.get(plogp, c_in + 1) - F.get(plogp, c_in)
-        hot = (i >= width) & (math.log2(width) - s / width >= least - 1e-9)
-        return F.struct(
-            s.alias("s"),
-            F.when((acc["first"] == 0) & hot, i - width + 1).otherwise(acc["first"]).alias("first"),
-            F.when(hot, i).otherwise(acc["last"]).alias("last"),
-        )
+    def over(chars):
+        def slide(acc, i):
+            # counts of the leaving and the entering character among those that stay
+            kept = F.slice(chars, F.greatest(i - width + 2, F.lit(1)), F.least(i, F.lit(width - 1)))
+            enters, leaves = F.get(chars, i), F.get(chars, i - width)
+            counted = lambda ch: F.size(F.filter(kept, lambda c: c == ch))
+            fall = F.when(i >= width, let(counted(leaves), lambda c: F.get(plogp, c + 1) - F.get(plogp, c))).otherwise(0.0)
+            rise = let(counted(enters), lambda c: F.get(plogp, c + 1) - F.get(plogp, c))
+
+            def moved(s):
+                hot = (i >= width - 1) & (math.log2(width) - s / width >= least - 1e-9)
+                return F.struct(s.alias("s"), F.when((acc["first"] == 0) & hot, i - width + 2).otherwise(acc["first"]).alias("first"), F.when(hot, i + 1).otherwise(acc["last"]).alias("last"))
+
+            return let(acc["s"] - fall + rise, moved)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, slide, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), start, slide, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return let(F.split(value, ""), over)
 
 
 def secret_spans(text: Column, classes: dict = CLASSES, allow: tuple = ALLOW, width: int = WIDTH) -> Column:
