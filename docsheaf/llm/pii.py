@@ -15,6 +15,7 @@ Null and empty texts have no spans. Equal texts give equal spans; other columns
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -77,7 +78,13 @@ def entities(text: str) -> list[tuple]:
 def neighbours(text: str, found: list[tuple], near: int = NEAR) -> list[tuple]:
     """(entity, term, start, end): the ``near`` terms on either side of each entity."""
     out = []
-    taken = [(a, b) for a, _, b in found]
+    starts, ends = [], []  # disjoint covered stretches
+    for a, _, b in found:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for first, rank, last in found:
         entity = f"{KINDS[rank]}:{text[first:last].lower()}"
         span = 24 * near + 40
@@ -88,7 +95,8 @@ def neighbours(text: str, found: list[tuple], near: int = NEAR) -> list[tuple]:
         if after and after[-1].end() == last + span < len(text):
             after = after[:-1]
         for m in before[-near:] + after[:near]:
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            i = bisect_left(starts, m.end()) - 1
+            if i < 0 or ends[i] <= m.start():
                 out.append((entity, m[0].lower(), m.start(), m.end()))
     return out
 
