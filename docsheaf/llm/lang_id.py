@@ -146,9 +146,11 @@ def identify(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id"
     by_suffix = F.transform(base, lambda p, i: (F.get("__sv", i) + SUFFIX_WEIGHT * p) / (size(F.col("__sv")) + SUFFIX_WEIGHT))
     hosts = hosts.join(suffix, "__suffix").withColumn("__sp", by_suffix)
     by_host = F.transform("__sp", lambda p, i: (F.get("__hv", i) + HOST_WEIGHT * p) / (size(F.col("__hv")) + HOST_WEIGHT))
-    hosts = hosts.select("__host", by_host.alias("__prior"))
+    # written, so that their size is known: small ones are broadcast, large ones joined by key with
+    # the other side free to be split
+    hosts = table(hosts.select("__host", by_host.alias("__prior")))
     per_language = F.array(*[F.lit(x + 2.0) for x in overall])
-    told = told.select("__declared", F.transform("__dv", lambda x, i: F.log((x + 0.5) / F.get(per_language, i))).alias("__say"))
+    told = table(told.select("__declared", F.transform("__dv", lambda x, i: F.log((x + 0.5) / F.get(per_language, i))).alias("__say")))
     joined = known.join(hosts, known["__host"].eqNullSafe(hosts["__host"]), "left").drop(hosts["__host"]).join(told, known["__declared"].eqNullSafe(told["__declared"]), "left").drop(told["__declared"])
     score = F.transform("__lik", lambda x, i: x + F.log(F.coalesce(F.get("__prior", i), F.get(base, i))) + F.coalesce(F.get("__say", i), F.lit(0.0)))
     out = joined.withColumn("__p", _softmax(score)).withColumn("__i", (F.array_position("__p", F.array_max("__p")) - 1).cast("int"))
