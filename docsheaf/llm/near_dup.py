@@ -304,6 +304,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     """(key, class_id, class_rows) of every row."""
     labelled = _labelled(df, text, key, block)
     several = labelled.groupBy("class").agg(F.min(key).alias("class_id"), F.count("*").alias("class_rows")).where("class_rows > 1")
+    several = table(several)  # an exchange of its own, so that a hot class can be split in the join
     return labelled.join(several, "class", "left").select(
         key, F.when(F.col("class_rows").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")
     )
@@ -314,6 +315,7 @@ def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", bloc
     rows that agree in key and text one stays."""
     labelled = _labelled(df, text, key, block)
     picks = labelled.groupBy("class").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_key").alias("t"))).alias("p"), F.count("*").alias("c")).where("c > 1").select("class", F.col("p.k").alias("__k"), F.col("p.t").alias("__t"))
+    picks = table(picks)  # as in classes()
     gone = labelled.join(picks, "class").where(~(F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_key") == F.col("__t")))).select(F.col(key).alias("__gk"), F.col("text_key").alias("__gt")).distinct()
     keyed = df.withColumn("__tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     left = keyed.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("__gk")) & (F.col("__tk") == F.col("__gt")), "left_anti")
