@@ -209,9 +209,9 @@ def sanitised(text: Column, spans_: Column, remove_terms: bool = False) -> Colum
 
 def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars", **how) -> DataFrame:
     """The rows of ``df``, all columns, with spans generalised in the text; ``n_chars`` follows."""
-    by_text = spans(df, text, key, **how).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("__spans"))
+    by_text = spans(df, text, key, **how).where(F.size("spans") > 0).groupBy(F.col("text_key").alias("__stk")).agg(F.first("spans").alias("__spans"))
     none = F.array().cast("array<struct<first:int,rank:int,last:int>>")
-    out = df.withColumn("__tk", text_key(text)).join(by_text.hint("merge"), F.col("__tk") == F.col("text_key"), "left")
+    out = df.withColumn("__tk", text_key(text)).join(by_text.hint("merge"), F.col("__tk") == F.col("__stk"), "left")
     out = out.withColumn(text, sanitised(F.col(text), F.coalesce("__spans", none)))
     if n_chars in df.columns:
         out = out.withColumn(n_chars, F.when(F.col("__spans").isNotNull(), F.char_length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))

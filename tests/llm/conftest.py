@@ -8,8 +8,8 @@ ROWS = [(1, None), (2, ""), (3, " \n\t "), (4, "One."), (5, "The same text twice
 @pytest.fixture(scope="session")
 def odd(spark):
     """Awkward rows, with extra columns whose names clash with outputs."""
-    extra = "lang string, source string, n_chars long, score string, spans string, kept string, language string, n_words string, class_id string, base_failed string, length string, host string, media string"
-    rows = [(k, t, "en", "src0", len(t or ""), *["x"] * 10) for k, t in ROWS]
+    extra = "lang string, source string, n_chars long, score string, spans string, kept string, language string, n_words string, class_id string, base_failed string, length string, host string, media string, text_key string, node string, term string"
+    rows = [(k, t, "en", "src0", len(t or ""), *["x"] * 13) for k, t in ROWS]
     return spark.createDataFrame(rows, "doc_id long, text string, " + extra)
 
 
