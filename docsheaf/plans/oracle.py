@@ -63,18 +63,18 @@ def check(expected: str, mb: int) -> str:
  WHEN kind = 'unknown' THEN 'Unknown or unsupported file type' WHEN kind <> '{expected}' THEN 'File type mismatch: expected {expected}, detected ' || kind ELSE 'ok' END"""
 
 
-def overlap(prev: str, now: str) -> str:
-    a, b = f"right({prev}, 500)", f"left({now}, 500)"
-    return f"coalesce(list_max(list_filter(range(10, least(length({a}), length({b})) + 1), lambda n: right({a}, n) = left({b}, n))), 0)"
-
-
-def merged(columns: int) -> str:
-    """The fold of chunk texts as a recursion over the reading order."""
+def merged(columns: int, text: str = "text", rtl: bool = False) -> str:
+    """The fold of chunk texts as a recursion over the reading order. Right to left, marks do not
+    count for the overlap and the cut is behind its last other character."""
+    marks = char_class(MARKS)
+    plain = lambda x: f"regexp_replace({x}, '{marks}', '', 'g')" if rtl else x
+    letters = "string_split(left(t, 500), '')"
+    cut = f"list_filter(range(1, len({letters}) + 1), lambda i: NOT regexp_matches({letters}[i], '{marks}'))[ov]" if rtl else "ov"
     return f"""WITH RECURSIVE {chunks(columns)},
-o AS (SELECT doc_id, r, c, {strip("text")} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY r, c) AS k, count(*) OVER (PARTITION BY doc_id) AS n, lag(r) OVER (PARTITION BY doc_id ORDER BY r, c) AS r0, lag(c) OVER (PARTITION BY doc_id ORDER BY r, c) AS c0 FROM chunk),
+o AS (SELECT doc_id, r, c, {strip(text)} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY r, c) AS k, count(*) OVER (PARTITION BY doc_id) AS n, lag(r) OVER (PARTITION BY doc_id ORDER BY r, c) AS r0, lag(c) OVER (PARTITION BY doc_id ORDER BY r, c) AS c0 FROM chunk),
 f AS (SELECT doc_id, k, n, t AS prev, CASE WHEN t = '' THEN []::VARCHAR[] ELSE [t] END AS parts FROM o WHERE k = 1
  UNION ALL SELECT doc_id, k, n, CASE WHEN t = '' THEN prev WHEN fresh THEN t WHEN rest <> '' THEN t ELSE prev END, CASE WHEN t = '' THEN parts WHEN fresh THEN list_append(parts, t) WHEN rest <> '' THEN list_append(parts, rest) ELSE parts END
- FROM (SELECT *, CASE WHEN ov >= 10 THEN {strip("substring(t, ov + 1)")} ELSE t END AS rest FROM (SELECT f.doc_id, o.k, f.n, f.prev, f.parts, o.t, f.prev = '' OR NOT ((o.r = o.r0 AND abs(o.c - o.c0) = 1) OR (abs(o.r - o.r0) = 1 AND o.c = o.c0)) AS fresh, {overlap("f.prev", "o.t")} AS ov FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)))
+ FROM (SELECT *, CASE WHEN ov >= 10 THEN {strip(f"substring(t, {cut} + 1)")} ELSE t END AS rest FROM (SELECT *, coalesce(list_max(list_filter(range(10, least(length(pa), length(pb)) + 1), lambda n: right(pa, n) = left(pb, n))), 0) AS ov FROM (SELECT f.doc_id, o.k, f.n, f.prev, f.parts, o.t, f.prev = '' OR NOT ((o.r = o.r0 AND abs(o.c - o.c0) = 1) OR (abs(o.r - o.r0) = 1 AND o.c = o.c0)) AS fresh, {plain("right(f.prev, 500)")} AS pa, {plain("left(o.t, 500)")} AS pb FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1))))
 SELECT doc_id, {strip("array_to_string(parts, chr(10) || chr(10))")} AS merged FROM f WHERE k = n"""
 
 
@@ -152,6 +152,15 @@ p AS (SELECT one.doc_id, one.size, i1, i2, arg_min(y, (abs(y - i1), y)) AS p1, a
 k AS (SELECT *, coalesce(abs(p1 - i1) < size / 3.0::DOUBLE * 0.5 AND p1 >= 64 AND p1 <= size - 64, false) AS ok1, coalesce(abs(p2 - i2) < size / 3.0::DOUBLE * 0.5 AND p2 >= 64 AND p2 <= size - 64, false) AS ok2 FROM p)
 SELECT doc_id, array_to_string(list_sort(list_concat(CASE WHEN ok1 THEN [p1] ELSE [] END, CASE WHEN ok2 AND NOT (ok1 AND abs(p1 - p2) < 64) THEN [p2] ELSE [] END)), ',') AS splits FROM k"""
 
+SMART = f"""WITH {GAPS}, ht AS (SELECT doc_id, count(*) AS height FROM ink GROUP BY doc_id),
+pr AS (SELECT ht.doc_id, height, CASE WHEN g IS NULL THEN NULL WHEN len(g) = 1 THEN g[1] ELSE {NEAREST('g', '(height * 1.0::DOUBLE / 2.0::DOUBLE)')} END AS p FROM ht LEFT JOIN pos USING (doc_id)),
+ok AS (SELECT *, coalesce(p >= 128 AND height - p >= 128, false) AS proj FROM pr),
+ln AS (SELECT doc_id, floor((y - 20) / 16.0) AS line, greatest(0, min(y) - 5) AS a, max(y) + 1 + 5 AS b FROM ink WHERE ink > 0 GROUP BY ALL),
+fr AS (SELECT i.doc_id, i.y FROM ink i WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.doc_id = i.doc_id AND i.y >= ln.a AND i.y < ln.b)),
+q AS (SELECT ok.doc_id, height, proj, CAST(trunc(height / 2.0::DOUBLE) AS BIGINT) AS ideal, arg_min(y, (abs(y - CAST(trunc(height / 2.0::DOUBLE) AS BIGINT)), y)) AS c FROM ok LEFT JOIN fr USING (doc_id) GROUP BY ALL),
+z AS (SELECT doc_id, proj, NOT proj AND coalesce(abs(c - ideal) < height / 2.0::DOUBLE * 0.5 AND c >= 64 AND c <= height - 64, false) AS comp, 1000 * height / 1000000.0::DOUBLE > 0.15::DOUBLE OR height > 2048 AS need FROM q)
+SELECT doc_id, CASE WHEN NOT need THEN 'none' WHEN proj THEN 'projection' WHEN comp THEN 'components' ELSE 'grid' END AS method, CASE WHEN proj THEN 'projection' WHEN comp THEN 'components' ELSE 'grid' END AS recommended FROM z"""
+
 LOCKS = f"""WITH {MODELS}, a AS (SELECT user_id, list(us ORDER BY us, event_id) AS u, list(event_id ORDER BY us, event_id) AS ids FROM m WHERE locks GROUP BY user_id),
 s AS (SELECT user_id, list_reduce(list_transform(range(1, len(u) + 1), lambda i: {{'at': u[i], 'holder': ids[i], 'n': 1::BIGINT}}), lambda a, x: CASE WHEN x.at - a.at >= 900000000 THEN {{'at': x.at, 'holder': x.holder, 'n': a.n + 1}} ELSE a END) AS s FROM a)
 SELECT user_id, s.n AS acquisitions, s.holder AS holder FROM s"""
@@ -233,4 +242,6 @@ ORACLE_SQL = {
  c AS (SELECT doc_id, engine, base, CAST(CASE WHEN engine NOT IN ('qari', 'got', 'deepseek') THEN 400 WHEN status IN ('downloading', 'failed') THEN 503 WHEN filename = '' OR base = '' OR base = '.' OR contains(base, '..') OR starts_with(base, '.') OR length(base) > 255 OR {check('image', 50)} <> 'ok' THEN 400 ELSE 202 END AS BIGINT) AS code FROM u LEFT JOIN s ON s.model = u.engine)
  SELECT doc_id, engine, code, CASE WHEN code = 202 THEN 'pending' END AS state, CASE WHEN code = 202 THEN doc_id || CASE WHEN regexp_extract(base, '^.+(\\.[^.]+)$', 1) = '' THEN '.png' ELSE regexp_extract(base, '^.+(\\.[^.]+)$', 1) END END AS stored_as FROM c""",
     "job_lookup": f"WITH {JOBS} SELECT 'job:' || job_id AS key, status FROM latest WHERE job_id % 10 <> 3 AND starts_with('job:' || job_id, 'job:1')",
+    "rtl_merge": merged(1, "CASE WHEN idx % 2 = 1 THEN replace(text, 'e', 'e' || chr(1616)) ELSE text END", rtl=True),
+    "smart_split_method": SMART,
 }
