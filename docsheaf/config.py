@@ -53,6 +53,7 @@ class Preprocessing:
         _check(0 <= self.noise_threshold <= 1 and 0 <= self.skew_threshold <= 45 and 0 <= self.contrast_threshold <= 1 and self.blur_threshold > 0, "threshold out of range")
 
 
+# Per-engine overrides, names, times and limits (the defaults above are fixed too).
 GLOBAL_SPLITTING, GLOBAL_PREPROCESSING = Splitting(), Preprocessing()
 ENGINE_SPLITTING = {"qari": replace(GLOBAL_SPLITTING, max_megapixels=2.5, max_dimension=2560, overlap_percent=0.5, min_gap_pixels=20, gap_threshold=0.98, min_chunk_size=512, target_chunk_size=1536, prefer_horizontal_splits=True)}
 ENGINE_PREPROCESSING = {"qari": replace(GLOBAL_PREPROCESSING, max_scale_factor=1.0, denoise_strength=0, binarization_method="none", auto_invert=False, preserve_color=True), "got": GLOBAL_PREPROCESSING, "deepseek": GLOBAL_PREPROCESSING}

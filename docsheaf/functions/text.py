@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: white space as code points: (first, last)
+# White space and combining Arabic marks as code points (first, last).
 SPACES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-#: combining Arabic marks
 MARKS = ((0x064B, 0x065F), (0x0670, 0x0670))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsheaf import config
 
+# Fixed value: the message of the sweep.
 STALE_ERROR = "Job timed out - worker may have crashed"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from docsheaf.functions.text import exact_overlap, let, position_of_base_char, strip, without_marks
 
+# Least overlap and the stretch of text that is compared.
 LEAST, MOST = 10, 500
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsheaf.config import Preprocessing
 
+# Step names in pipeline order.
 ORDER = ("grayscale", "invert", "noise_removal", "deskew", "normalization", "binarization", "scaling")
 
 

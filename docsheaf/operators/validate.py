@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: signature -> type, in the order they are tested
+# File signatures (hex) and their type, in the order they are tested; the messages below are fixed too.
 SIGNATURES = (("FFD8FF", "image"), ("89504E470D0A1A0A", "image"), ("474946383761", "image"), ("474946383961", "image"), ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image"))
 PDF_SIGNATURE, RIFF, WEBP = "255044462D", "52494646", "57454250"
 
