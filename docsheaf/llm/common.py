@@ -56,7 +56,15 @@ def table(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._docsheaf_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that nothing reads any more; what follows them must be written already."""
+    for t in tables:
+        _remove(t.sparkSession, t._docsheaf_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches, small_batches, table
+from .common import drop, id_type, map_batches, small_batches, table
 
 K, SIMILARITY, FUNCTIONS, PICKS, BLOCK = 5, 0.8, 24, 3, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,16 +185,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join has exchanges of its own and a hub's rows can be split
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = table(large)
+        down = table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        now = table(small)
+        before, now = now, table(small)
+        drop(before, least, large, down)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = table(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    drop(now)
+    return out
 
 
 def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -227,6 +232,7 @@ def _units(members: DataFrame, block: int) -> DataFrame:
     up = blocks.select("root", (F.col("g") - 1).alias("g"), F.col("b").alias("b_up"))
     down = blocks.select("root", (F.col("g") + 1).alias("g"), F.col("b").alias("b_down"))
     sized = blocks.join(total.where(F.col("f") > block), "root").join(up, ["root", "g"], "left").join(down, ["root", "g"], "left").drop("f")
+    sized = table(sized)  # apart from m's own exchange, so that a large family can be split in the join
     big = m.join(sized, ["root", "g"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("b", F.lit(1))).cast("int"))
     unit = lambda *x: F.xxhash64("root", *x)
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
@@ -297,7 +303,9 @@ def _labelled(df: DataFrame, text: str, key: str, block: int) -> DataFrame:
     rows = _units(members, block).join(_word_rows(texts.select("node", text), text), "node")
     links = table(_linked(rows.repartition("unit").sortWithinPartitions("unit", "node")))
     found = components(links, "a", "b")
-    return table(base.select(key, "text_key", "node").join(found, "node", "left").select(key, "text_key", F.coalesce("root", "node").alias("class")))
+    labelled = table(base.select(key, "text_key", "node").join(found, "node", "left").select(key, "text_key", F.coalesce("root", "node").alias("class")))
+    drop(base, families, members, links, found)
+    return labelled
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
