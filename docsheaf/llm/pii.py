@@ -109,9 +109,10 @@ _SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("ra
 _CONTEXT = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
 
-def mentions(df: DataFrame, text: str = "text", key: str = "doc_id", near: int = NEAR) -> DataFrame:
-    """(key, text_key, base spans, contexts) without the text itself."""
-    schema = T.StructType([T.StructField(key, id_type(df, key)), T.StructField("text_key", T.LongType()), T.StructField("base", T.ArrayType(_SPAN)), T.StructField("context", T.ArrayType(_CONTEXT))])
+def mentions(df: DataFrame, text: str = "text", carried: tuple = ("doc_id",), near: int = NEAR, prefix: str = "") -> DataFrame:
+    """(*carried, text_key, base spans, contexts); ``prefix`` keeps the new names apart."""
+    names = [prefix + c for c in ("text_key", "base", "context")]
+    schema = T.StructType([*[df.schema[c] for c in carried], *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(_SPAN), T.ArrayType(_CONTEXT)))]])
 
     def make():
         def step(cols):
@@ -121,11 +122,12 @@ def mentions(df: DataFrame, text: str = "text", key: str = "doc_id", near: int =
                 found = entities(t)
                 base.append([{"first": a, "rank": r, "last": b} for a, r, b in found])
                 context.append([{"entity": _hash(e), "term": _hash(w), "first": a, "last": b} for e, w, a, b in (neighbours(t, found, near) if found else ())])
-            return {key: cols[key], "text_key": cols["__tk"], "base": base, "context": context}
+            return {c: cols[c] for c in carried} | dict(zip(names, (cols["__tk"], base, context)))
 
         return step
 
-    return map_batches(df.select(F.col(key), F.col(text), text_key(text).alias("__tk")), [key, text, "__tk"], schema, make)
+    columns = list(dict.fromkeys([*carried, text]))
+    return map_batches(df.select(*columns, text_key(text).alias("__tk")), [*columns, "__tk"], schema, make)
 
 
 def text_key(text: str) -> Column:
@@ -174,17 +176,24 @@ def revealing(df: DataFrame, found: DataFrame, text: str = "text", support: int
     )
 
 
-def spans(df: DataFrame, text: str = "text", key: str = "doc_id", near: int = NEAR, **thresholds) -> DataFrame:
-    """(key, text_key, spans): base and term spans of every row, by start, then kind as listed."""
-    found = table(mentions(df, text, key, near))
-    flagged = revealing(df, found, text, **thresholds)
+def _marked(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(text_key, term spans) of the texts that hold a revealing pair."""
     where = found.where(F.size("context") > 0).select("text_key", F.explode("context").alias("c")).select("text_key", F.col("c.entity").alias("entity"), F.col("c.term").alias("term"), F.col("c.first").alias("first"), F.col("c.last").alias("last")).distinct()
-    marked = (
+    return (
         where.join(flagged, ["entity", "term"]).select("text_key", F.struct(F.col("first"), F.lit(len(KINDS) - 1).alias("rank"), F.col("last")).alias("s"))
         .groupBy("text_key").agg(F.collect_set("s").alias("__terms"))  # at most 2 * near for each entity of one text
     )
-    none = F.array().cast("array<struct<first:int,rank:int,last:int>>")
-    return found.join(marked, "text_key", "left").select(F.col(key), "text_key", F.array_sort(F.concat("base", F.coalesce("__terms", none))).alias("spans"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<first:int,rank:int,last:int>>")
+
+
+def spans(df: DataFrame, text: str = "text", key: str = "doc_id", near: int = NEAR, **thresholds) -> DataFrame:
+    """(key, text_key, spans): base and term spans of every row, by start, then kind as listed."""
+    found = table(mentions(df, text, (key,), near))
+    marked = _marked(found, revealing(df, found, text, **thresholds))
+    return found.join(marked, "text_key", "left").select(F.col(key), "text_key", F.array_sort(F.concat("base", F.coalesce("__terms", _none()))).alias("spans"))
 
 
 def joined(spans_: Column, kinds: tuple = KINDS) -> Column:
@@ -207,12 +216,15 @@ def sanitised(text: Column, spans_: Column, remove_terms: bool = False) -> Colum
     return F.when(F.size(spans_) > 0, whole).otherwise(text)
 
 
-def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars", **how) -> DataFrame:
-    """The rows of ``df``, all columns, with spans generalised in the text; ``n_chars`` follows."""
-    by_text = spans(df, text, key, **how).where(F.size("spans") > 0).groupBy(F.col("text_key").alias("__stk")).agg(F.first("spans").alias("__spans"))
-    none = F.array().cast("array<struct<first:int,rank:int,last:int>>")
-    out = df.withColumn("__tk", text_key(text)).join(by_text.hint("merge"), F.col("__tk") == F.col("__stk"), "left")
-    out = out.withColumn(text, sanitised(F.col(text), F.coalesce("__spans", none)))
+def sanitise(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", near: int = NEAR, **thresholds) -> DataFrame:
+    """The rows of ``df``, all columns, with spans generalised in the text; ``n_chars`` follows.
+    Only rows with an entity are joined by their text; all others pass as they are."""
+    rows = table(mentions(df, text, tuple(df.columns), near, prefix="__"))
+    found = rows.select(F.col("__text_key").alias("text_key"), F.col("__base").alias("base"), F.col("__context").alias("context"))
+    marked = _marked(found, revealing(df, found, text, **thresholds)).select(F.col("text_key").alias("__stk"), "__terms")
+    clean = rows.where(F.size("__base") == 0).select(*df.columns)
+    hit = rows.where(F.size("__base") > 0).join(marked.hint("merge"), F.col("__text_key") == F.col("__stk"), "left")
+    hit = hit.withColumn(text, sanitised(F.col(text), F.concat("__base", F.coalesce("__terms", _none()))))
     if n_chars in df.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__spans").isNotNull(), F.char_length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*df.columns)
+        hit = hit.withColumn(n_chars, F.char_length(text).cast(df.schema[n_chars].dataType))
+    return clean.unionByName(hit.select(*df.columns))
