@@ -1,7 +1,8 @@
 """Operator 6, language ID: Bayesian fusion of text, declared language, address suffix and host.
 
 Text evidence: log-likelihoods of hashed byte n-grams under one multinomial model per language,
-fitted on at most ``MAX_SAMPLE`` rows that declare the language (picked by hash of their key).
+fitted on a sample of about ``2 * MAX_SAMPLE`` rows that declare a language (picked by hash of
+their key; the whole table if it is smaller).
 Neighbouring n-grams are not independent, so their sum is tempered by ``temper`` and capped at
 ``most_nats``. Declared-language evidence: P(declared | language). Prior: P(language | host),
 smoothed towards P(language | address suffix), which is smoothed towards P(language), each by a
