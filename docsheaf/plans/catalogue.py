@@ -315,8 +315,7 @@ def component_splits(spark, sf):
     lines = p.where("ink > 0").groupBy("doc_id", F.floor((F.col("y") - 20) / 16).alias("line")).agg(F.min("y").alias("a"), (F.max("y") + 1).alias("b"))
     size = p.groupBy("doc_id").agg(F.count("*").alias("size"))
     occ = lines.groupBy("doc_id").agg(F.collect_list(F.struct(F.greatest(F.lit(0), F.col("a") - 5).alias("first"), (F.col("b") + 5).alias("last"))).alias("o"))
-    few = occ.join(size, "doc_id").where("size <= 600")
-    return few.select("doc_id", F.array_join(profile.free_positions_split(F.col("o"), F.col("size"), 2, 64).cast("array<string>"), ",").alias("splits"))
+    return occ.join(size, "doc_id").select("doc_id", F.array_join(profile.free_positions_split(F.col("o"), F.col("size"), 2, 64).cast("array<string>"), ",").alias("splits"))
 
 
 # --- jobs and models ----------------------------------------------------------------------
