@@ -1,14 +1,16 @@
 """Operator 8, PII: rule matches, then information-theoretic sanitisation of revealing terms.
 
-Base kinds (email, ip, card, phone) are protected entities. Terms near an entity are counted
-over all rows: n(e,t) rows have term t near entity e, n(e) have e, n(t) have t anywhere. A term
+Base kinds (email, ip, card, phone) are protected entities. Terms of a text with an entity are
+counted over the whole text, for the entity and for its part shared with others (e.g. the domain):
+n(e,t) rows have term t and entity or part e, n(e) have e, n(t) have t anywhere. A term
 reveals an entity if knowing t says much about e: the pointwise mutual information
 log2(n(e,t) * N / (n(e) * n(t))) is at least ``least_bits`` and the share n(e,t) / n(t) at least
 ``least_share``, and the pair is seen in ``support`` different texts. Such terms become spans
-too and are generalised (or removed) beside the entities.
+wherever they occur outside an entity, in texts with and without one. ``sanitise`` generalises (or
+removes) them in all texts with an entity; a text without one it leaves as it is.
 
 Everything that grows with the corpus is counted by grouped aggregation with partial sums and
-joined by key; nothing of it is broadcast or collected. Offsets are code points, end exclusive.
+joined by key. The driver gets a bitmap of fixed size. Offsets are code points, end exclusive.
 Null and empty texts have no spans. Equal texts give equal spans; other columns are not read.
 """
 
@@ -18,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 from .common import id_type, map_batches, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, LEAST_BITS, LEAST_SHARE = 3, 3, 8.0, 0.8
+SUPPORT, LEAST_BITS, LEAST_SHARE = 3, 8.0, 0.8
+BITS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -75,9 +79,25 @@ def entities(text: str) -> list[tuple]:
     return sorted(out)
 
 
-def neighbours(text: str, found: list[tuple], near: int = NEAR) -> list[tuple]:
-    """(entity, term, start, end): the ``near`` terms on either side of each entity."""
-    out = []
+def parts_of(text: str, found: list[tuple]) -> set[str]:
+    """The entities of a text and what they share with others: an address its domain, an ip its
+    first three numbers, a card its first six digits, a phone number all but its last four."""
+    out = set()
+    for first, rank, last in found:
+        kind, value = KINDS[rank], text[first:last].lower()
+        if kind == "email":
+            part = value[value.index("@") :]
+        elif kind == "ip":
+            part = value[: value.rindex(".") + 1]
+        else:
+            value = "".join(c for c in value if "0" <= c <= "9")
+            part = value[:6] if kind == "card" else value[:-4]
+        out |= {f"{kind}:{value}", f"{kind} part:{part}"}
+    return out
+
+
+def terms_of(text: str, found: list[tuple]):
+    """Matches of all terms of a text that touch no entity."""
     starts, ends = [], []  # disjoint covered stretches
     for a, _, b in found:
         if ends and a < ends[-1]:
@@ -85,20 +105,10 @@ def neighbours(text: str, found: list[tuple], near: int = NEAR) -> list[tuple]:
         else:
             starts.append(a)
             ends.append(b)
-    for first, rank, last in found:
-        entity = f"{KINDS[rank]}:{text[first:last].lower()}"
-        span = 24 * near + 40
-        before = [m for m in _TERM.finditer(text, max(0, first - span), first)]
-        if before and before[0].start() == max(0, first - span) > 0:
-            before = before[1:]  # may be cut
-        after = [m for m in _TERM.finditer(text, last, min(len(text), last + span))]
-        if after and after[-1].end() == last + span < len(text):
-            after = after[:-1]
-        for m in before[-near:] + after[:near]:
-            i = bisect_left(starts, m.end()) - 1
-            if i < 0 or ends[i] <= m.start():
-                out.append((entity, m[0].lower(), m.start(), m.end()))
-    return out
+    for m in _TERM.finditer(text):
+        i = bisect_left(starts, m.end()) - 1
+        if i < 0 or ends[i] <= m.start():
+            yield m
 
 
 def _hash(s: str) -> int:
@@ -106,23 +116,25 @@ def _hash(s: str) -> int:
 
 
 _SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("last", T.IntegerType())])
-_CONTEXT = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
 
-def mentions(df: DataFrame, text: str = "text", carried: tuple = ("doc_id",), near: int = NEAR, prefix: str = "") -> DataFrame:
-    """(*carried, text_key, base spans, contexts); ``prefix`` keeps the new names apart."""
-    names = [prefix + c for c in ("text_key", "base", "context")]
-    schema = T.StructType([*[df.schema[c] for c in carried], *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(_SPAN), T.ArrayType(_CONTEXT)))]])
+def mentions(df: DataFrame, text: str = "text", carried: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
+    """(*carried, text_key, base spans, parts of entities, terms of texts with an entity);
+    ``prefix`` keeps the new names apart."""
+    names = [prefix + c for c in ("text_key", "base", "parts", "terms")]
+    hashes = T.ArrayType(T.LongType())
+    schema = T.StructType([*[df.schema[c] for c in carried], *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(_SPAN), hashes, hashes))]])
 
     def make():
         def step(cols):
-            base, context = [], []
+            base, parts, terms = [], [], []
             for t in cols[text]:
                 t = t or ""
                 found = entities(t)
                 base.append([{"first": a, "rank": r, "last": b} for a, r, b in found])
-                context.append([{"entity": _hash(e), "term": _hash(w), "first": a, "last": b} for e, w, a, b in (neighbours(t, found, near) if found else ())])
-            return {c: cols[c] for c in carried} | dict(zip(names, (cols["__tk"], base, context)))
+                parts.append([_hash(p) for p in parts_of(t, found)])
+                terms.append([_hash(w) for w in {m[0].lower() for m in terms_of(t, found)}] if found else [])
+            return {c: cols[c] for c in carried} | dict(zip(names, (cols["__tk"], base, parts, terms)))
 
         return step
 
@@ -158,41 +170,82 @@ def _term_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def revealing(df: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, least_bits: float = LEAST_BITS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(entity, term) pairs over the disclosure thresholds. ``found`` is ``mentions(df)``."""
-    seen = found.where(F.size("context") > 0).select("text_key", F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-    # first by text, so that rows of one text are summed before they meet
-    pairs = seen.groupBy("p.entity", "p.term", "text_key").agg(F.count("*").alias("c"))
-    joint = pairs.groupBy("entity", "term").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    by_entity = (
-        found.where(F.size("context") > 0).select(F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e"))
-    )
+    """(term): terms of a pair over the disclosure thresholds. ``found`` is ``mentions(df)``."""
     n = float(max(1, df.where(F.col(text).isNotNull()).count()))
+    # first by text, so that rows of one text are summed before they meet
+    texts = found.where(F.size("parts") > 0).groupBy("text_key").agg(F.count("*").alias("c"), F.first("parts").alias("parts"), F.first("terms").alias("terms"))
+    by_text = texts.select("text_key", "c", F.explode("parts").alias("entity"))
+    # n(e,t) <= n(t), so an entity in more than n / 2**least_bits rows reaches the least bits with no term
+    by_entity = by_text.groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") <= n / 2.0**least_bits))
+    some = texts.select("c", "terms", F.explode("parts").alias("entity")).join(by_entity.select("entity", "n_e"), "entity")
+    joint = some.select("entity", "n_e", "c", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support)
     terms = _term_counts(df, text)
     bits = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
-    return (
-        joint.join(by_entity, "entity").join(terms.withColumnRenamed("n", "n_t"), "term")
-        .where((bits >= least_bits) & (F.col("n_et") >= least_share * F.col("n_t"))).select("entity", "term")
-    )
+    return joint.join(terms.withColumnRenamed("n", "n_t"), "term").where((bits >= least_bits) & (F.col("n_et") >= least_share * F.col("n_t"))).select("term").distinct()
+
+
+def _bitmap(flagged: DataFrame) -> np.ndarray:
+    """One bit for each low part of a flagged hash, of fixed size however many there are."""
 
+    def run(batches):
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & (BITS - 1)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in flagged.mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _marked(texts: DataFrame, flagged: DataFrame, text: str) -> DataFrame:
+    """(text_key, term spans): every place of a flagged term in ``texts`` (text_key, text). The
+    bitmap only saves rows; the join decides."""
+    flagged = table(flagged)  # its size is then known
+    bits = _bitmap(flagged)
+    schema = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("term", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+
+    def make():
+        packed = {}  # bounded: hashes of words seen
+
+        def hit(word):
+            h = packed.get(word)
+            if h is None:
+                if len(packed) > 100_000:
+                    packed.clear()
+                h = packed[word] = _hash(word)
+            return h if bits[h & (BITS - 1)] else None
+
+        def step(cols):
+            out = {f.name: [] for f in schema}
+            for k, t in zip(cols["text_key"], cols[text]):
+                if not t or all(hit(w.lower()) is None for w in set(_TERM.findall(t))):
+                    continue
+                for m in terms_of(t, entities(t)):
+                    h = hit(m[0].lower())
+                    if h is not None:
+                        for name, v in zip(out, (k, h, m.start(), m.end())):
+                            out[name].append(v)
+            return out
+
+        return step
 
-def _marked(found: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(text_key, term spans) of the texts that hold a revealing pair."""
-    where = found.where(F.size("context") > 0).select("text_key", F.explode("context").alias("c")).select("text_key", F.col("c.entity").alias("entity"), F.col("c.term").alias("term"), F.col("c.first").alias("first"), F.col("c.last").alias("last")).distinct()
-    return (
-        where.join(flagged, ["entity", "term"]).select("text_key", F.struct(F.col("first"), F.lit(len(KINDS) - 1).alias("rank"), F.col("last")).alias("s"))
-        .groupBy("text_key").agg(F.collect_set("s").alias("__terms"))  # at most 2 * near for each entity of one text
-    )
+    if not bits.any():
+        texts = texts.limit(0)
+    where = map_batches(texts, ["text_key", text], schema, make)
+    return where.join(flagged, "term").groupBy("text_key").agg(F.collect_set(F.struct(F.col("first"), F.lit(len(KINDS) - 1).alias("rank"), F.col("last"))).alias("__terms"))
 
 
 def _none() -> Column:
     return F.array().cast("array<struct<first:int,rank:int,last:int>>")
 
 
-def spans(df: DataFrame, text: str = "text", key: str = "doc_id", near: int = NEAR, **thresholds) -> DataFrame:
+def spans(df: DataFrame, text: str = "text", key: str = "doc_id", **thresholds) -> DataFrame:
     """(key, text_key, spans): base and term spans of every row, by start, then kind as listed."""
-    found = table(mentions(df, text, (key,), near))
-    marked = _marked(found, revealing(df, found, text, **thresholds))
+    found = table(mentions(df, text, (key,)))
+    marked = _marked(df.select(text_key(text).alias("text_key"), text), revealing(df, found, text, **thresholds), text)
     return found.join(marked, "text_key", "left").select(F.col(key), "text_key", F.array_sort(F.concat("base", F.coalesce("__terms", _none()))).alias("spans"))
 
 
@@ -216,14 +269,15 @@ def sanitised(text: Column, spans_: Column, remove_terms: bool = False) -> Colum
     return F.when(F.size(spans_) > 0, whole).otherwise(text)
 
 
-def sanitise(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", near: int = NEAR, **thresholds) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **thresholds) -> DataFrame:
     """The rows of ``df``, all columns, with spans generalised in the text; ``n_chars`` follows.
-    Only rows with an entity are joined by their text; all others pass as they are."""
-    rows = table(mentions(df, text, tuple(df.columns), near, prefix="__"))
-    found = rows.select(F.col("__text_key").alias("text_key"), F.col("__base").alias("base"), F.col("__context").alias("context"))
-    marked = _marked(found, revealing(df, found, text, **thresholds)).select(F.col("text_key").alias("__stk"), "__terms")
+    Rows without an entity pass as they are, also those with a flagged term."""
+    rows = table(mentions(df, text, tuple(df.columns), prefix="__"))
+    found = rows.select(F.col("__text_key").alias("text_key"), F.col("__parts").alias("parts"), F.col("__terms").alias("terms"))
     clean = rows.where(F.size("__base") == 0).select(*df.columns)
-    hit = rows.where(F.size("__base") > 0).join(marked.hint("merge"), F.col("__text_key") == F.col("__stk"), "left")
+    hit = rows.where(F.size("__base") > 0).drop("__terms")
+    marked = _marked(hit.select(F.col("__text_key").alias("text_key"), text), revealing(df, found, text, **thresholds), text).select(F.col("text_key").alias("__stk"), "__terms")
+    hit = hit.join(marked.hint("merge"), F.col("__text_key") == F.col("__stk"), "left")
     hit = hit.withColumn(text, sanitised(F.col(text), F.concat("__base", F.coalesce("__terms", _none()))))
     if n_chars in df.columns:
         hit = hit.withColumn(n_chars, F.char_length(text).cast(df.schema[n_chars].dataType))

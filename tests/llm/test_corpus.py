@@ -306,6 +306,20 @@ def test_revealing_terms(spark, odd, empty):
     assert wide.columns == odd.columns and wide.count() == odd.count() and pii.sanitise(empty).count() == 0
 
 
+def test_revealing_terms_far_from_the_entity(spark):
+    """Whole texts count, mailboxes of one domain count together, all places of a term are marked."""
+    far = " and so on with common words" * 20
+    rows = [(i, f"zorblatt wrote{far} box{i}@corp.example.com and zorblatt signed") for i in range(8)]
+    rows += [(50, "ask zorblatt or other@else.example.org"), (51, "zorblatt without data")]
+    rows += [(100 + i, f"wrote and signed{far} ask other or without data number{'y' * i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r["doc_id"]: [s["first"] for s in r["spans"] if s["rank"] == 4] for r in pii.spans(df).collect()}
+    assert got == {k: [m.start() for m in re.finditer("zorblatt", t)] for k, t in rows}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[0] == f"<TERM> wrote{far} <EMAIL> and <TERM> signed" and clean[50] == "ask <TERM> or <EMAIL>" and clean[51] == texts[51]
+
+
 def test_sanitised_overlaps(spark):
     df = spark.createDataFrame([("mail a@b.cd or +1 202 555 0101 99 🎉 1.2.3.4",)], "text string")
     t = df.first()["text"]
