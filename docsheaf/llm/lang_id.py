@@ -1,8 +1,8 @@
 """Operator 6, language ID: Bayesian fusion of text, declared language, address suffix and host.
 
 Text evidence: log-likelihoods of hashed byte n-grams under one multinomial model per language,
-fitted on a sample of about ``2 * MAX_SAMPLE`` rows that declare a language (picked by hash of
-their key; the whole table if it is smaller).
+fitted on about ``MAX_SAMPLE`` rows of each declared language (picked by hash of their key; all
+rows of a language that has no more). Every declared language has a model, of 128 KB in each task.
 Neighbouring n-grams are not independent, so their sum is tempered by ``temper`` and capped at
 ``most_nats``. Declared-language evidence: P(declared | language). Prior: P(language | host),
 smoothed towards P(language | address suffix), which is smoothed towards P(language), each by a
@@ -12,7 +12,7 @@ posterior is the normalised product.
 A row is rejected if its text has fewer than ``least_letters`` letters, if the best posterior
 is under ``least_posterior``, or if its n-grams are too unlike the best language's own: their
 mean log-likelihood is under the language's own mean by ``floor_drop`` nats and ``floor_spreads``
-standard errors.
+standard errors. A language whose rows have no n-grams has no such floor.
 
 Defined results: null text counts as empty and is rejected with the prior's language; a null
 declared language, host or suffix is its own category. If no language has sample rows, every
@@ -24,13 +24,14 @@ from __future__ import annotations
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, map_batches, table
+from .common import map_batches, small_batches, table
 
-BUCKETS, MAX_SAMPLE, MAX_LANGUAGES = 1 << 15, 20_000, 64
+BUCKETS, MAX_SAMPLE = 1 << 15, 20_000
 TEMPER, MOST_NATS, HOST_WEIGHT, SUFFIX_WEIGHT = 0.1, 30.0, 20.0, 50.0
 LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS, FLOOR_DROP = 2, 0.5, 8.0, 4.5
 
@@ -49,35 +50,35 @@ def ngrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 def train(df: DataFrame, declared: str = "lang", text: str = "text", key: str = "doc_id", sample: int = MAX_SAMPLE, languages: tuple = (), buckets: int = BUCKETS) -> dict:
     """names, log-probabilities (language x bucket) and the floor of each language. Languages are
-    those given, else the most declared ones, at most ``MAX_LANGUAGES``."""
+    those given, else all declared ones; ``sample`` is the rows of each, about."""
     known = df.where(F.col(declared).isNotNull() & F.col(text).isNotNull())
-    names = list(languages) or [r[0] for r in known.groupBy(declared).agg(F.count("*").alias("n")).sort(F.desc("n"), declared).limit(MAX_LANGUAGES).collect()]
+    sizes = {r[0]: r[1] for r in known.groupBy(declared).agg(F.count("*").alias("n")).collect()}
+    names = list(languages) or list(sizes)
     if not names:
         return {"names": [], "logp": np.zeros((0, buckets), np.float32), "floor": np.zeros(0), "margin": np.zeros(0)}
     place = {n: i for i, n in enumerate(sorted(names))}
-    total = max(1, known.count())
-    # rows by hash of key: about sample of all rows, without sorting the table
-    share = min(1.0, 2.0 * sample / total)
-    few = known.where(F.col(declared).isin(list(place)) & (F.pmod(F.xxhash64(key, F.lit(6)), F.lit(1 << 20)) <= int(share * (1 << 20)))).select(F.col(declared).alias("__d"), F.col(text).alias("__t"))
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
-
-    def make():
-        def step(cols):
-            out: dict = {}
-            for d, t in zip(cols["__d"], cols["__t"]):
+    # rows by hash of key: about sample of each language, without sorting the table
+    most = F.create_map(*[F.lit(x) for n in place for x in (n, int(min(1.0, sample / max(1, sizes.get(n, 0))) * (1 << 20)))])
+    few = known.where(F.pmod(F.xxhash64(key, F.lit(6)), F.lit(1 << 20)) <= F.element_at(most, F.col(declared))).select(F.col(declared).alias("__d"), F.col(text).alias("__t"))
+
+    def run(batches):
+        out: dict = {}
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = np.bincount(ngrams(t, buckets), minlength=buckets)
                 out[d] = out[d] + c if d in out else c
-            return {"lang": list(out), "counts": [c.astype("<i8").tobytes() for c in out.values()]}
-
-        return step
+        for d, c in out.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([c[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "at", "counts"])
 
+    small_batches(df.sparkSession)
     counts = np.zeros((len(place), buckets))
-    for r in map_batches(few, ["__d", "__t"], schema, make).toLocalIterator():
-        counts[place[r["lang"]]] += np.frombuffer(r["counts"], "<i8")
+    for r in few.mapInArrow(run, "lang string, at binary, counts binary").toLocalIterator():
+        counts[place[r["lang"]], np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
     logp = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets)).astype(np.float32)
     p = counts / np.maximum(1.0, counts.sum(axis=1, keepdims=True))
-    mean = (p * logp).sum(axis=1)
-    spread = np.sqrt((p * (logp - mean[:, None]) ** 2).sum(axis=1))
+    mean = np.where(counts.any(axis=1), (p * logp).sum(axis=1), -np.inf)
+    spread = np.sqrt((p * (logp - (p * logp).sum(axis=1)[:, None]) ** 2).sum(axis=1))
     return {"names": sorted(names), "logp": logp, "floor": mean, "margin": spread}
 
 

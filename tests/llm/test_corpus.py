@@ -211,6 +211,29 @@ def test_language(spark, docs, odd, empty):
     assert not lang_id.identify(alien, model).first()["kept"]
 
 
+def invented(language, n, size=40):
+    """Texts of one of many languages, each with words of its own."""
+    rng = np.random.default_rng(language)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+    return [" ".join(rng.choice(words, size)) for _ in range(n)]
+
+
+def test_all_languages_have_a_model(spark):
+    rows = [(i * 10 + j, t, f"l{i:02}", "") for i in range(70) for j, t in enumerate(invented(i, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = lang_id.identify(df, lang_id.train(df)).collect()
+    assert len(got) == len(rows) and all(r["kept"] and r["language"] == r["declared_language"] for r in got)
+
+
+def test_a_rare_language_is_sampled(spark):
+    rows = [(i, t, "big", "") for i, t in enumerate(invented(1, 2000))] + [(5000 + i, t, "rare", "") for i, t in enumerate(invented(2, 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in lang_id.identify(df, lang_id.train(df, sample=8)).collect()}
+    assert all(got[k]["language"] == d and got[k]["kept"] for k, _, d, _ in rows)
+    none = lang_id.train(df, languages=("big", "rare", "unseen"))  # no counts, no floor
+    assert np.isneginf(none["floor"][none["names"].index("unseen")]) and np.isfinite(none["margin"]).all()
+
+
 def test_language_evidence(spark):
     """A bare word takes the host's language; hosts lean on their suffix, suffixes on all rows."""
     en, de = "the quick brown fox and the lazy dog with this ", "der schnelle braune fuchs und der faule hund mit dem "
