@@ -274,7 +274,7 @@ def row_projection(spark, sf):
 @query
 def col_projection(spark, sf):
     p = fx.ink_profile(spark, sf).withColumnRenamed("y", "x")
-    return profile.smoothed(p, "x", 5).where("x % 7 = 0").select("doc_id", "x", F.round(profile.value(F.col("window_ink"), F.col("top")), 6).alias("v"))
+    return profile.smoothed(p, "x", 5).select("doc_id", "x", F.round(profile.value(F.col("window_ink"), F.col("top")), 6).alias("v"))
 
 
 def _gaps(spark, sf):
@@ -376,7 +376,7 @@ def job_timeout_budget(spark, sf):
 
 @query
 def webhook_payload(spark, sf):
-    s = jobs.latest(fx.job_events(spark, sf)).where("job_id % 2 = 0 and status in ('completed', 'failed')")
+    s = jobs.latest(fx.job_events(spark, sf)).where("status in ('completed', 'failed')")
     name = F.when(F.col("job_id") % 6 == 0, F.lit('a "quoted" \\ name.png')).otherwise(F.concat(F.lit("f"), F.col("job_id"), F.lit(".png")))
     return s.select("job_id", jobs.webhook_payload(F.col("job_id"), F.col("status"), name, F.col("error")).alias("payload"))
 

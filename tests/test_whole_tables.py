@@ -3,6 +3,7 @@
 The SQL twins of these queries answer for a part of the rows; on that part both agree.
 """
 
+import json
 import os
 
 import duckdb
@@ -53,3 +54,22 @@ def test_component_splits_of_tall_pages(spark, duck, sf_dir):
     assert got == want
     twin = duck.sql(ORACLE_SQL["component_splits"]).fetchall()
     assert twin and all(got[i] == s for i, s in twin)
+
+
+def test_col_projection_of_all_positions(spark, duck, sf_dir):
+    got = {(r["doc_id"], r["x"]): r["v"] for r in QUERIES["col_projection"](spark, sf_dir).collect()}
+    want = {(i, x) for i, t in duck.sql("select doc_id, text from documents").fetchall() for x in range(len(plain_profile(i, t)))}
+    assert set(got) == want
+    twin = duck.sql(ORACLE_SQL["col_projection"]).fetchall()
+    assert twin and all(abs(got[i, x] - v) < 1e-9 for i, x, v in twin)
+
+
+def test_webhook_payload_of_all_jobs(spark, duck, sf_dir):
+    got = {r["job_id"]: r["payload"] for r in QUERIES["webhook_payload"](spark, sf_dir).collect()}
+    last = QUERIES["job_latest_state"](spark, sf_dir).where("status in ('completed', 'failed')").collect()
+    assert set(got) == {r["job_id"] for r in last} and any(k % 2 for k in got)
+    for r in last:
+        said = json.loads(got[r["job_id"]])
+        assert (said["job_id"], said["status"], said["error"]) == (str(r["job_id"]), r["status"], r["error"])
+    twin = duck.sql(ORACLE_SQL["webhook_payload"]).fetchall()
+    assert twin and all(got[k] == v for k, v in twin)
