@@ -431,9 +431,10 @@ def job_lookup(spark, sf):
 
 
 def rasters(spark, sf):
-    """A 48 x 64 gray raster for each document, filled with its first bytes."""
-    text = F.regexp_replace(F.substring("text", 1, 3072), "[^ -~]", "~")
-    return fx.read(spark, sf, "documents").select("doc_id", F.lit(48).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), F.encode(F.rpad(text, 3072, " "), "UTF-8").alias("data"))
+    """A gray raster for each document, filled with its text: rows of 64, at least 48 of them."""
+    text = F.regexp_replace("text", "[^ -~]", "~")
+    d = fx.read(spark, sf, "documents").withColumn("height", F.greatest(F.lit(48), F.ceil(F.char_length("text") / 64.0).cast("int")))
+    return d.select("doc_id", "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), F.encode(F.rpad(text, F.col("height") * 64, " "), "UTF-8").alias("data"))
 
 
 @query
@@ -446,7 +447,8 @@ def pixel_statistics(spark, sf):
     """Contrast, brightness and the inverted mean of the same rasters, without Python."""
     px = rasters(spark, sf).select("doc_id", F.transform(F.split(F.decode("data", "UTF-8"), ""), lambda c: F.ascii(c)).alias("v"))
     lo, hi, total = F.array_min("v"), F.array_max("v"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return px.select("doc_id", F.round((hi - lo) / (hi + lo).cast("double"), 6).alias("contrast"), F.round(total / F.lit(3072.0 * 255), 6).alias("brightness"), F.round((F.lit(255 * 3072) - total) / 3072.0, 6).alias("inverted_mean"), F.size(F.array_distinct("v")).cast("long").alias("n_values"))
+    n = F.size("v")
+    return px.select("doc_id", F.round((hi - lo) / (hi + lo).cast("double"), 6).alias("contrast"), F.round(total / (n * 255.0), 6).alias("brightness"), F.round((n * 255 - total) / n.cast("double"), 6).alias("inverted_mean"), F.size(F.array_distinct("v")).cast("long").alias("n_values"))
 
 
 # --- engines, pages, streams --------------------------------------------------------------

@@ -73,3 +73,19 @@ def test_webhook_payload_of_all_jobs(spark, duck, sf_dir):
         assert (said["job_id"], said["status"], said["error"]) == (str(r["job_id"]), r["status"], r["error"])
     twin = duck.sql(ORACLE_SQL["webhook_payload"]).fetchall()
     assert twin and all(got[k] == v for k, v in twin)
+
+
+def test_pixels_of_the_whole_text(spark, duck, sf_dir):
+    got = {r["doc_id"]: r for r in QUERIES["pixel_statistics"](spark, sf_dir).collect()}
+    metrics = {r["doc_id"]: r for r in QUERIES["image_metrics"](spark, sf_dir).collect()}
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    assert set(got) == set(metrics) == set(texts) and max(map(len, texts.values())) > 3072
+    for i, t in texts.items():
+        v = [ord(c) if " " <= c <= "~" else ord("~") for c in t]
+        v += [32] * (max(48, -(-len(t) // 64)) * 64 - len(v))
+        r = got[i]
+        assert abs(r["brightness"] - sum(v) / len(v) / 255) < 2e-6 and abs(r["inverted_mean"] - (255 - sum(v) / len(v))) < 2e-6
+        assert abs(r["contrast"] - (max(v) - min(v)) / (max(v) + min(v))) < 2e-6 and r["n_values"] == len(set(v))
+        assert abs(metrics[i]["brightness"] - sum(v) / len(v) / 255) < 2e-6
+    twin = duck.sql(ORACLE_SQL["pixel_statistics"] + " WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) <= 3072)").fetchall()
+    assert twin and all((got[i]["contrast"], got[i]["brightness"], got[i]["inverted_mean"], got[i]["n_values"]) == tuple(x) for i, *x in twin)
