@@ -1,8 +1,9 @@
 """Operator 3, secret scans: rule matches plus high-entropy strings. DataFrame functions only.
 
 Rule kinds are matched leftmost and non-overlapping; failing matches are dropped and not
-retried. Candidate strings are runs of token characters. Each candidate belongs to a character
-class (hex or base64-like); a window of fixed width slides over it, and the Shannon entropy of
+retried. Candidate strings are runs of token characters. A candidate belongs to each character
+class it fits: base64-like as a whole, or with a part between separators that is hex, lower-case or
+upper-case alphanumeric (the span may then take in characters beside that part); a window of fixed width slides over it, and the Shannon entropy of
 the window follows from S = sum of c*log2(c) over its character counts c: a character that
 leaves or enters changes S by the difference of two terms. A candidate with a window at or over
 the threshold of its class is a span, from its first to its last such window, unless an
@@ -26,12 +27,18 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 BASE = (("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-f]{24,}"))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WIDTH = 20
+_PART = r"^(?:.*[+/_=-])?(?:{})(?:[+/_=-].*)?$"  # a part between separators that is all of one kind
 #: class -> (pattern of the whole candidate, least entropy in bits of a window of WIDTH characters)
-CLASSES = {"entropy_hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", 2.9), "entropy_base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.6)}
+CLASSES = {
+    "entropy_hex": (_PART.format(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{20,}|[0-9A-F]{20,})"), 2.9),
+    "entropy_base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.6),
+    "entropy_lower": (_PART.format(r"(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[0-9a-z]{20,}"), 3.6),
+    "entropy_upper": (_PART.format(r"(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[0-9A-Z]{20,}"), 3.3),
+}
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|sample",
-    r"(?i)0123456789|abcdefghij",
+    r"(?i)^[0-9+/_=-]*+(?:(?:example|placeholder|changeme|dummy|sample)[0-9+/_=-]*+){1,64}$",
+    r"(?i)^(?:0123456789(?:abcdef)?|abcdefghij(?:klmnopqrstuvwxyz)?|[+/_=-]){1,64}$",
 )
 _SPAN = "struct<kind:string,rank:int,first:int,last:int>"
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 1)]

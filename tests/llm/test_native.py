@@ -112,3 +112,12 @@ def test_secrets(spark, docs, odd, empty):
     assert found > 12
     assert secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(empty).count() == 0
     assert not re.search("Python|Pandas|Arrow", plan_of(secret_scan.scan(df)))
+
+
+def test_secrets_of_one_case(spark):
+    secret = "aZ3kQ9xLm2Wv8RtY5uPb7NcD"
+    texts = ["k7x9q2m4z8w1v5t3r6y0p2", "JBSWY3DPEHPK3PXPMZ2W6ZJ7", "id=ABCDEF0123987654DEFABC01", "id=k7x9q2m4z8w1v5t3r6y0p2", f"/sample/{secret}", f"{secret}abcdefghij{secret}", "sample_example_placeholder_1234", "abcdefghijklmnopqrstuvwxyz0123456789", "one-long-slug-of-plain-words-2024"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in secret_scan.scan(rows).collect()}
+    assert "entropy_lower" in got[0] and "entropy_upper" in got[1] and "entropy_hex" in got[2] and "entropy_lower" in got[3]
+    assert "entropy_base64" in got[4] and "entropy_base64" in got[5] and not got[6] and not got[7] and not got[8]
