@@ -224,7 +224,7 @@ def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
 
 def _units(members: DataFrame, block: int) -> DataFrame:
     """(node, unit, side): the units of work of each family member."""
-    step = -np.log(SIMILARITY) * 0.999  # linked sizes lie in the same or in neighbouring size classes
+    step = -np.log(SIMILARITY) * 1.001  # linked sizes lie in the same or in neighbouring size classes
     m = members.withColumn("g", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(step)).cast("int"))
     family = m.groupBy("root", "g").agg(F.count("*").alias("c"))
     total = family.groupBy("root").agg(F.sum("c").alias("f"))

@@ -156,3 +156,13 @@ def test_pipeline_stages(spark, docs, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf_dir).count() <= 10 * odd.count() + 200
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_sizes_at_the_threshold_meet(spark):
+    """Sizes of exactly 4 to 5 share a unit of work in a family larger than a block."""
+    pairs = [(3820, 4775), (7456, 9320), (11644, 14555)]
+    rows = [(i, 10 * i + j, size) for i, p in enumerate(pairs) for j, size in enumerate(p)]
+    units = {}
+    for r in near_dup._units(spark.createDataFrame(rows, "root long, node long, size long"), 1).collect():
+        units.setdefault(r["node"], set()).add(r["unit"])
+    assert all(units[10 * i] & units[10 * i + 1] for i in range(len(pairs)))
