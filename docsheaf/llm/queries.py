@@ -69,7 +69,7 @@ def op8_pii(spark, sf_dir):
 def op9_sentencepiece(spark, sf_dir):
     import public_tokenizers as public
 
-    return sp_codec.encode_column(read(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"), keep_ids=False).drop("parity")
+    return sp_codec.encode_column(read(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"), parity=True, keep_ids=False)
 
 
 def op10_near_dup(spark, sf_dir):

@@ -14,7 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as public
 import pytest
-from docsheaf.llm import lang_id, media, packing, pii, quality_rules, sp_codec, toxicity
+from docsheaf.llm import lang_id, media, packing, pii, quality_rules, queries, sp_codec, toxicity
 from pyspark.sql import functions as F
 
 
@@ -407,3 +407,8 @@ def test_codec_columns(odd, empty):
     back = sp_codec.decode_column(sp_codec.encode_column(odd, path), path).collect()
     assert sorted(r["text"] for r in back) == sorted(r["text"] or "" for r in odd.collect())
     assert sp_codec.encode_column(empty, path).count() == 0
+
+
+def test_parity_of_every_row(spark, docs, sf_dir):
+    rows = queries.op9_sentencepiece(spark, sf_dir).select("parity").collect()
+    assert len(rows) == docs.count() and all(r["parity"] is True for r in rows)
