@@ -72,9 +72,11 @@ def submit_gate(engine: Column, status: Column) -> Column:
     return F.when(~engine.isin(*config.ENGINES), 400).when(status.isin("downloading", "failed"), 503).otherwise(202).cast("long")
 
 
-def webhook_payload(job_id: Column, status: Column, filename: Column, error: Column) -> Column:
-    text = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null"))
-    return F.concat(F.lit('{"job_id":'), text(job_id.cast("string")), F.lit(',"status":'), text(status), F.lit(',"filename":'), text(filename), F.lit(',"result":null,"error":'), text(error), F.lit("}"))
+def webhook_payload(job_id: Column, status: Column, filename: Column, error: Column, result: Column | None = None) -> Column:
+    """The delivery as JSON text; fields without a value are null. ``result`` is a struct, present
+    for a job that ended well."""
+    fields = {"job_id": job_id.cast("string"), "status": status, "filename": filename, "result": F.lit(None).cast("string") if result is None else result, "error": error}
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
 def download_complete(files: DataFrame, key: str = "model", least: int = config.MODEL_MIN_BYTES) -> DataFrame:

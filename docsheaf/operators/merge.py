@@ -5,15 +5,24 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from docsheaf.functions.text import exact_overlap, let, position_of_base_char, strip, without_marks
+from docsheaf.functions.text import MARKS, SPACES, strip
 
 # Least overlap and the stretch of text that is compared.
 LEAST, MOST = 10, 500
+_NO_MARKS = {i: None for a, b in MARKS for i in range(a, b + 1)}
+_SPACES = "".join(chr(i) for a, b in SPACES for i in range(a, b + 1))
+
+
+def stripped(text: str) -> str:
+    """As ``strip`` on columns."""
+    return text.strip(_SPACES)
 
 
 def _in_order(rtl: bool, *more: str) -> Column:
@@ -32,33 +41,62 @@ def adjacency(chunks: DataFrame, rtl: bool = False) -> DataFrame:
     return chunks.select("doc_id", "index", before("index").alias("previous"), F.coalesce(adjacent(F.col("row"), F.col("col"), before("row"), before("col")), F.lit(False)).alias("is_adjacent"))
 
 
-def without_overlap(before: Column, after: Column, rtl: bool = False) -> Column:
-    """``after`` without the start that repeats the end of ``before``; marks do not count if rtl."""
+def exact_length(before: str, after: str) -> int:
+    """Length of the longest end of ``before`` that starts ``after``, 0 if under ``LEAST``."""
+    n = min(len(before), len(after))
+    head, at = after[:LEAST], max(0, len(before) - n)
+    while len(head) == LEAST and (at := before.find(head, at)) >= 0:  # the first place is the longest
+        if after.startswith(before[at:]):
+            return len(before) - at
+        at += 1
+    return 0
+
+
+def rest_of(before: str, after: str, rtl: bool = False) -> str:
+    """``after`` without the start that repeats the end of ``before``: an exact overlap, else a
+    nearly equal one in words. Right to left, marks do not count for either."""
+    a, b = before[-MOST:], after[:MOST]
+    if rtl:
+        a, b = a.translate(_NO_MARKS), b.translate(_NO_MARKS)
+    n = exact_length(a, b) or fuzzy_length(a, b)
+    if not n:
+        return after
     if rtl:
-        size = exact_overlap(without_marks(F.right(before, F.lit(MOST))), without_marks(F.left(after, F.lit(MOST))), LEAST, MOST)
-        cut = lambda n: position_of_base_char(F.left(after, F.lit(MOST)), n)
-    else:
-        size, cut = exact_overlap(before, after, LEAST, MOST), lambda n: n
-    return let(size, lambda n: F.when(n >= LEAST, strip(F.substring(after, cut(n) + 1, F.char_length(after)))).otherwise(after))
+        places = [i for i, c in enumerate(after[:MOST]) if ord(c) not in _NO_MARKS]
+        n = places[n - 1] + 1 if n <= len(places) else 0
+    return stripped(after[n:])
+
+
+def merged_text(chunks: list, rtl: bool = False) -> str:
+    """The text of (row, col, text) chunks in reading order. The previous text is the last one
+    kept; adjacency looks at the previous chunk, blank or not."""
+    out, prev, place = [], "", None
+    for row, col, raw in chunks:
+        t = stripped(raw or "")
+        near = place is not None and abs(row - place[0]) + abs(col - place[1]) == 1
+        place = (row, col)
+        if t:
+            rest = rest_of(prev, t, rtl) if prev and near else t
+            if rest:
+                out.append(rest)
+                prev = t
+    return stripped("\n\n".join(out))
 
 
 def merge_exact(chunks: DataFrame, rtl: bool = False) -> DataFrame:
-    """(doc_id, merged): a fold over each document's chunks in reading order, built-ins only. The
-    previous text is the last one kept; adjacency looks at the previous chunk, blank or not."""
+    """(doc_id, merged): a fold over each document's chunks in reading order. The nearly equal
+    overlap has no built-in form, so the fold is one Arrow pass over the grouped chunks."""
     parts = chunks.groupBy("doc_id").agg(_in_order(rtl, "text").alias("c"))
-    before = F.transform("c", lambda x, i: F.struct(x["row"].alias("row"), x["col"].alias("col"), strip(x["text"]).alias("t"), F.get("c", i - 1)["row"].alias("row0"), F.get("c", i - 1)["col"].alias("col0")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("prev"))
-
-    def take(acc, text):
-        return F.struct(F.concat(acc["out"], F.array(text)).alias("out"), text.alias("prev"))
+    key = chunks.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", key), T.StructField("merged", T.StringType())])
+    arrow = to_arrow_schema(schema)
 
-    def fold(acc, x):
-        cut = lambda rest: F.when(rest != "", F.struct(F.concat(acc["out"], F.array(rest)).alias("out"), x["t"].alias("prev"))).otherwise(acc)
-        near = F.coalesce(adjacent(x["row"], x["col"], x["row0"], x["col0"]), F.lit(False))
-        return F.when(x["t"] == "", acc).when((acc["prev"] == "") | ~near, take(acc, x["t"])).otherwise(let(without_overlap(acc["prev"], x["t"], rtl), cut))
+    def run(batches):
+        for batch in batches:
+            docs, rows, cols, texts = (batch.column(i).to_pylist() for i in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged_text(zip(r, c, t), rtl) for _, r, c, t in zip(docs, rows, cols, texts)], pa.string())], schema=arrow)
 
-    merged = F.aggregate("b", start, fold, lambda a: a["out"])
-    return parts.select("doc_id", before.alias("b")).select("doc_id", strip(F.array_join(merged, "\n\n")).alias("merged"))
+    return parts.select("doc_id", "c.row", "c.col", "c.text").mapInArrow(run, schema)
 
 
 def formatted(chunks: DataFrame, rtl: bool = False) -> DataFrame:

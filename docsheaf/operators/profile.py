@@ -59,14 +59,30 @@ def by_min_size(splits: Column, size: Column, least: int) -> Column:
     return F.aggregate(F.array_sort(splits), start, lambda a, s: F.when((s - a["prev"] >= least) & (size - s >= least), keep(a, s)).otherwise(a), lambda a: a["out"])
 
 
+def _disjoint(occupied: Column) -> Column:
+    """The intervals sorted, those that meet or overlap as one."""
+    start = F.array().cast("array<struct<first:bigint,last:bigint>>")
+
+    def grow(acc, o):
+        now = F.struct(o["first"].cast("bigint").alias("first"), o["last"].cast("bigint").alias("last"))
+        held = F.element_at(acc, -1)
+        wider = F.struct(held["first"].alias("first"), F.greatest(held["last"], now["last"]).alias("last"))
+        return F.when((F.size(acc) > 0) & (now["first"] <= F.get(acc, F.size(acc) - 1)["last"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(now)))
+
+    return F.aggregate(F.array_sort(F.filter(occupied, lambda o: o["last"] > o["first"])), start, grow)
+
+
 def free_positions_split(occupied: Column, size: Column, k: int, least: int) -> Column:
     """Split lines on positions no interval covers: each even spacing takes the nearest free one
     (the lowest if tied) within half a spacing, if it keeps ``least`` from edges and other splits.
-    ``occupied`` is array<struct<first, last>>, last exclusive."""
+    ``occupied`` is array<struct<first, last>>, last exclusive. The free position nearest to an
+    ideal is the ideal itself or lies at the end of an interval, so only those are looked at."""
     ideals = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (size / float(k + 1) * i).cast("bigint"))
-    free = F.filter(F.sequence(F.lit(0).cast("bigint"), size - 1), lambda p: ~F.exists(occupied, lambda o: (p >= o["first"]) & (p < o["last"])))
 
-    def folded(places):
+    def over(taken):
+        ends = F.concat(F.transform(taken, lambda o: o["first"] - 1), F.transform(taken, lambda o: o["last"]))
+        places = F.filter(ends, lambda p: (p >= 0) & (p < size))
+
         def fold(acc, ideal):
             def choose(best):
                 near, pick = best["d"], best["p"]
@@ -74,11 +90,13 @@ def free_positions_split(occupied: Column, size: Column, k: int, least: int) ->
                 return F.when(F.coalesce(ok, F.lit(False)), F.concat(acc, F.array(pick))).otherwise(acc)
 
             # the least (distance, position)
-            return let(F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - ideal).alias("d"), p.alias("p")))), choose)
+            nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - ideal).alias("d"), p.alias("p"))))
+            inside = F.exists(taken, lambda o: (ideal >= o["first"]) & (ideal < o["last"]))
+            return let(F.when(inside, nearest).otherwise(F.struct(F.lit(0).cast("bigint").alias("d"), ideal.alias("p"))), choose)
 
         return F.aggregate(ideals, F.array().cast("array<bigint>"), fold)
 
-    return F.array_sort(let(free, folded))
+    return F.array_sort(let(_disjoint(occupied), over))
 
 
 def otsu(histogram: DataFrame) -> DataFrame:

@@ -98,6 +98,27 @@ def fuzzy_overlap(spark, sf):
     return c.join(nxt, ["doc_id", "index"]).select("doc_id", "index", merge.fuzzy_overlap(tail, "after").alias("cut"))
 
 
+def edited_chunks(spark, sf, rtl: bool = False) -> DataFrame:
+    """Chunks of whole words that share some words with the chunk before, one letter of them changed."""
+    whole = F.regexp_replace("text", r"\s\S*$", "")
+    later = F.regexp_replace(F.substring("text", 71, F.lit(fx.CHUNK)), r"^\S*\s+", "")
+    later = F.regexp_replace(F.concat(F.left(later, F.lit(14)), F.lit("#"), F.substring(later, 16, F.lit(fx.CHUNK))), r"\s\S*$", "")
+    text = F.when(F.col("index") % 2 == 0, whole).otherwise(later)
+    if rtl:  # marks differ between the copies of an overlap
+        text = F.when(F.col("index") % 2 == 1, F.regexp_replace(text, "e", "eِ")).otherwise(text)
+    return fx.chunk_text(spark, sf).withColumns({"text": text, "col": F.lit(0).cast("long")})
+
+
+@query
+def merge_fuzzy_overlap(spark, sf):
+    return merge.merge_exact(edited_chunks(spark, sf))
+
+
+@query
+def merge_fuzzy_overlap_rtl(spark, sf):
+    return merge.merge_exact(edited_chunks(spark, sf, rtl=True), rtl=True)
+
+
 @query
 def rtl_marks(spark, sf):
     base = fx.chunk_text(spark, sf).select("doc_id", "index", F.regexp_replace("text", "a", "aَ").alias("t"))
@@ -378,7 +399,8 @@ def job_timeout_budget(spark, sf):
 def webhook_payload(spark, sf):
     s = jobs.latest(fx.job_events(spark, sf)).where("status in ('completed', 'failed')")
     name = F.when(F.col("job_id") % 6 == 0, F.lit('a "quoted" \\ name.png')).otherwise(F.concat(F.lit("f"), F.col("job_id"), F.lit(".png")))
-    return s.select("job_id", jobs.webhook_payload(F.col("job_id"), F.col("status"), name, F.col("error")).alias("payload"))
+    result = F.when(F.col("status") == "completed", F.struct(F.concat(F.lit("page\n"), F.col("job_id")).alias("text"), (F.col("job_id") % 100).alias("confidence")))
+    return s.select("job_id", jobs.webhook_payload(F.col("job_id"), F.col("status"), name, F.col("error"), result).alias("payload"))
 
 
 @query

@@ -145,7 +145,7 @@ def min_size(least: int) -> str:
 
 
 COMPONENTS = f"""WITH {INK}, ln AS (SELECT doc_id, floor((y - 20) / 16.0) AS line, greatest(0, min(y) - 5) AS a, max(y) + 1 + 5 AS b FROM ink WHERE ink > 0 GROUP BY ALL),
-sz AS (SELECT doc_id, count(*) AS size FROM ink GROUP BY doc_id HAVING count(*) <= 600),
+sz AS (SELECT doc_id, count(*) AS size FROM ink GROUP BY doc_id),
 fr AS (SELECT i.doc_id, i.y, sz.size FROM ink i JOIN sz USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.doc_id = i.doc_id AND i.y >= ln.a AND i.y < ln.b)),
 one AS (SELECT doc_id, size, CAST(trunc(size / 3.0::DOUBLE * 1) AS BIGINT) AS i1, CAST(trunc(size / 3.0::DOUBLE * 2) AS BIGINT) AS i2 FROM sz JOIN (SELECT DISTINCT doc_id FROM ln) USING (doc_id)),
 p AS (SELECT one.doc_id, one.size, i1, i2, arg_min(y, (abs(y - i1), y)) AS p1, arg_min(y, (abs(y - i2), y)) AS p2 FROM one LEFT JOIN fr USING (doc_id) GROUP BY ALL),
@@ -165,10 +165,9 @@ LOCKS = f"""WITH {MODELS}, a AS (SELECT user_id, list(us ORDER BY us, event_id)
 s AS (SELECT user_id, list_reduce(list_transform(range(1, len(u) + 1), lambda i: {{'at': u[i], 'holder': ids[i], 'n': 1::BIGINT}}), lambda a, x: CASE WHEN x.at - a.at >= 900000000 THEN {{'at': x.at, 'holder': x.holder, 'n': a.n + 1}} ELSE a END) AS s FROM a)
 SELECT user_id, s.n AS acquisitions, s.holder AS holder FROM s"""
 
-TEXT = lambda x: f"""coalesce('"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"', 'null')"""
 NAME = "CASE WHEN job_id % 6 = 0 THEN 'a \"quoted\" \\ name.png' ELSE 'f' || job_id || '.png' END"
 
-RASTER = "v AS (SELECT doc_id, list_transform(string_split(rpad(regexp_replace(substring(text, 1, 3072), '[^ -~]', '~', 'g'), 3072, ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS v FROM documents)"
+RASTER = """v AS (SELECT doc_id, list_transform(string_split(rpad(regexp_replace(text, '[^ -~]', '~', 'g'), CAST(64 * greatest(48, ceil(length(text) / 64.0::DOUBLE)) AS INT), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS v FROM documents)"""
 
 ORACLE_SQL = {
     "merge_exact_overlap": merged(1),
@@ -206,7 +205,7 @@ ORACLE_SQL = {
     "validate_filename": f"""WITH {UPLOADS}, b AS (SELECT doc_id, filename, regexp_extract(regexp_replace(filename, '(/\\.?)+$', ''), '([^/]*)$', 1) AS base FROM up)
  SELECT doc_id, base, CASE WHEN filename = '' THEN 'Filename cannot be empty' WHEN base = '' OR base = '.' THEN 'Invalid filename' WHEN contains(base, '..') OR starts_with(base, '.') THEN 'Invalid filename pattern' WHEN length(base) > 255 THEN 'Filename too long (max 255 characters)' ELSE 'ok' END AS result FROM b""",
     "row_projection": f"WITH {INK} SELECT doc_id, count(*) AS n, CAST(sum(window_ink) AS BIGINT) AS total, max(top) AS top, max({VALUE}) AS peak, CAST(sum(CASE WHEN window_ink < 0.25 * top THEN 1 ELSE 0 END) AS BIGINT) AS low FROM smooth GROUP BY doc_id",
-    "col_projection": f"WITH {INK} SELECT doc_id, y AS x, {VALUE} AS v FROM smooth WHERE y % 7 = 0",
+    "col_projection": f"WITH {INK} SELECT doc_id, y AS x, {VALUE} AS v FROM smooth",
     "find_gaps": f"WITH {GAPS} SELECT doc_id, center, size FROM gap",
     "select_gaps": SELECT_GAPS,
     "min_size_filter": f"WITH {GAPS} SELECT doc_id, {min_size(64)} AS min64, {min_size(256)} AS min256 FROM pos",
@@ -224,10 +223,10 @@ ORACLE_SQL = {
  SELECT user_id, engine, CAST(CASE WHEN engine NOT IN ('qari', 'got', 'deepseek') THEN 400 WHEN status IN ('downloading', 'failed') THEN 503 ELSE 202 END AS BIGINT) AS code FROM u LEFT JOIN s ON s.model = u.engine""",
     "download_lock_winner": LOCKS,
     "job_timeout_budget": "SELECT conv_id AS job_id, count(*) * 1200 AS timeout_s FROM conversations GROUP BY conv_id",
-    "webhook_payload": f"""WITH {JOBS} SELECT job_id, '{{"job_id":' || {TEXT("job_id::VARCHAR")} || ',"status":' || {TEXT("status")} || ',"filename":' || {TEXT(NAME)} || ',"result":null,"error":' || {TEXT("error")} || '}}' AS payload FROM latest WHERE job_id % 2 = 0 AND status IN ('completed', 'failed')""",
+    "webhook_payload": f"""WITH {JOBS} SELECT job_id, CAST(json_object('job_id', job_id::VARCHAR, 'status', status, 'filename', {NAME}, 'result', CASE WHEN status = 'completed' THEN {{'text': 'page' || chr(10) || job_id, 'confidence': CAST(job_id % 100 AS BIGINT)}} END, 'error', error) AS VARCHAR) AS payload FROM latest WHERE status IN ('completed', 'failed')""",
     "failure_handler": "SELECT event_id, user_id AS job_id, CASE WHEN event_id % 3 = 0 THEN 'process_pdf_job' ELSE 'process_ocr_job' END AS func, CASE WHEN event_id % 3 <> 0 THEN 'RuntimeError: E' || event_id END AS marked FROM events WHERE event_type = 'error'",
     "download_complete": "SELECT model, bytes, NOT open AND bytes >= 104857600 AS complete FROM (SELECT doc_id % 97 AS model, CAST(sum(n_chars * 7919) AS BIGINT) AS bytes, bool_or(doc_id % 331 = 5) AS open FROM documents GROUP BY 1)",
-    "pixel_statistics": f"WITH {RASTER} SELECT doc_id, round((hi - lo) / (hi + lo)::DOUBLE, 6) AS contrast, round(t / (3072.0::DOUBLE * 255), 6) AS brightness, round((255 * 3072 - t) / 3072.0::DOUBLE, 6) AS inverted_mean, n_values FROM (SELECT doc_id, list_min(v) AS lo, list_max(v) AS hi, CAST(list_sum(v) AS BIGINT) AS t, CAST(len(list_distinct(v)) AS BIGINT) AS n_values FROM v)",
+    "pixel_statistics": f"WITH {RASTER} SELECT doc_id, round((hi - lo) / (hi + lo)::DOUBLE, 6) AS contrast, round(t / (n * 255.0::DOUBLE), 6) AS brightness, round((255 * n - t) / n::DOUBLE, 6) AS inverted_mean, n_values FROM (SELECT doc_id, len(v) AS n, list_min(v) AS lo, list_max(v) AS hi, CAST(list_sum(v) AS BIGINT) AS t, CAST(len(list_distinct(v)) AS BIGINT) AS n_values FROM v)",
     "engine_pipeline": merged(1),
     "engine_concat": f"WITH {chunks(1)} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM chunk GROUP BY doc_id",
     "pdf_to_pages": "SELECT doc_id, n AS page_number, total AS total_pages, doc_id || '_page_' || printf('%03d', n) || '.png' AS page_name, CAST(strlen(l) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, len(string_split(text, chr(10))) AS total, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)",

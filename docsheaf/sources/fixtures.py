@@ -28,8 +28,13 @@ def image_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_text(spark: SparkSession, sf_dir: str, columns: int = 1) -> DataFrame:
     """(doc_id, index, row, col, text): overlapping windows in one or two columns."""
     last = F.greatest(F.lit(0), F.ceil((F.col("n_chars") - 120) / F.lit(float(STEP))) - 1).cast("int")
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("index"), F.floor(F.col("i") / columns).cast("long").alias("row"), (F.col("i") % columns).cast("long").alias("col"), F.substring("text", F.col("i") * STEP + 1, F.lit(CHUNK)).alias("text"))
+    # the text is cut once into steps; a window is a step and the start of the next one
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))
+    rows = read(spark, sf_dir, "documents").select("doc_id", steps.alias("p"), F.sequence(F.lit(0), last).alias("at"))
+    piece = lambda i: F.coalesce(F.get("p", i), F.lit(""))
+    windows = F.transform("at", lambda i: F.struct(i.alias("i"), F.concat(piece(i), F.left(piece(i + 1), F.lit(CHUNK - STEP))).alias("text")))
+    rows = rows.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.i", "w.text")
+    return rows.select("doc_id", F.col("i").cast("long").alias("index"), F.floor(F.col("i") / columns).cast("long").alias("row"), (F.col("i") % columns).cast("long").alias("col"), "text")
 
 
 def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

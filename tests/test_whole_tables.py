@@ -1,14 +1,18 @@
 """Registered queries answer for every row of their table, held against plain Python.
 
-The SQL twins of these queries answer for a part of the rows; on that part both agree.
+Where a query has a SQL twin, both agree on every row of it.
 """
 
+import difflib
 import json
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from docsheaf.operators import jobs
+from docsheaf.plans import catalogue
 from docsheaf.plans.catalogue import QUERIES
 from docsheaf.plans.oracle import ORACLE_SQL
 
@@ -89,3 +93,56 @@ def test_pixels_of_the_whole_text(spark, duck, sf_dir):
         assert abs(metrics[i]["brightness"] - sum(v) / len(v) / 255) < 2e-6
     twin = duck.sql(ORACLE_SQL["pixel_statistics"] + " WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) <= 3072)").fetchall()
     assert twin and all((got[i]["contrast"], got[i]["brightness"], got[i]["inverted_mean"], got[i]["n_values"]) == tuple(x) for i, *x in twin)
+
+
+MARKS = {chr(i) for i in (*range(0x064B, 0x0660), 0x0670)}
+
+
+def plain_merge(chunks, rtl=False):
+    """Chunk texts by the rules of the merge, each length tried in turn; also the kinds of overlap met."""
+    bare = lambda t: "".join(c for c in t if not (rtl and c in MARKS))
+    out, prev, met = [], "", set()
+    for t in (c.strip() for c in chunks):
+        if not t:
+            continue
+        rest = t
+        if prev:
+            a, b = bare(prev[-500:]), bare(t[:500])
+            n = next((k for k in range(min(len(a), len(b)), 9, -1) if a[-k:] == b[:k]), 0)
+            kind = "exact"
+            if not n:
+                x, y, kind = a.split(), b.split(), "fuzzy"
+                for k in range(min(len(x), len(y), 10) if min(len(x), len(y)) >= 3 else 0, 2, -1):
+                    p, q = " ".join(x[-k:]), " ".join(y[:k])
+                    if difflib.SequenceMatcher(None, p, q).ratio() >= 0.95 and sum(u == v for u, v in zip(x[-k:], y)) >= 0.8 * k:
+                        n = len(q)
+                        break
+            if n:
+                met.add(kind)
+                seen = at = 0
+                while at < len(t) and seen < n:
+                    seen += not (rtl and t[at] in MARKS)
+                    at += 1
+                rest = t[at:].strip()
+        if rest:
+            out.append(rest)
+            prev = t
+    return "\n\n".join(out).strip(), met
+
+
+@pytest.mark.parametrize("name, rtl", [("merge_fuzzy_overlap", False), ("merge_fuzzy_overlap_rtl", True)])
+def test_merge_with_an_edited_overlap(spark, sf_dir, name, rtl):
+    chunks = {}
+    for r in catalogue.edited_chunks(spark, sf_dir, rtl).sort("doc_id", "index").collect():
+        chunks.setdefault(r["doc_id"], []).append(r["text"])
+    want = {i: plain_merge(c, rtl) for i, c in chunks.items()}
+    assert {k for _, met in want.values() for k in met} == {"fuzzy"} | ({"exact"} if any("exact" in m for _, m in want.values()) else set())
+    assert sum("fuzzy" in met for _, met in want.values()) > 50
+    got = {r["doc_id"]: r["merged"] for r in QUERIES[name](spark, sf_dir).collect()}
+    assert got == {i: t for i, (t, _) in want.items()}
+
+
+def test_payload_escapes_control_characters(spark):
+    df = spark.createDataFrame([(1, "failed", "a\nb.png", 'line one\nline "two"\t\x01')], "job_id long, status string, name string, error string")
+    said = df.select(jobs.webhook_payload(F.col("job_id"), F.col("status"), F.col("name"), F.col("error")).alias("p")).first()["p"]
+    assert json.loads(said) == {"job_id": "1", "status": "failed", "filename": "a\nb.png", "result": None, "error": 'line one\nline "two"\t\x01'}
