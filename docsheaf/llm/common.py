@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,14 +14,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+ROWS = 1000
+_local: str | None = None
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, columns: list[str], schema: StructType, make: Callable) -> DataFrame:
     """One Arrow pass. ``make()`` runs once per task and gives a function from a dict of
     column lists to a dict of column lists; only one batch is in memory at a time."""
-    small_batches(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -28,23 +43,31 @@ def map_batches(df: DataFrame, columns: list[str], schema: StructType, make: Cal
         for batch in batches:
             yield pa.RecordBatch.from_pydict(step(batch.to_pydict()), schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return map_small(df.select(*columns), run, schema)
+
 
+def map_small(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose function sees at most ``ROWS`` rows at a time. Spark's own bounds of a
+    batch (10,000 rows or 64 MB) hold what crosses to Python; lists made of it stay small."""
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield batch.slice(at, ROWS)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of an Arrow batch: whole documents are long, so the usual 10,000 of them do not fit a
-    Python worker's share of memory. A smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is chosen only where none is configured."""
+    """The folder all executors see. Where none is configured a folder of this machine serves a
+    local master, as in tests; on a cluster that is an error. Nothing is set in the session."""
+    global _local
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='docsheaf-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _local = _local or f"file://{tempfile.mkdtemp(prefix='docsheaf-')}"
+        found = _local
     return found.rstrip("/")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, small_batches, table
+from .common import map_batches, table
 
 BUCKETS, MAX_SAMPLE = 1 << 15, 20_000
 TEMPER, MOST_NATS, HOST_WEIGHT, SUFFIX_WEIGHT = 0.1, 30.0, 20.0, 50.0
@@ -71,7 +71,6 @@ def train(df: DataFrame, declared: str = "lang", text: str = "text", key: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([c[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "at", "counts"])
 
-    small_batches(df.sparkSession)
     counts = np.zeros((len(place), buckets))
     for r in few.mapInArrow(run, "lang string, at binary, counts binary").toLocalIterator():
         counts[place[r["lang"]], np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")

@@ -3,22 +3,25 @@
 Words are white-space separated, lower-cased. A k-mer is ``K`` = 5 words (a shorter text is one
 k-mer). For each of ``FUNCTIONS`` hash functions the sketch holds the ``PICKS`` k-mers with the
 smallest hash of (k-mer, occurrence number), in text order; two texts with the same sketch under
-one function are candidates. Two texts are linked if they share at least ``SIMILARITY`` = 0.8 of
-their distinct k-mers (Jaccard, exact) and a banded alignment of their words finds an edit
-similarity of at least 0.8. Classes are the connected components of the links.
-
-How it scales. Texts with equal words are one node. Nodes that share a sketch hang on the least
-node of that sketch; connected components over these edges (star contraction, every round
-written to the shared folder) give families that hold all candidates. Within a family every pair
-is decided exactly: up to ``BLOCK`` nodes form one unit of work; a larger family is dealt into
-blocks by size class (linked texts differ by a quarter in size at most) and hash, and every pair
-of blocks that can hold links is a unit. A unit never holds more than two blocks, compares them
-with bit sets in memory, and emits only a spanning forest. So no pair list is built, nothing is
-capped, and a third of all rows in one family is spread over many tasks.
+one function are candidates. Candidates are linked if a banded alignment of their words finds an
+edit similarity (1 - distance / longer length) of at least ``SIMILARITY`` = 0.8; nothing else
+decides. Classes are the connected components of the links.
+
+How it scales. Texts with equal words are one node. All nodes of a sketch's bucket are aligned
+with the bucket's least node, its hub, as a stream that holds one hub at a time; a hub with many
+partners is dealt to as many units as it takes. So a group of near copies, however large, costs
+one alignment a member. Only buckets whose members are then still in different components go on:
+there every pair of different components is decided, in units of at most ``BLOCK`` nodes and
+``WORDS`` words a side; a larger bucket is dealt into blocks by size class (linked texts differ
+by a quarter in size at most) and hash, and each pair of blocks that can hold links is a unit. A
+unit rejects most pairs by the words that they share (an exact bound on the distance) and aligns
+the others. No list of pairs is built and nothing is capped. What stays quadratic is a bucket of
+texts of one size that share a sketch and are not alike; its tests are spread over its units.
 
 Defined results: a null text counts as empty; texts without words are equal to each other and
 to nothing else. Repeated rows are in one class; the class id is its least doc_id (null if all
-are null). Node keys are 64-bit hashes of the words.
+are null). Node keys are 64-bit hashes of the words, word keys 32-bit ones. Other columns are not
+read, and inner names are chosen apart from theirs.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop, id_type, map_batches, small_batches, table
+from .common import drop, fresh, id_type, map_batches, map_small, table
 
-K, SIMILARITY, FUNCTIONS, PICKS, BLOCK = 5, 0.8, 24, 3, 1024
+K, SIMILARITY, FUNCTIONS, PICKS = 5, 0.8, 24, 2
+BLOCK, WORDS, SPOKES = 256, 200_000, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,83 +100,126 @@ def sketch(mers: np.ndarray, functions: int = FUNCTIONS, picks: int = PICKS) ->
     return _mixed(key).view(np.int64)
 
 
-def edit_distance(a: list, b: list, limit: int) -> int | None:
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common start."""
+    n, at, step = min(len(a), len(b)), 0, 32
+    while at < n:
+        differ = a[at : min(n, at + step)] != b[at : min(n, at + step)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + step, step * 4
+    return n
+
+
+def edit_distance(a, b, limit: int) -> int | None:
     """Levenshtein distance if it is at most ``limit``: furthest points on the diagonals of a band
-    that widens by one on either side with each edit."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    ea, eb = len(a), len(b)
-    while ea > lo and eb > lo and a[ea - 1] == b[eb - 1]:
-        ea, eb = ea - 1, eb - 1
-    a, b = a[lo:ea], b[lo:eb]
+    that widens by one on either side with each edit and holds only diagonals from which the end
+    is within reach; one step serves the whole band."""
+    a, b = np.asarray(a), np.asarray(b)
+    lo = _run(a, b)
+    a, b = a[lo:], b[lo:]
+    hi = _run(a[::-1], b[::-1])
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
     n, m = len(a), len(b)
     goal = m - n
     if abs(goal) > limit:
         return None
     if not n or not m:
         return max(n, m)
-    far = {0: -1}
+    limit = min(limit, max(n, m))
+    zero = limit + 1
+    far = np.full(2 * limit + 3, -2, np.int64)
     for d in range(limit + 1):
-        new = {}
-        for k in range(-min(d, n), min(d, m) + 1):
-            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1) if d else 0
-            i = min(i, n, m - k)
-            if i < 0 or i + k < 0:
-                continue
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            if k == goal and i == n:
-                return d
-            new[k] = i
-        far = new
+        first, last = max(-d, goal - limit + d), min(d, goal + limit - d)
+        if first > last:
+            return None
+        k = np.arange(first, last + 1)
+        at = slice(first + zero, last + 1 + zero)
+        if d:
+            i = np.maximum(far[at] + 1, np.maximum(far[first - 1 + zero : last + zero], far[first + 1 + zero : last + 2 + zero] + 1))
+            i = np.minimum(i, np.minimum(n, m - k))
+        else:
+            i = np.zeros(1, np.int64)
+        live = np.flatnonzero((i >= 0) & (i + k >= 0) & (i < n) & (i + k < m))
+        while len(live) > 4:
+            live = live[a[i[live]] == b[i[live] + k[live]]]
+            i[live] += 1
+            live = live[(i[live] < n) & (i[live] + k[live] < m)]
+        for x in live.tolist():
+            p = int(i[x])
+            i[x] = p + _run(a[p:], b[p + int(k[x]) :])
+        i[(i < 0) | (i + k < 0)] = -2
+        far[at] = i
+        if first <= goal <= last and far[goal + zero] == n:
+            return d
     return None
 
 
-def aligned(a: list, b: list, least: float = SIMILARITY) -> bool:
+def most_edits(longer, least: float = SIMILARITY):
+    """Edits that leave a similarity of ``least``."""
+    return np.floor(np.asarray(longer) * (1 - least) + 1e-9).astype(np.int64)
+
+
+def aligned(a, b, least: float = SIMILARITY) -> bool:
     """Edit similarity 1 - distance / longer length of at least ``least``."""
     longer = max(len(a), len(b))
-    return longer == 0 or edit_distance(a, b, int(longer * (1 - least) + 1e-9)) is not None
+    return longer == 0 or edit_distance(a, b, int(most_edits(longer, least))) is not None
 
 
-def link_unit(seqs: list[np.ndarray], sides: np.ndarray, least: float = SIMILARITY, k: int = K) -> np.ndarray:
-    """Component label (an index) of each member; only pairs of different sides are compared if
-    there are two sides."""
+def bag(words: np.ndarray) -> np.ndarray:
+    """Sorted keys of the words with their occurrence numbers: each edit changes one at most."""
+    return np.sort(_mixed(words.astype(np.uint64) * _ODD + _occurrences(words)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, bag_a: np.ndarray, bag_b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """``aligned``, after the bounds by length and by shared words."""
+    longer = max(len(a), len(b))
+    limit = int(most_edits(longer, least))
+    if longer - min(len(a), len(b)) > limit:
+        return False
+    shared = np.concatenate([bag_a, bag_b])
+    shared.sort(kind="stable")
+    if longer - int((shared[1:] == shared[:-1]).sum()) > limit:
+        return False
+    return aligned(a, b, least)
+
+
+def link_unit(seqs: list[np.ndarray], sides: np.ndarray, labels: np.ndarray | None = None, least: float = SIMILARITY) -> np.ndarray:
+    """Component label (an index) of each member. Members with equal ``labels`` are linked already;
+    only pairs of different sides are compared if there are two sides."""
     s = len(seqs)
-    label = np.arange(s)
-    mers = [np.unique(kmers(x, k)) for x in seqs]
-    size = np.array([len(x) for x in mers])
+    label = np.arange(s) if labels is None else np.unique(labels, return_inverse=True)[1]
+    size = np.array([len(x) for x in seqs])
     order = np.argsort(size, kind="stable")
-    flat, inverse, count = np.unique(np.concatenate([mers[i] for i in order]), return_inverse=True, return_counts=True)
+    bags = [bag(seqs[i]) for i in order]
+    _, inverse, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
     column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[inverse]
     width = int((count > 1).sum())
     bits = np.zeros((s, -(-width // 64) * 8 or 8), np.uint8)
     scratch, at = np.zeros(bits.shape[1] * 8, bool), 0
-    for r, i in enumerate(order):
-        own = column[at : at + size[i]]
+    for r, x in enumerate(bags):
+        own = column[at : at + len(x)]
         own = own[own >= 0]
         scratch[own] = True
         bits[r] = np.packbits(scratch)
         scratch[own] = False
-        at += size[i]
+        at += len(x)
     bits = bits.view(np.uint64)
-    size, side, two = size[order], sides[order], len(set(sides.tolist())) > 1
-    words: dict[int, list] = {}
-    whole = lambda r: words.setdefault(r, seqs[order[r]].tolist())
-    num, den = 1 + least, least  # |x & y| (1 + s) >= s (|x| + |y|)
+    label, size, side, two = label[order], size[order], sides[order], len(set(sides.tolist())) > 1
+    limits = most_edits(size, least)
     for r in range(s - 1):
-        if size[r] == 0:
-            continue
-        hi = int(np.searchsorted(size, size[r] / least + 1e-9, "right"))
+        hi = int(np.searchsorted(size, size[r] / least + 1, "right"))  # a little too far; the limit decides
         for lo in range(r + 1, hi, 512):
-            top = min(hi, lo + 512)
-            shared = np.bitwise_count(bits[lo:top] & bits[r]).sum(axis=1, dtype=np.int64)
-            ok = shared * num >= den * (size[lo:top] + size[r]) - 1e-9
+            other = slice(lo, min(hi, lo + 512))
+            ok = label[other] != label[r]
             if two:
-                ok &= side[lo:top] != side[r]
-            for c in np.flatnonzero(ok) + lo:
-                if label[r] != label[c] and aligned(whole(r), whole(c), least):
-                    label[label == label[c]] = label[r]
+                ok &= side[other] != side[r]
+            at = np.flatnonzero(ok) + lo
+            if len(at):
+                shared = np.bitwise_count(bits[at] & bits[r]).sum(axis=1, dtype=np.int64)
+                for c in at[size[at] - shared <= limits[at]].tolist():
+                    if label[r] != label[c] and aligned(seqs[order[r]], seqs[order[c]], least):
+                        label[label == label[c]] = label[r]
     out = np.empty(s, np.int64)
     out[order] = label
     return out
@@ -203,38 +250,86 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
-    schema = T.StructType([T.StructField(key, id_type(df, key)), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    """(key, text_key, node, size in words, sketch) of every row."""
+    names = fresh(df, "text_key", "node", "size", "sketch")
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField(key, id_type(df, key)), *[T.StructField(n, t) for n, t in zip(names, kinds)]])
 
     def make():
         def step(cols):
             nodes, sizes, sketches = [], [], []
             for t in cols[text]:
                 words = words_of(t)
-                mers = kmers(word_hashes(words))
                 nodes.append(node_of(words))
-                sizes.append(len(np.unique(mers)))
-                sketches.append(sketch(mers))
-            return {key: cols[key], "text_key": cols["text_key"], "node": nodes, "size": sizes, "sketch": sketches}
+                sizes.append(len(words))
+                sketches.append(sketch(kmers(word_hashes(words))))
+            return {key: cols[key]} | dict(zip(names, (cols[names[0]], nodes, sizes, sketches)))
 
         return step
 
-    keyed = df.select(F.col(key), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
-    return map_batches(keyed, [key, text, "text_key"], schema, make)
+    keyed = df.select(key, *([text] if text != key else []), text_key(text).alias(names[0]))
+    found = map_batches(keyed, keyed.columns, schema, make)
+    return found.select(F.col(key).alias("key"), *[F.col(n).alias(o) for n, o in zip(names, ("text_key", "node", "size", "sketch"))])
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _word_rows(df: DataFrame) -> DataFrame:
+    """(node, words) from (node, text)."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("words", T.BinaryType())])
+
+    def make():
+        return lambda cols: {"node": cols["node"], "words": [word_hashes(words_of(t)).tobytes() for t in cols["text"]]}
+
+    return map_batches(df, ["node", "text"], schema, make)
+
+
+_EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
 
+def _edges(pairs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=to_arrow_schema(_EDGE))
 
-def _units(members: DataFrame, block: int) -> DataFrame:
-    """(node, unit, side): the units of work of each family member."""
+
+def _hub_links(stars: DataFrame, words: DataFrame) -> DataFrame:
+    """Links (a, b) among (node, hub): a hub's rows stream past its words."""
+    many = table(stars.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("deals")).where("deals > 1"))
+    dealt = stars.join(many, "hub", "left").withColumn("deal", F.pmod(F.xxhash64("node"), F.coalesce("deals", F.lit(1))).cast("int")).select("hub", "deal", "node")
+    spokes = dealt.join(words, "node").select("hub", "deal", F.lit(1).alias("role"), "node", "words")
+    hubs = dealt.select("hub", "deal").distinct().join(words.withColumnRenamed("node", "hub"), "hub").select("hub", "deal", F.lit(0).alias("role"), F.col("hub").alias("node"), "words")
+    rows = spokes.unionByName(hubs).repartition("hub", "deal").sortWithinPartitions("hub", "deal", "role", "node")
+
+    def run(batches):
+        mine = None
+        for batch in batches:
+            pairs = []
+            for hub, role, node, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x = np.frombuffer(data, np.uint32)
+                if not role:
+                    mine = (hub, x, bag(x))
+                elif alike(mine[1], x, mine[2], bag(x)):
+                    pairs.append((node, hub))
+            yield _edges(pairs)
+
+    links = table(map_small(rows.select("hub", "role", "node", "words"), run, _EDGE))
+    drop(many)
+    return links
+
+
+def _units(members: DataFrame, block: int, most_words: int) -> DataFrame:
+    """(node, label, unit, side): the units of work of each (bucket, node, size, label)."""
     step = -np.log(SIMILARITY) * 1.001  # linked sizes lie in the same or in neighbouring size classes
     m = members.withColumn("g", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(step)).cast("int"))
-    family = m.groupBy("root", "g").agg(F.count("*").alias("c"))
-    total = family.groupBy("root").agg(F.sum("c").alias("f"))
-    blocks = family.select("root", "g", F.ceil(F.col("c") / block).cast("int").alias("b"))
-    up = blocks.select("root", (F.col("g") - 1).alias("g"), F.col("b").alias("b_up"))
-    down = blocks.select("root", (F.col("g") + 1).alias("g"), F.col("b").alias("b_down"))
-    sized = blocks.join(total.where(F.col("f") > block), "root").join(up, ["root", "g"], "left").join(down, ["root", "g"], "left").drop("f")
-    sized = table(sized)  # apart from m's own exchange, so that a large family can be split in the join
-    big = m.join(sized, ["root", "g"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("b", F.lit(1))).cast("int"))
-    unit = lambda *x: F.xxhash64("root", *x)
+    part = m.groupBy("bucket", "g").agg(F.count("*").alias("c"), F.sum("size").alias("w"))
+    whole = part.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).where((F.col("c") > block) | (F.col("w") > most_words)).select("bucket")
+    blocks = part.select("bucket", "g", F.ceil(F.greatest(F.col("c") / block, F.col("w") / most_words)).cast("int").alias("b"))
+    up = blocks.select("bucket", (F.col("g") - 1).alias("g"), F.col("b").alias("b_up"))
+    down = blocks.select("bucket", (F.col("g") + 1).alias("g"), F.col("b").alias("b_down"))
+    sized = table(blocks.join(whole, "bucket").join(up, ["bucket", "g"], "left").join(down, ["bucket", "g"], "left"))  # apart from m's own exchange, so that a large bucket can be split in the join
+    big = m.join(sized, ["bucket", "g"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("b", F.lit(1))).cast("int"))
+    unit = lambda *x: F.xxhash64("bucket", *x)
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
 
     def each(count, make):
@@ -244,13 +339,11 @@ def _units(members: DataFrame, block: int) -> DataFrame:
     above = each(F.col("b_up"), lambda i: F.struct(unit(F.col("g"), F.col("own"), F.col("g") + 1, i).alias("unit"), F.lit(0).alias("side")))
     below = each(F.col("b_down"), lambda i: F.struct(unit(F.col("g") - 1, i, F.col("g"), F.col("own")).alias("unit"), F.lit(1).alias("side")))
     one = F.array(F.struct(unit().alias("unit"), F.lit(0).alias("side")))
-    return big.select("node", F.explode(F.when(F.col("b").isNull(), one).otherwise(F.concat(same, above, below))).alias("e")).select("node", "e.unit", "e.side")
+    return big.select("node", "label", F.explode(F.when(F.col("b").isNull(), one).otherwise(F.concat(same, above, below))).alias("e")).select("node", "label", "e.unit", "e.side")
 
 
-def _linked(rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) from (unit, side, node, words); a unit's rows are together."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    arrow = to_arrow_schema(schema)
+def _unit_links(rows: DataFrame) -> DataFrame:
+    """Spanning edges (a, b) of new links from (unit, side, node, label, words)."""
 
     def run(batches):
         unit, held = None, {}
@@ -258,75 +351,80 @@ def _linked(rows: DataFrame) -> DataFrame:
         def close():
             nodes = list(held)
             if len(nodes) < 2:
-                return pa.RecordBatch.from_pydict({"a": [], "b": []}, schema=arrow)
-            label = link_unit([np.frombuffer(held[x][1], np.uint32) for x in nodes], np.array([held[x][0] for x in nodes]))
-            root = {}
+                return _edges([])
+            sides, labels = np.array([held[x][0] for x in nodes]), np.array([held[x][1] for x in nodes])
+            label = link_unit([np.frombuffer(held[x][2], np.uint32) for x in nodes], sides, labels)
+            root: dict = {}
             for x, c in zip(nodes, label.tolist()):
                 root[c] = min(x, root.get(c, x))
-            pairs = [(x, root[c]) for x, c in zip(nodes, label.tolist()) if x != root[c]]
-            return pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=arrow)
+            return _edges([(x, root[c]) for x, c, was in zip(nodes, label.tolist(), labels.tolist()) if x != root[c] and was != held[root[c]][1]])
 
         for batch in batches:
-            for u, side, node, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for u, side, node, label, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if u != unit:
                     if held:
                         yield close()
                     unit, held = u, {}
-                held[node] = (side, words)
+                held[node] = (side, label, words)
         if held:
             yield close()
 
-    small_batches(rows.sparkSession)
-    return rows.select("unit", "side", "node", "words").mapInArrow(run, schema)
-
-
-def _word_rows(df: DataFrame, text: str) -> DataFrame:
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("words", T.BinaryType())])
-
-    def make():
-        return lambda cols: {"node": cols["node"], "words": [word_hashes(words_of(t)).tobytes() for t in cols[text]]}
-
-    return map_batches(df, ["node", text], schema, make)
+    ordered = rows.repartition("unit").sortWithinPartitions("unit", "node")
+    return map_small(ordered.select("unit", "side", "node", "label", "words"), run, _EDGE)
 
 
-def _labelled(df: DataFrame, text: str, key: str, block: int) -> DataFrame:
+def _labelled(df: DataFrame, text: str, key: str, block: int, most_words: int) -> DataFrame:
     """(key, text_key, class) of every row, written to the shared folder."""
     base = table(_sketched(df, text, key))
-    nodes = base.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("text_key", key)).alias("pick"))
-    held = base.select("node", F.explode("sketch").alias("bucket")).distinct()
-    hubs = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = held.join(hubs, "bucket").where("node != hub").select("node", "hub").distinct()
-    families = components(stars, "node", "hub")
-    members = table(families.join(nodes, "node").select("node", "root", "size", F.col("pick.text_key").alias("text_key"), F.col(f"pick.{key}").alias("pick_key")))
-    keyed = df.select(F.col(key).alias("__key"), F.col(text).alias(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tk"))
-    texts = keyed.join(members.select("node", "text_key", "pick_key").hint("merge"), (F.col("__tk") == F.col("text_key")) & F.col("__key").eqNullSafe(F.col("pick_key")))
-    rows = _units(members, block).join(_word_rows(texts.select("node", text), text), "node")
-    links = table(_linked(rows.repartition("unit").sortWithinPartitions("unit", "node")))
+    nodes = table(base.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("text_key", "key")).alias("pick")))
+    held = nodes.select("node", "size", F.explode("sketch").alias("bucket"))
+    # members: which texts hold a bucket, told by sums of their hashes, so that equal buckets count once
+    shared = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("s")).where("c > 1")
+    shared = shared.select("bucket", "hub", "hub_size", F.struct("c", "x", "s").alias("members"))
+    joined = held.join(shared, "bucket").select("node", "size", "hub", "hub_size", "members").distinct()
+    held = table(joined)
+    within = F.greatest("size", "hub_size") - F.least("size", "hub_size") <= F.floor(F.greatest("size", "hub_size") * (1 - SIMILARITY) + 1e-9)
+    stars = table(held.where((F.col("node") != F.col("hub")) & within).select("node", "hub").distinct())
+    picks = held.select("node").distinct().join(nodes.select("node", "pick"), "node").select("node", F.col("pick.text_key").alias("pick_text"), F.col("pick.key").alias("pick_key"))
+    keyed = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_key(text).alias("text_key"))
+    texts = keyed.join(picks.hint("merge"), (F.col("text_key") == F.col("pick_text")) & F.col("key").eqNullSafe(F.col("pick_key"))).select("node", "text")
+    words = table(_word_rows(texts).groupBy("node").agg(F.first("words").alias("words")))
+    links = _hub_links(stars, words)
     found = components(links, "a", "b")
-    labelled = table(base.select(key, "text_key", "node").join(found, "node", "left").select(key, "text_key", F.coalesce("root", "node").alias("class")))
-    drop(base, families, members, links, found)
+    # buckets that still hold several components; in one of two members the hub has decided
+    told = held.where("members.c > 2").select("node", "size", "members").join(found, "node", "left").select("members", "node", "size", F.coalesce("root", "node").alias("label"))
+    told = table(told)
+    mixed = table(told.groupBy("members").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("members", F.xxhash64("members").alias("bucket")))
+    rest = table(told.join(mixed, "members").select("bucket", "node", "size", "label"))
+    more = table(_unit_links(_units(rest, block, most_words).join(words, "node")))
+    if more.take(1):
+        drop(found)
+        found = components(links.unionByName(more), "a", "b")
+    labelled = table(base.select("key", "text_key", "node").join(found, "node", "left").select("key", "text_key", F.coalesce("root", "node").alias("class")))
+    drop(base, nodes, held, stars, words, links, found, told, mixed, rest, more)
     return labelled
 
 
-def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK, most_words: int = WORDS) -> DataFrame:
     """(key, class_id, class_rows) of every row."""
-    labelled = _labelled(df, text, key, block)
-    several = labelled.groupBy("class").agg(F.min(key).alias("class_id"), F.count("*").alias("class_rows")).where("class_rows > 1")
+    labelled = _labelled(df, text, key, block, most_words)
+    several = labelled.groupBy("class").agg(F.min("key").alias("class_id"), F.count("*").alias("class_rows")).where("class_rows > 1")
     several = table(several)  # an exchange of its own, so that a hot class can be split in the join
     return labelled.join(several, "class", "left").select(
-        key, F.when(F.col("class_rows").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")
+        F.col("key").alias(key), F.when(F.col("class_rows").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")
     )
 
 
-def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """The rows of ``df``, all columns, that stay: of each class the one with the least key. Of
-    rows that agree in key and text one stays."""
-    labelled = _labelled(df, text, key, block)
-    picks = labelled.groupBy("class").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_key").alias("t"))).alias("p"), F.count("*").alias("c")).where("c > 1").select("class", F.col("p.k").alias("__k"), F.col("p.t").alias("__t"))
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK, most_words: int = WORDS) -> DataFrame:
+    """The rows of ``df``, all columns, that stay: of each class the one with the least key,
+    a null key last. Of rows that agree in key and text one stays."""
+    labelled = _labelled(df, text, key, block, most_words)
+    picks = labelled.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("text_key").alias("t"))).alias("p"), F.count("*").alias("c")).where("c > 1").select("class", F.col("p.k").alias("pk"), F.col("p.t").alias("pt"))
     picks = table(picks)  # as in classes()
-    gone = labelled.join(picks, "class").where(~(F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_key") == F.col("__t")))).select(F.col(key).alias("__gk"), F.col("text_key").alias("__gt")).distinct()
-    keyed = df.withColumn("__tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    left = keyed.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("__gk")) & (F.col("__tk") == F.col("__gt")), "left_anti")
-    if labelled.groupBy(key, "text_key").agg(F.count("*").alias("c")).where("c > 1").take(1):
-        left = left.dropDuplicates([key, "__tk"])
+    mine, gone_key, gone_text = fresh(df, "text_key", "gone_key", "gone_text")
+    gone = labelled.join(picks, "class").where(~(F.col("key").eqNullSafe(F.col("pk")) & (F.col("text_key") == F.col("pt")))).select(F.col("key").alias(gone_key), F.col("text_key").alias(gone_text)).distinct()
+    keyed = df.withColumn(mine, text_key(text))
+    left = keyed.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(mine) == F.col(gone_text)), "left_anti")
+    if labelled.groupBy("key", "text_key").agg(F.count("*").alias("c")).where("c > 1").take(1):
+        left = left.dropDuplicates([key, mine])
     return left.select(*df.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, small_batches
+from .common import id_type, map_small
 
 WINDOW, LEAST, BLOCK, END_ID = 2048, 64, 512, 1
 
@@ -160,5 +160,4 @@ def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, patt
         if pieces:
             yield placed()
 
-    small_batches(df.sparkSession)
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_small(df.select(key, text), run, schema)

@@ -1,7 +1,10 @@
 """Near duplicates and the pipeline against brute force."""
 
+import os
 import random
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
+from itertools import takewhile
 
 import corpus_pipeline
 import numpy as np
@@ -31,14 +34,37 @@ def test_edit_distance():
             assert near_dup.edit_distance(a, b, limit) == (d if d <= limit else None), (a, b, limit)
 
 
-def shingles(t):
-    w = near_dup.words_of(t)
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+def test_edit_distance_of_long_texts():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3000, 20_000, dtype=np.uint32)
+    b = a.copy()
+    at = np.sort(rng.choice(20_000, 3000, replace=False))
+    b[at] = rng.integers(5000, 9000, 3000)
+    began = time.time()
+    assert near_dup.edit_distance(a, b, 4000) == 3000
+    assert near_dup.edit_distance(a, rng.permutation(a), 4000) is None
+    assert near_dup.edit_distance(a, np.concatenate([a[500:], b[:400]]), 4000) == 900
+    assert time.time() - began < 20
+
+
+def bound_holds(a, b):
+    """Shared words (with repeats) leave room for an edit similarity of 0.8."""
+    longer = max(len(a), len(b))
+    return longer - sum((Counter(a) & Counter(b)).values()) <= int(longer * 0.2 + 1e-9)
+
+
+def similar_pairs(words, pairs):
+    """Of index pairs those with an edit similarity of 0.8 or more."""
+    for i, j in pairs:
+        a, b = words[i], words[j]
+        longer = max(len(a), len(b))
+        if a and b and min(len(a), len(b)) >= 0.8 * longer - 1e-9 and bound_holds(a, b) and near_dup.aligned(near_dup.word_hashes(a), near_dup.word_hashes(b)):
+            yield i, j
 
 
 def plain_classes(rows):
-    """Least key of each component over all pairs with Jaccard and edit similarity of 0.8."""
-    keys, sets, words = [r[0] for r in rows], [shingles(r[1]) for r in rows], [near_dup.words_of(r[1]) for r in rows]
+    """Least key of each component over all pairs that share a sketch and are similar, or are equal."""
+    keys, words = [r[0] for r in rows], [near_dup.words_of(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -46,16 +72,20 @@ def plain_classes(rows):
             i = parent[i]
         return i
 
-    posting = defaultdict(list)
-    for i, s in enumerate(sets):
-        for j in {j for x in s for j in posting[x]} | ({j for j in range(i) if not words[j]} if not words[i] else set()):
-            both = len(s & sets[j])
-            same = words[i] == words[j]
-            if same or (both * 9 >= 4 * (len(s) + len(sets[j])) and near_dup.aligned(words[i], words[j])):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-        for x in s:
+    def unite(i, j):
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+
+    same, posting, pairs = {}, defaultdict(list), set()
+    for i, w in enumerate(words):
+        if (first := same.setdefault(tuple(w), i)) != i:
+            unite(first, i)
+            continue
+        for x in near_dup.sketch(near_dup.kmers(near_dup.word_hashes(w))).tolist():
+            pairs |= {(j, i) for j in posting[x]}
             posting[x].append(i)
+    for i, j in similar_pairs(words, pairs):
+        unite(i, j)
     least = {}
     for i, k in enumerate(keys):
         r = root(i)
@@ -80,20 +110,69 @@ def family():
         chain = list(chain)
         chain[random.randrange(len(chain))] = word()
         texts.append(chain)
+    # one passage is most of each text: they share sketches and are not alike
+    for _ in range(40):
+        texts.append(base[:60] + [word() for _ in range(random.randrange(18, 30))])
     texts += [texts[3]] * 5 + [[word() for _ in range(random.randrange(1, 60))] for _ in range(60)] + [base[:100] + base[100:160][::-1]]
     return [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, ""), (901, None), (902, " \n"), (903, "one two"), (904, "One  TWO")]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_classes_by_brute_force(spark, family, block):
+@pytest.mark.parametrize("block, most_words", [(1024, 10**6), (7, 10**6), (1024, 700)])
+def test_classes_by_brute_force(spark, family, block, most_words):
     df = spark.createDataFrame(family, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df, block=block).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df, block=block, most_words=most_words).collect()}
     want = dict(zip([k for k, _ in family], plain_classes(family)))
     assert got == want
-    kept = near_dup.representatives(df, block=block).collect()
+    kept = near_dup.representatives(df, block=block, most_words=most_words).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
+def test_recall_against_all_pairs(spark):
+    """Every pair of different texts with an edit similarity of 0.8 or more, sketches aside."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    words = [near_dup.words_of(t) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: len(words[i]))
+    within = ((i, j) for n, i in enumerate(order) for j in takewhile(lambda j: len(words[i]) >= 0.8 * len(words[j]) - 1e-9, order[n + 1 :]) if words[i] != words[j])
+    true = list(similar_pairs(words, within))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
+    assert len(true) > 50
+    assert np.mean([got[rows[i][0]] == got[rows[j][0]] for i, j in true]) >= 0.98
+
+
+def test_short_texts_with_one_edit(spark):
+    words = [f"w{i}" for i in range(46)]
+    rows = [(0, words[:40]), (1, [*words[:19], "x", *words[20:40]]), (2, [f"v{i}" for i in range(46)]), (3, [f"v{i}" for i in range(46) if i != 30])]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_one_large_group_of_near_copies(spark):
+    """More copies of one text than a hub's unit holds; each has its own edit."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 120], f"e{i}", *words[i % 120 + 1 :]])) for i in range(3 * near_dup.SPOKES)]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {(r["class_id"], r["class_rows"]) for r in got} == {(0, len(rows))}
+
+
+def test_clashing_names_and_repeated_keys(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", 1, 2), (1, text, "a", 1, 2), (1, text + " more", "b", 3, 4), (None, text, "c", 5, 6), (2, None, "d", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __tk string, text_key int, _gone_key int")
+    kept = near_dup.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, text if near_dup_first(spark, text) else text + " more"), (2, None)], key=str)
+
+
+def near_dup_first(spark, text):
+    """Whether of two rows of one key the shorter text has the lesser hash, which decides."""
+    a, b = spark.createDataFrame([(text,), (text + " more",)], "text string").select(near_dup.text_key("text").alias("k")).collect()
+    return a["k"] < b["k"]
+
+
 def test_classes_of_documents(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["class_id"], r["class_rows"]) for r in near_dup.classes(docs).collect()}
@@ -161,8 +240,8 @@ def test_pipeline_stages(spark, docs, sf_dir, odd):
 def test_sizes_at_the_threshold_meet(spark):
     """Sizes of exactly 4 to 5 share a unit of work in a family larger than a block."""
     pairs = [(3820, 4775), (7456, 9320), (11644, 14555)]
-    rows = [(i, 10 * i + j, size) for i, p in enumerate(pairs) for j, size in enumerate(p)]
+    rows = [(i, 10 * i + j, size, 0) for i, p in enumerate(pairs) for j, size in enumerate(p)]
     units = {}
-    for r in near_dup._units(spark.createDataFrame(rows, "root long, node long, size long"), 1).collect():
+    for r in near_dup._units(spark.createDataFrame(rows, "bucket long, node long, size long, label long"), 1, 10**6).collect():
         units.setdefault(r["node"], set()).add(r["unit"])
     assert all(units[10 * i] & units[10 * i + 1] for i in range(len(pairs)))
