@@ -50,9 +50,17 @@ def node_of(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    h = xxhash.xxh32_intdigest
-    return np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))
+def word_hashes(words: list[str], memo: dict | None = None) -> np.ndarray:
+    """32-bit keys of words; ``memo`` holds those seen before, a bounded number of them."""
+    memo = {} if memo is None else memo
+    out = list(map(memo.get, words))
+    if None in out:
+        if len(memo) > 300_000:
+            memo.clear()
+        for i, v in enumerate(out):
+            if v is None:
+                out[i] = memo[words[i]] = xxhash.xxh32_intdigest(words[i].encode("utf-8", "surrogatepass"))
+    return np.array(out, np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,8 +98,11 @@ def sketch(mers: np.ndarray, functions: int = FUNCTIONS, picks: int = PICKS) ->
     ranks = (labelled[None, :] ^ seeds[:, None]) * _MIX
     ranks ^= ranks >> np.uint64(31)
     if len(mers) > picks:
-        at = np.sort(np.argpartition(ranks, picks - 1, axis=1)[:, :picks], axis=1)
-        chosen = mers[at]
+        at, rows = np.empty((functions, picks), np.int64), np.arange(functions)
+        for i in range(picks):
+            at[:, i] = ranks.argmin(axis=1)
+            ranks[rows, at[:, i]] = np.iinfo(np.uint64).max
+        chosen = mers[np.sort(at, axis=1)]
     else:
         chosen = np.broadcast_to(mers, (functions, len(mers)))
     key = seeds.copy()
@@ -256,13 +267,15 @@ def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
     schema = T.StructType([T.StructField(key, id_type(df, key)), *[T.StructField(n, t) for n, t in zip(names, kinds)]])
 
     def make():
+        memo: dict = {}
+
         def step(cols):
             nodes, sizes, sketches = [], [], []
             for t in cols[text]:
                 words = words_of(t)
                 nodes.append(node_of(words))
                 sizes.append(len(words))
-                sketches.append(sketch(kmers(word_hashes(words))))
+                sketches.append(sketch(kmers(word_hashes(words, memo))))
             return {key: cols[key]} | dict(zip(names, (cols[names[0]], nodes, sizes, sketches)))
 
         return step
@@ -281,7 +294,8 @@ def _word_rows(df: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("words", T.BinaryType())])
 
     def make():
-        return lambda cols: {"node": cols["node"], "words": [word_hashes(words_of(t)).tobytes() for t in cols["text"]]}
+        memo: dict = {}
+        return lambda cols: {"node": cols["node"], "words": [word_hashes(words_of(t), memo).tobytes() for t in cols["text"]]}
 
     return map_batches(df, ["node", "text"], schema, make)
 
