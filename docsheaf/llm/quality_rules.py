@@ -1,7 +1,7 @@
 """Operator 7, quality rules: a decision list learned by sequential covering.
 
 One Arrow pass computes the statistics of every whole text. From the statistics of labelled
-documents (at most ``MAX_LABELLED`` of them, the first by hashed key) sequential covering learns
+documents (at most ``MAX_LABELLED`` keys, the first by hash, one row of each) sequential covering learns
 rules: a conjunction of thresholds is grown literal by literal for the highest information gain
 on two thirds of the rows, pruned from its end on the other third, kept if it is precise there,
 and the rows that it covers are taken away. The ordered rules become one ``CASE`` expression.
@@ -9,7 +9,8 @@ and the rows that it covers are taken away. The ordered rules become one ``CASE`
 Words are runs of characters other than space, tab, LF, VT, FF and CR. Defined results: a null
 or empty text has zero statistics and fails the base rule; a table without labelled documents
 gives an empty list, which keeps everything that passes the base rule. Repeated rows are judged
-alike. Other columns are not read; labels of a repeated key count once for each pair.
+alike. Other columns are not read. Of rows with one key the one with the least statistics is learned
+from; of its labels the least (worst) holds.
 """
 
 from __future__ import annotations
@@ -27,11 +28,18 @@ from .common import id_type, map_batches
 
 MAX_LABELLED = 20_000
 SYMBOLS = "#*$%&|<>"
+#: frequent function words of English, German, French and Spanish
+STOP = frozenset("""
+the of and to in is that for it was on are as with his they at be this from by not but or an he she we you have had which
+der die das und ist nicht ein eine zu den dem mit von auf für im sich auch es an als des
+le la les de des et est un une du que qui dans pour pas sur au par avec ce il elle
+el los las que y en un una por con para del se no es su al lo
+""".split())
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("symbol_share", "dup_line_share", "repeat_word_share", "mean_word", "upper_share", "digit_share", "mark_share", "top_word_share", "stop_share", "words_per_line")
 
 
-def text_stats(text: str, stop: frozenset = frozenset()) -> tuple:
+def text_stats(text: str, stop: frozenset = STOP) -> tuple:
     """COUNTS then SHARES of one text."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # bytes split at exactly the six ASCII spaces
@@ -65,8 +73,9 @@ def text_stats(text: str, stop: frozenset = frozenset()) -> tuple:
     upper = int(((letters >= 65) & (letters <= 90)).sum())
     digits = int(((letters >= 48) & (letters <= 57)).sum())
     marks = sum(text.count(c) for c in "!?.,;:")
-    top = int(np.bincount(code).max())
-    common = sum(w in stop for w in words) if stop else 0
+    times = np.bincount(code)
+    top = int(times.max())
+    common = int(sum(times[i] for w, i in ids.items() if w.lower().decode("utf-8", "replace") in stop))
     return (n, chars, symbols, dup, repeat, symbols / n, dup / len(lines), repeat / n, chars / n, upper / len(data), digits / len(data), marks / n, top / n, common / n, n / len(lines))
 
 
@@ -165,13 +174,14 @@ def learn(x: np.ndarray, bad: np.ndarray, names: tuple = SHARES, most_rules: int
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", limit: int = MAX_LABELLED) -> list[Rule]:
     """Rules from labelled rows (label 0: bad). ``limit`` bounds the rows that are used; they are
     picked by the hash of their key before any text is read."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("__y"))
-    picked = known.withColumn("__h", F.xxhash64(key)).sort("__h", key).limit(limit).drop("__h")
-    rows = stats(df.select(key, text).join(F.broadcast(picked), key), text, key, extra=("__y",)).select(F.col(key), "__y", *SHARES).sort(F.xxhash64(key), key).collect()
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
+    picked = known.withColumn("h", F.xxhash64("k")).sort("h", "k").limit(limit)
+    own = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
+    rows = stats(own, "t", "k", extra=("y", "h")).groupBy("k").agg(F.min(F.struct("h", *SHARES, "y")).alias("s")).select("k", "s.*").sort("h", "k").collect()
     if not rows:
         return []
     x = np.array([[r[c] for c in SHARES] for r in rows], float)
-    return learn(x, np.array([r["__y"] == 0 for r in rows]))
+    return learn(x, np.array([r["y"] == 0 for r in rows]))
 
 
 def decision(rules: list[Rule], prefix: str = "") -> Column:

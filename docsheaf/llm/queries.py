@@ -18,7 +18,7 @@ def op2_media_columns(spark, sf_dir):
     marks = F.transform("landmarks", lambda x: F.hex(x))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(":", F.size("landmarks"), F.sha2(F.array_join(marks, ","), 256)).alias("feature"), F.size("landmarks").cast("long").alias("n_landmarks"),
+        F.concat_ws(":", F.size("landmarks"), F.sha2(F.array_join(marks, ","), 256)).alias("feature"), F.size("landmarks").cast("long").alias("n_landmarks"), "landmarks",
     )
 
 
@@ -48,9 +48,14 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_language_id(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    found = lang_id.identify(docs, lang_id.train(docs))
-    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), F.round("text_posterior", 6).alias("text_posterior"), "declared_language", "kept")
+    """Documents (declared language and source from their columns) and pages (from markup and url)
+    together: each row has a doc_id or a page_id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", F.col("source").alias("host"))
+    pages = read(spark, sf_dir, "pages")
+    text, declared, host = lang_id.page_evidence(pages)
+    both = docs.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", text.alias("text"), declared.alias("lang"), host.alias("host")))
+    found = lang_id.identify(both, lang_id.train(both), host="host", extra=("page_id",))
+    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), F.round("text_posterior", 6).alias("text_posterior"), "declared_language", "kept", "page_id")
 
 
 def op7_quality_rules(spark, sf_dir):
@@ -62,8 +67,9 @@ def op7_quality_rules(spark, sf_dir):
 def op8_pii(spark, sf_dir):
     found = pii.spans(read(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    n_email, n_ip, n_card, n_phone, n_term = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS) - 1)
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", n_email, n_ip, n_card, n_phone, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), n_term)
 
 
 def op9_sentencepiece(spark, sf_dir):

@@ -3,9 +3,10 @@
 Rule kinds are matched leftmost and non-overlapping; failing matches are dropped and not
 retried. Candidate strings are runs of token characters. A candidate belongs to each character
 class it fits: base64-like as a whole, or with a part between separators that is hex, lower-case or
-upper-case alphanumeric (the span may then take in characters beside that part); a window of fixed width slides over it, and the Shannon entropy of
-the window follows from S = sum of c*log2(c) over its character counts c: a character that
-leaves or enters changes S by the difference of two terms. A candidate with a window at or over
+upper-case alphanumeric (the span may then take in characters beside that part); a window of fixed
+width slides over it with the counts of its characters, twelve counters in each of a few integers.
+A character that leaves or enters changes one counter and, with it, S = sum of c*log2(c), from which
+the Shannon entropy follows; a step costs the same whatever the width. A candidate with a window at or over
 the threshold of its class is a span, from its first to its last such window, unless an
 allow-list pattern fits the whole candidate.
 
@@ -41,24 +42,37 @@ ALLOW = (
     r"(?i)^(?:0123456789(?:abcdef)?|abcdefghij(?:klmnopqrstuvwxyz)?|[+/_=-]){1,64}$",
 )
 _SPAN = "struct<kind:string,rank:int,first:int,last:int>"
-_PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 1)]
+#: characters of a candidate; counts up to WIDTH take _BITS bits, _PACKED of them share one integer
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+_BITS, _PACKED = 5, 12
+_TOGETHER = 256
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<value, first, last>> of all matches: the pieces between them give the offsets."""
+    """array<struct<value, first, last>> of all matches: the pieces between them give the offsets.
+    Running ends are summed in blocks, so the work is in proportion to the matches."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     sizes = F.transform(values, F.char_length)
-    # running ends of gap and match, one pass each
     steps = F.zip_with(F.slice(gaps, 1, F.size(values)), sizes, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    empty = F.array().cast("array<struct<first:int,last:int>>")
 
     def grow(acc, s):
         first = acc["at"] + s["g"]
         return F.struct((first + s["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), (first + s["m"]).alias("last")))).alias("out"))
 
-    places = F.aggregate(steps, start, grow, lambda acc: acc["out"])
-    return F.zip_with(values, places, lambda v, p: F.struct(v.alias("value"), p["first"].alias("first"), p["last"].alias("last")))
+    def summed(all_steps):
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(all_steps) - 1, F.lit(0)), F.lit(_TOGETHER)),
+            lambda at: F.aggregate(F.slice(all_steps, at + 1, _TOGETHER), F.struct(F.lit(0).alias("at"), empty.alias("out")), grow),
+        )
+
+    def placed(blocks):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(blocks, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, at: F.transform(x["out"], lambda p: F.struct((p["first"] + at).alias("first"), (p["last"] + at).alias("last")))))
+
+    return F.zip_with(values, let(let(steps, summed), placed), lambda v, p: F.struct(v.alias("value"), p["first"].alias("first"), p["last"].alias("last")))
 
 
 def _spans(located: Column, kind: str, rank: int) -> Column:
@@ -67,27 +81,38 @@ def _spans(located: Column, kind: str, rank: int) -> Column:
 
 def _windows(value: Column, least: float, width: int = WIDTH) -> Column:
     """struct<first, last>: code points of the first hot window's start and the last one's end (0: none)."""
-    plogp = F.array(*[F.lit(x) for x in _PLOGP])
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-
-    def over(chars):
+    if width >= 1 << _BITS:
+        raise ValueError(f"a window has fewer than {1 << _BITS} characters")
+    plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)])
+    counters = -(-len(ALPHABET) // _PACKED)
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), counters).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def code(c):
+        at = F.instr(F.lit(ALPHABET), c) - 1
+        bits = F.pmod(at, F.lit(_PACKED)) * _BITS
+        return F.struct(F.floor(at / _PACKED).cast("int").alias("word"), bits.alias("bits"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bits).alias("one"))
+
+    def over(codes):
         def slide(acc, i):
-            # counts of the leaving and the entering character among those that stay
-            kept = F.slice(chars, F.greatest(i - width + 2, F.lit(1)), F.least(i, F.lit(width - 1)))
-            enters, leaves = F.get(chars, i), F.get(chars, i - width)
-            counted = lambda ch: F.size(F.filter(kept, lambda c: c == ch))
-            fall = F.when(i >= width, let(counted(leaves), lambda c: F.get(plogp, c + 1) - F.get(plogp, c))).otherwise(0.0)
-            rise = let(counted(enters), lambda c: F.get(plogp, c + 1) - F.get(plogp, c))
+            enters, leaves = F.get(codes, i), F.get(codes, i - width)  # nothing leaves the first windows
+            held = lambda c: F.call_function("shiftrightunsigned", F.get(acc["counts"], c["word"]), c["bits"]).bitwiseAND((1 << _BITS) - 1).cast("int")
+            same = F.coalesce((enters["word"] == leaves["word"]) & (enters["bits"] == leaves["bits"]), F.lit(False)).cast("int")
+            fall = F.coalesce(let(held(leaves), lambda n: F.get(plogp, n) - F.get(plogp, n - 1)), F.lit(0.0))
+            rise = let(held(enters) - same, lambda n: F.get(plogp, n + 1) - F.get(plogp, n))
+            counts = F.transform(acc["counts"], lambda x, j: x + F.when(j == enters["word"], enters["one"]).otherwise(0) - F.when(j == leaves["word"], leaves["one"]).otherwise(0))
 
             def moved(s):
                 hot = (i >= width - 1) & (math.log2(width) - s / width >= least - 1e-9)
-                return F.struct(s.alias("s"), F.when((acc["first"] == 0) & hot, i - width + 2).otherwise(acc["first"]).alias("first"), F.when(hot, i + 1).otherwise(acc["last"]).alias("last"))
+                return F.struct(
+                    counts.alias("counts"), s.alias("s"), F.when((acc["first"] == 0) & hot, i - width + 2).otherwise(acc["first"]).alias("first"),
+                    F.when(hot, i + 1).otherwise(acc["last"]).alias("last"),
+                )
 
             return let(acc["s"] - fall + rise, moved)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, slide, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, slide, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    return let(F.split(value, ""), over)
+    return let(F.transform(F.split(value, ""), code), over)
 
 
 def secret_spans(text: Column, classes: dict = CLASSES, allow: tuple = ALLOW, width: int = WIDTH) -> Column:

@@ -1,7 +1,9 @@
 """Operator 4, toxicity: a linear-chain conditional random field over words.
 
-Training uses at most ``MAX_LABELLED`` labelled rows outside the held-out fold (picked by hash of
-their key). Token labels follow from document labels: a word is a toxic token of a toxic
+Training uses at most ``MAX_LABELLED`` labelled keys outside the held-out fold (picked by hash), one
+row of each. Their words are counted, cut into short windows and, once the field is fitted, summed
+up by tasks; the driver gets words that pass the thresholds, windows and three numbers a row, never
+whole texts. Token labels follow from document labels: a word is a toxic token of a toxic
 document if it is far more frequent in toxic than in other documents (add-half log-odds over
 ``LEAST_ODDS``, in ``SUPPORT`` toxic documents at least). The field has two states, emissions from
 hashed word, prefix and suffix features, and transitions; it is fitted by the gradient of its
@@ -13,7 +15,8 @@ Scoring reads whole texts. Forward and backward messages are ratios of the two s
 step of a recursion serves all documents of a batch at once.
 
 Defined results: a null text counts as empty, and a text without words has the score of zero
-features. Without labelled rows of both kinds every score is 0.0. Repeated rows score alike.
+features. Without labelled rows of both kinds every score is 0.0. Repeated rows score alike. Of rows
+with one key the least text is learned from; of its labels the greatest holds.
 Scores depend on the text alone; other columns are not read.
 """
 
@@ -23,12 +26,14 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches
+from .common import drop, id_type, map_batches, map_small, table
 
 MAX_LABELLED, LEAST_ODDS, SUPPORT, WIDTH, SPAN = 6_000, 2.0, 4, 1 << 16, 24
 _TOKEN = re.compile(r"\w+")
@@ -44,8 +49,9 @@ def features(word: str, width: int = WIDTH) -> tuple[int, int, int]:
     return h(f"w{w}".encode("utf-8", "surrogatepass")) % width, h(f"p{w[:4]}".encode("utf-8", "surrogatepass")) % width, h(f"s{w[-4:]}".encode("utf-8", "surrogatepass")) % width
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, field: dict) -> np.ndarray:
-    """P(toxic) of every token of concatenated sequences, by forward and backward ratios."""
+def _messages(emission: np.ndarray, lengths: np.ndarray, field: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission odds, forward and backward ratios of every token of concatenated sequences; one
+    step of a recursion serves all sequences."""
     total = int(lengths.sum())
     a = np.exp(field["transition"])
     e = np.exp(np.clip(emission, -30, 30))
@@ -68,6 +74,12 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, field: dict) -> np.ndar
             x = e[at + 1] * q[: active[t]]
             q = (a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x)
         backward[at] = q[: active[t]]
+    return e, forward, backward
+
+
+def marginals(emission: np.ndarray, lengths: np.ndarray, field: dict) -> np.ndarray:
+    """P(toxic) of every token of concatenated sequences, by forward and backward ratios."""
+    _, forward, backward = _messages(emission, lengths, field)
     odds = forward * backward
     return odds / (1 + odds)
 
@@ -83,7 +95,8 @@ def _fit_field(sequences: list[tuple[list, list]], width: int = WIDTH, epochs: i
             lengths = np.array([len(y) for _, y in chosen])
             f = np.array([x for s, _ in chosen for x in s])
             y = np.array([v for _, s in chosen for v in s], float)
-            m = marginals(field["weights"][f].sum(axis=1), lengths, field)
+            e, forward, backward = _messages(field["weights"][f].sum(axis=1), lengths, field)
+            m = forward * backward / (1 + forward * backward)
             inside = np.ones(len(y), bool)
             inside[np.cumsum(lengths)[:-1]] = False
             inside[0] = False
@@ -94,7 +107,7 @@ def _fit_field(sequences: list[tuple[list, list]], width: int = WIDTH, epochs: i
                 np.add.at(grad, f[:, j], (y - m))
             grad = grad / n - l2 * field["weights"]
             # pair marginals from neighbouring token marginals under the current field
-            pair = _pair_marginals(field, f, lengths, inside)
+            pair = _pair_marginals(field, e, forward, backward, inside)
             gold = np.zeros((2, 2))
             prev, now = y[:-1][inside[1:]].astype(int), y[1:][inside[1:]].astype(int)
             np.add.at(gold, (prev, now), 1.0)
@@ -109,19 +122,11 @@ def _fit_field(sequences: list[tuple[list, list]], width: int = WIDTH, epochs: i
     return field
 
 
-def _pair_marginals(field: dict, f: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Expected counts of the four transitions: forward message x transition x emission x backward."""
-    e = np.exp(np.clip(field["weights"][f].sum(axis=1), -30, 30))
+def _pair_marginals(field: dict, e: np.ndarray, forward: np.ndarray, backward: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Expected counts of the four transitions: forward message x transition x emission x backward.
+    ``inside`` marks tokens that follow one of their own sequence."""
     a = np.exp(field["transition"])
-    n = len(e)
-    fwd, bwd = np.empty(n), np.ones(n)
-    for t in range(n):
-        fwd[t] = e[t] * ((a[0, 1] + fwd[t - 1] * a[1, 1]) / (a[0, 0] + fwd[t - 1] * a[1, 0]) if inside[t] else math.exp(field["start"]))
-    for t in range(n - 2, -1, -1):
-        if inside[t + 1]:
-            x = e[t + 1] * bwd[t + 1]
-            bwd[t] = (a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x)
-    left, right = fwd[:-1][inside[1:]], (e * bwd)[1:][inside[1:]]
+    left, right = forward[:-1][inside[1:]], (e * backward)[1:][inside[1:]]
     joint = np.stack([a[0, 0] + 0 * left, a[0, 1] * right, a[1, 0] * left, a[1, 1] * left * right])
     return (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
@@ -147,49 +152,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], toxic: list[bool], width: int = WIDTH) -> dict | None:
-    """The field and the document-level weights from whole labelled texts."""
-    toxic = np.asarray(toxic, bool)
-    if not toxic.any() or toxic.all():
+def words_of(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
+
+
+def windows(words: list[str], toxic: bool, listed: frozenset) -> list[tuple[list, list]]:
+    """Short stretches of a text with their token labels: around listed words (some in a toxic text,
+    the first in another), and plain text of a third of those without one."""
+    hits = [i for i, w in enumerate(words) if w in listed]
+    if hits:
+        starts = {max(0, j - SPAN // 2) for j in (hits[:: max(1, len(hits) // 4)] if toxic else hits[:1])}
+    else:
+        h = xxhash.xxh32_intdigest(" ".join(words[:SPAN]).encode("utf-8", "surrogatepass"))
+        starts = {h % max(1, len(words) - SPAN)} if words and h % 3 == 0 else set()
+    return [(words[s : s + SPAN], [int(toxic and w in listed) for w in words[s : s + SPAN]]) for s in sorted(starts)]
+
+
+def fit_field(found: list[tuple[list, list]], width: int = WIDTH) -> dict:
+    """The field from (words, labels) windows."""
+    memo: dict = {}
+    triple = lambda w: memo.get(w) or memo.setdefault(w, features(w, width))
+    return _fit_field([([triple(w) for w in words], labels) for words, labels in found], width)
+
+
+def _emitter(field: dict):
+    """words -> their emissions; a bounded number of words is remembered."""
+    memo: dict = {}
+    w = field["weights"]
+
+    def emissions(words: list[str]) -> np.ndarray:
+        found = list(map(memo.get, words))
+        if None in found:
+            for i, v in enumerate(found):
+                if v is None:
+                    a, b, c = features(words[i], len(w))
+                    memo[words[i]] = found[i] = float(w[a] + w[b] + w[c])
+        if len(memo) > 400_000:
+            memo.clear()
+        return np.array(found, np.float32)
+
+    return emissions
+
+
+def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = MAX_LABELLED) -> dict | None:
+    """The field and the document-level weights."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    picked = known.withColumn("h", F.xxhash64("k")).sort("h", "k").limit(limit)
+    texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = table(texts.join(F.broadcast(picked), "k").groupBy("k", "h").agg(F.min("t").alias("t"), F.first("y").alias("y")))  # at most limit rows, whole texts, read again below
+    kinds = {r["y"] == 1: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    bad, good = kinds.get(True, 0), sum(n for y, n in kinds.items() if not y)
+    if not bad or not good:
+        drop(rows)
         return None
-    vocabulary: dict[str, int] = {}
-    tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _TOKEN.findall(t.lower())], np.int32) for t in texts]
-    words = list(vocabulary)
-    bad, good = np.zeros(len(words)), np.zeros(len(words))
-    for ts, y in zip(tokens, toxic):
-        (bad if y else good)[np.unique(ts)] += 1
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    listed = (bad >= SUPPORT) & (odds >= LEAST_ODDS)
-    triples = np.array([features(w, width) for w in words], np.int32).reshape(len(words), 3)
-
-    sequences = []
-    for i, (ts, y) in enumerate(zip(tokens, toxic)):
-        hits = np.flatnonzero(listed[ts])
-        if y:
-            starts = {max(0, int(j) - SPAN // 2) for j in hits[:: max(1, len(hits) // 4)]}
-        else:  # other documents show listed words too, and plain text
-            starts = {max(0, int(j) - SPAN // 2) for j in hits[:1]}
-        if not len(hits) and len(ts) and i % 3 == 0:
-            starts = {(i * 7919) % max(1, len(ts) - SPAN)}
-        for s in sorted(starts):
-            part = ts[s : s + SPAN]
-            sequences.append((triples[part].tolist(), (listed[part] & bool(y)).astype(int).tolist()))
-    if not sequences:
+
+    def seen(batches):
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = sorted(set(words_of(t)))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([int(y == 1)] * len(words), pa.int64()), pa.array([int(y != 1)] * len(words), pa.int64())], names=["w", "bad", "good"])
+
+    counts = map_small(rows.select("t", "y"), seen, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+    listed = frozenset(r["w"] for r in counts.where((F.col("bad") >= SUPPORT) & (odds >= LEAST_ODDS)).select("w").collect())
+
+    def cut(batches):
+        for batch in batches:
+            out = [(h, i, w, y_) for h, t, y in zip(*(batch.column(c).to_pylist() for c in range(3))) for i, (w, y_) in enumerate(windows(words_of(t), y == 1, listed))]
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(("h", "i", "words", "labels"))}, schema=cut_schema)
+
+    cut_type = T.StructType([T.StructField("h", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))])
+    cut_schema = to_arrow_schema(cut_type)
+    found = map_small(rows.select("h", "t", "y"), cut, cut_type).sort("h", "i").collect()  # at most 5 windows of SPAN words a row
+    if not found:
+        drop(rows)
         return None
-    field = _fit_field(sequences, width)
-    lengths = np.array([len(ts) for ts in tokens])
-    emission = field["weights"][triples].sum(axis=1)
-    m = marginals(emission[np.concatenate(tokens)], lengths, field)
-    ends = np.cumsum(lengths)
-    x = np.array([summary(m[e - n : e]) for e, n in zip(ends, lengths)])
-    return {"field": field, "document": _logistic(x, toxic.astype(float)), "lexicon": [w for w, k in zip(words, listed) if k]}
+    field = fit_field([(r["words"], r["labels"]) for r in found])
 
+    def summed(batches):
+        emissions = _emitter(field)
+        for batch in batches:
+            out = []
+            for h, t, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                e = emissions(_TOKEN.findall(t)).astype(float)
+                out.append((h, float(y == 1), *summary(marginals(e, np.array([len(e)]), field))))
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(("h", "y", "a", "b", "c"))}, schema=pa.schema([("h", pa.int64()), *[(n, pa.float64()) for n in "yabc"]]))
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = MAX_LABELLED) -> dict | None:
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).select(F.col(key), F.col(label).cast("int").alias("__y"))
-    picked = known.withColumn("__h", F.xxhash64(key)).sort("__h", key).limit(limit).drop("__h")
-    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(F.broadcast(picked), key).sort(F.xxhash64(key), key).select("__t", "__y").collect()
-    return fit([r[0] for r in rows], [r[1] == 1 for r in rows])
+    x = np.array([tuple(r) for r in map_small(rows.select("h", "t", "y"), summed, "h long, y double, a double, b double, c double").sort("h").collect()])
+    drop(rows)
+    return {"field": field, "document": _logistic(x[:, 2:], x[:, 1]), "lexicon": sorted(listed)}
 
 
 def score(df: DataFrame, model: dict | None, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:
@@ -199,26 +250,13 @@ def score(df: DataFrame, model: dict | None, text: str = "text", key: str = "doc
     schema = T.StructType([T.StructField(key, id_type(df, key)), T.StructField("score", T.DoubleType()), T.StructField("n_toxic", T.LongType()), T.StructField("spans", T.ArrayType(span))])
 
     def make():
-        memo: dict = {}
-
-        def emissions(t: str) -> np.ndarray:
-            words = _TOKEN.findall(t)
-            found = list(map(memo.get, words))
-            if None in found:
-                w = model["field"]["weights"]
-                for i, v in enumerate(found):
-                    if v is None:
-                        a, b, c = features(words[i])
-                        memo[words[i]] = found[i] = float(w[a] + w[b] + w[c])
-            if len(memo) > 400_000:
-                memo.clear()
-            return np.array(found, np.float32)
+        emissions = _emitter(model["field"]) if model else None
 
         def step(cols):
             texts = [t or "" for t in cols[text]]
             if model is None:
                 return {key: cols[key], "score": [0.0] * len(texts), "n_toxic": [0] * len(texts), "spans": [[] for _ in texts]}
-            parts = [emissions(t) for t in texts]
+            parts = [emissions(_TOKEN.findall(t)) for t in texts]
             lengths = np.array([len(p) for p in parts], np.int64)
             m = marginals(np.concatenate(parts).astype(float) if parts else np.zeros(0), lengths, model["field"])
             scores, counts, spans, w = [], [], [], model["document"]

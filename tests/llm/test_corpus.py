@@ -40,6 +40,38 @@ def test_media_round_trip(odd, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def plain_landmarks(data):
+    """The rule by a direct Fourier sum in double precision, frame by frame."""
+    w, hop, n_bins = media.WINDOW, media.HOP, media.WINDOW // 2 + 1
+    t, k = np.arange(w), np.arange(n_bins)[:, None]
+    wave_c, wave_s = np.cos(2 * math.pi * k * t / w), np.sin(2 * math.pi * k * t / w)
+    shape = 0.5 - 0.5 * np.cos(2 * math.pi * t / (w - 1))
+    peaks = []
+    for at in range(0, len(data) - w + 1, hop):
+        x = np.array([b - 128.0 for b in data[at : at + w]])
+        x = (x - x.mean()) * shape
+        mag = np.hypot(wave_c @ x, wave_s @ x)
+        tops = [i for i in range(1, n_bins - 1) if mag[i] > mag[i - 1] and mag[i] >= mag[i + 1] and mag[i] > 1.0]
+        peaks.append(sorted(tops, key=lambda i: -mag[i])[: media.PEAKS])
+    return {(f << 20) | (a << 12) | (b << 4) | dt for f, own in enumerate(peaks) for dt in range(1, media.AHEAD + 1) if f + dt < len(peaks) for a in own for b in peaks[f + dt]}
+
+
+def test_landmarks_by_direct_sums(docs):
+    for t in [r[0] for r in docs.sort("doc_id").limit(12).select("text").collect()] + ["abc " * 400, "x"]:
+        data = media.pad((t or "").encode())
+        got = set(media.landmarks(np.frombuffer(data, np.uint8)).tolist())
+        want = plain_landmarks(data)
+        assert len(got ^ want) <= 0.01 * len(want), t[:40]  # single precision may swap peaks of one height
+
+
+def test_media_query_returns_the_arrays(spark, sf_dir):
+    got = queries.op2_media_columns(spark, sf_dir)
+    assert dict(got.dtypes)["landmarks"] == "array<bigint>" and got.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    r = got.sort("doc_id").first()
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
+    assert r["landmarks"] == media.landmarks(np.frombuffer(media.pad(text.encode()), np.uint8)).tolist() and r["n_landmarks"] == len(r["landmarks"])
+
+
 def test_spectrum_and_landmarks():
     t = np.arange(4000)
     tone = (128 + 60 * np.sin(2 * np.pi * 32 * t / 256)).astype(np.uint8)
@@ -83,8 +115,8 @@ def test_field_gradient():
     f = rng.integers(0, 50, (5, 3))
     field = {"weights": rng.normal(size=50), "transition": rng.normal(size=(2, 2)), "start": -0.2}
     inside = np.array([False, True, True, False, True])
-    got = toxicity._pair_marginals(field, f, np.array([3, 2]), inside)
     e, want = field["weights"][f].sum(axis=1), np.zeros((2, 2))
+    got = toxicity._pair_marginals(field, *toxicity._messages(e, np.array([3, 2]), field), inside)
     for lo, hi in ((0, 3), (3, 5)):
         total, part = 0.0, np.zeros((2, 2))
         for y in itertools.product((0, 1), repeat=hi - lo):
@@ -231,7 +263,7 @@ def test_a_rare_language_is_sampled(spark):
     got = {r["doc_id"]: r for r in lang_id.identify(df, lang_id.train(df, sample=8)).collect()}
     assert all(got[k]["language"] == d and got[k]["kept"] for k, _, d, _ in rows)
     none = lang_id.train(df, languages=("big", "rare", "unseen"))  # no counts, no floor
-    assert np.isneginf(none["floor"][none["names"].index("unseen")]) and np.isfinite(none["margin"]).all()
+    assert np.isneginf(none["floor"][:, none["names"].index("unseen")]).all() and np.isfinite(none["margin"]).all()
 
 
 def test_language_evidence(spark):
@@ -243,6 +275,82 @@ def test_language_evidence(spark):
     assert got[200] == "de" and got[201] == "en" and got[202] == "de"
 
 
+def plain_posteriors(rows, model):
+    """The rule by plain Python over (text, declared, host, fold): posterior lists and verdicts."""
+    names, L = model["names"], len(model["names"])
+    suffix = lambda h: m[1] if (m := re.search(r"\.([A-Za-z]{2,})$", h or "")) else ""
+    lik, post, mean = [], [], []
+    for t, _, _, fold in rows:
+        g = lang_id.ngrams(t) if t else np.zeros(0, int)
+        ll = [float(sum(np.float64(model["logp"][fold][i][x]) for x in g)) for i in range(L)]
+        own = [max(-lang_id.MOST_NATS, lang_id.TEMPER * (v - max(ll))) for v in ll]
+        w = [math.exp(v) for v in own]
+        letters = sum(c.isalpha() for c in t or "")
+        lik.append(own)
+        post.append([x / sum(w) for x in w] if letters >= lang_id.LEAST_LETTERS else [0.0] * L)
+        mean.append((ll, len(g), letters))
+    total = lambda keep: [sum(p[i] for p, r in zip(post, rows) if keep(r)) for i in range(L)]
+    overall = total(lambda r: True)
+    base = [(x + 1) / (sum(overall) + L) for x in overall]
+    out = []
+    for own, (ll, n, letters), (t, d, h, fold) in zip(lik, mean, rows):
+        sv, hv, dv = total(lambda r: suffix(r[2]) == suffix(h)), total(lambda r: r[2] == h), total(lambda r: r[1] == d)
+        sp = [(sv[i] + lang_id.SUFFIX_WEIGHT * base[i]) / (sum(sv) + lang_id.SUFFIX_WEIGHT) for i in range(L)]
+        hp = [(hv[i] + lang_id.HOST_WEIGHT * sp[i]) / (sum(hv) + lang_id.HOST_WEIGHT) for i in range(L)]
+        s = [own[i] + math.log(hp[i]) + math.log((dv[i] + 0.5) / (overall[i] + 2.0)) for i in range(L)]
+        w = [math.exp(x - max(s)) for x in s]
+        p = [x / sum(w) for x in w]
+        i = p.index(max(p))
+        floor = model["floor"][fold][i] - lang_id.FLOOR_DROP - model["margin"][fold][i] * lang_id.FLOOR_SPREADS / math.sqrt(max(1, n))
+        out.append((names[i], max(p), letters >= lang_id.LEAST_LETTERS and max(p) >= lang_id.LEAST_POSTERIOR and ll[i] / max(1, n) >= floor))
+    return out
+
+
+def test_posteriors_by_hand(spark, docs):
+    """Fifty rows with all kinds of evidence: every posterior and verdict follows the rule."""
+    some = [r["text"][:600] for r in docs.sort("doc_id").limit(46).select("text").collect()] + ["xy", "", "ab ñ", "Съешь же ещё этих булок"]
+    declared, hosts = ("en", "de", None, "fr", "es", "xx"), ("a.example.com", "b.example.de", None, "src1", "c.example.de")
+    rows = [(i, t, declared[i % 6], hosts[i % 5]) for i, t in enumerate(some)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = lang_id.train(docs)
+    folds = {r["doc_id"]: r["f"] for r in df.select("doc_id", lang_id.fold_of(F.col("text")).alias("f")).collect()}
+    want = plain_posteriors([(t, d, h, folds[i]) for i, t, d, h in rows], model)
+    got = {r["doc_id"]: r for r in lang_id.identify(df, model).collect()}
+    for i, (name, p, kept) in enumerate(want):
+        assert abs(got[i]["posterior"] - p) < 1e-6 and got[i]["kept"] == kept and (got[i]["language"] == name or p < 0.5 + 1e-6), i
+
+
+def test_a_declaration_is_not_read_twice(spark):
+    """The models that read a text never saw its own declaration: folds hold out each other."""
+    rows = [(i, t, f"l{j}", "") for j in range(3) for i, t in enumerate(invented(j, 60), 1000 * j)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = lang_id.train(df)
+    parts = [df.where(lang_id.fold_of(F.col("text")) == f) for f in range(lang_id.FOLDS)]
+    for f, part in enumerate(parts):
+        other = parts[1 - f].collect()
+        for i, name in enumerate(model["names"]):
+            counts = sum(np.bincount(lang_id.ngrams(r["text"]), minlength=lang_id.BUCKETS) for r in other if r["lang"] == name)
+            assert np.allclose(model["logp"][f][i], np.log((counts + 0.5) / (counts.sum() + 0.5 * lang_id.BUCKETS)), atol=1e-5)
+        assert part.count()
+
+
+def test_page_evidence(spark):
+    html = '<!DOCTYPE html><HTML class="x" lang=\'FR-ca\'><head><title>t</title></head><body><nav>menu</nav><!-- no --><article><p>Un <b>texte</b> &amp; plus</p><script>var x="<p>";</script></article></body></html>'
+    df = spark.createDataFrame([(1, "https://WWW.Example.fr:80/a?b", html), (2, "nothing", "<p>bare</p>"), (3, None, None)], "page_id long, url string, html string")
+    text, declared, host = lang_id.page_evidence(df)
+    got = [tuple(r) for r in df.sort("page_id").select(F.trim(F.regexp_replace(text, " +", " ")), declared, host).collect()]
+    assert got == [("Un texte plus", "fr", "www.example.fr"), ("bare", None, None), ("", None, None)]
+
+
+def test_registered_language_query(spark, sf_dir):
+    got = queries.op6_language_id(spark, sf_dir)
+    docs, pages = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = got.collect()
+    assert len(rows) == docs.count() + pages.count() and all((r["doc_id"] is None) != (r["page_id"] is None) for r in rows)
+    assert np.mean([r["kept"] for r in rows]) > 0.95
+    assert {r["declared_language"] for r in rows if r["page_id"] is not None} == {"en", "de", "fr", "es"}
+
+
 # --- 7 quality ----------------------------------------------------------------------------
 
 
@@ -324,7 +432,7 @@ def test_revealing_terms(spark, odd, empty):
     assert 6 * 3008 / (6 * 7) > 2**8 and 6 / 7 >= 0.8
     assert [s["rank"] for s in got[0]] == [4, 0]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert clean[0].startswith("contact <TERM> at <EMAIL> today") and clean[9000] == texts[9000] and clean[9001] is None
+    assert clean[0].startswith("contact <TERM> at <EMAIL> today") and clean[9000] == "the <TERM> is not mentioned with data" and clean[9001] is None
     wide = pii.sanitise(odd)
     assert wide.columns == odd.columns and wide.count() == odd.count() and pii.sanitise(empty).count() == 0
 
@@ -340,7 +448,37 @@ def test_revealing_terms_far_from_the_entity(spark):
     got = {r["doc_id"]: [s["first"] for s in r["spans"] if s["rank"] == 4] for r in pii.spans(df).collect()}
     assert got == {k: [m.start() for m in re.finditer("zorblatt", t)] for k, t in rows}
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert clean[0] == f"<TERM> wrote{far} <EMAIL> and <TERM> signed" and clean[50] == "ask <TERM> or <EMAIL>" and clean[51] == texts[51]
+    assert clean[0] == f"<TERM> wrote{far} <EMAIL> and <TERM> signed" and clean[50] == "ask <TERM> or <EMAIL>" and clean[51] == "<TERM> without data"
+    assert all(clean[k] == t for k, t in rows if k >= 100)
+
+
+@pytest.mark.parametrize("kind, value", [("email", "box{}@mail{}.example.com"), ("ip", "10.{}.7.{}"), ("card", None), ("phone", "+1 202 555 0{:02}{}")])
+def test_terms_beside_values_of_a_kind(spark, kind, value):
+    """A label that stands beside different values of one kind is revealing; copies of one text are not."""
+
+    def card(i):
+        return next(c for c in (f"4111 1111 1111 {i:03}{d}" for d in range(10)) if pii.luhn(c.replace(" ", "")))
+
+    made = [card(i) if kind == "card" else value.format(i, i) for i in range(6)]
+    plain = "some common words of all the texts come first and then"
+    rows = [(i, f"{plain} Kennwert {v} " + "and more of these words follow here") for i, v in enumerate(made)]
+    rows += [(50 + i, f"{plain} einmalig one@single.example.net {'z' * i} and more of these words") for i in range(6)]  # one value only, in copies
+    rows += [(100 + i, f"{plain} and more of these words follow here number{'y' * i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {(texts[r["doc_id"]][s["first"] : s["last"]], pii.KINDS[s["rank"]]) for r in pii.spans(df, least_share=1.1).collect() for s in r["spans"]}
+    assert {t for t, k in found if k == "term"} == {"Kennwert"}
+    assert {v for v, k in found if k == kind} >= set(made)
+    # by hand: all 6 places of the word, 6 of them beside the kind, among all places of terms
+    places = sum(len(pii._TERM.findall(t)) for _, t in rows)
+    beside = sum(len(pii.contexts_of(t, f, list(pii.terms_of(t, f)))) for t in texts.values() for f in [[e for e in pii.entities(t) if pii.KINDS[e[1]] == kind]])
+    assert math.log2(1.0 / (beside / places)) >= pii.LEAST_BITS
+
+
+def test_term_counts_lower_case_after_matching(spark):
+    df = spark.createDataFrame([("İstanbul and istanbul ISTANBUL",), ("İstanbul",)], "text string")
+    got = {r["term"]: (r["n"], r["places"]) for r in pii._term_counts(df, "text").collect()}
+    assert got == {pii._hash("İstanbul".lower()): (2, 2), pii._hash("and"): (1, 1), pii._hash("istanbul"): (1, 2)}
 
 
 def test_sanitised_overlaps(spark):

@@ -1,7 +1,9 @@
 """URL filters and secret scans against plain Python; their plans hold no Python."""
 
 import math
+import random
 import re
+import time
 
 from docsheaf.llm import queries, secret_scan, url_filter
 from pyspark.sql import functions as F
@@ -121,3 +123,29 @@ def test_secrets_of_one_case(spark):
     got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in secret_scan.scan(rows).collect()}
     assert "entropy_lower" in got[0] and "entropy_upper" in got[1] and "entropy_hex" in got[2] and "entropy_lower" in got[3]
     assert "entropy_base64" in got[4] and "entropy_base64" in got[5] and not got[6] and not got[7] and not got[8]
+
+
+def test_dense_text_takes_time_in_proportion(spark):
+    """A megabyte that is all short matches: a few seconds, and the offsets of the last are right."""
+    unit = "token=abcdef1 "
+    text = unit * 75_000
+    began = time.time()
+    spans = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert time.time() - began < 30
+    assert len(spans) == 75_000 and all((s["first"], s["last"]) == (14 * i, 14 * i + 13) for i, s in enumerate(spans))
+
+
+def window_bits(w):
+    return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+
+def test_window_counts_of_any_characters(spark):
+    """Counters of all characters, repeats of the one that leaves and enters, several windows."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(secret_scan.ALPHABET[: rng.choice((2, 20, 67))]) for _ in range(rng.randrange(20, 90))) for _ in range(60)] + ["a" * 45, "ab" * 30, secret_scan.ALPHABET * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for least in (1.0, 3.0, 3.7, 4.2):
+        got = {r["i"]: (r["w"]["first"], r["w"]["last"]) for r in df.select("i", secret_scan._windows(F.col("t"), least).alias("w")).collect()}
+        for i, t in enumerate(texts):
+            hot = [k for k in range(len(t) - secret_scan.WIDTH + 1) if window_bits(t[k : k + secret_scan.WIDTH]) >= least - 1e-7]
+            assert got[i] == ((hot[0] + 1, hot[-1] + secret_scan.WIDTH) if hot else (0, 0)), (t, least)
