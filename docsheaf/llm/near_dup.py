@@ -8,10 +8,10 @@ edit similarity (1 - distance / longer length) of at least ``SIMILARITY`` = 0.8;
 decides. Classes are the connected components of the links.
 
 How it scales. Texts with equal words are one node. All nodes of a sketch's bucket are aligned
-with the bucket's least node, its hub, as a stream that holds one hub at a time; a hub with many
-partners is dealt to as many units as it takes. So a group of near copies, however large, costs
+with the bucket's least node, its hub, as a stream that holds one hub at a time; a hub's partners
+are dealt to up to ``DEALS`` tasks. So a group of near copies, however large, costs
 one alignment a member. Only buckets whose members are then still in different components go on:
-there every pair of different components is decided, in units of at most ``BLOCK`` nodes and
+there every pair of different components is decided, under the first function that it shares, in units of at most ``BLOCK`` nodes and
 ``WORDS`` words a side; a larger bucket is dealt into blocks by size class (linked texts differ
 by a quarter in size at most) and hash, and each pair of blocks that can hold links is a unit. A
 unit rejects most pairs by the words that they share (an exact bound on the distance) and aligns
@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import drop, fresh, id_type, map_batches, map_small, table
 
 K, SIMILARITY, FUNCTIONS, PICKS = 5, 0.8, 24, 2
-BLOCK, WORDS, SPOKES = 256, 200_000, 128
+BLOCK, WORDS, DEALS = 256, 200_000, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,48 +122,65 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+def _banded(places: dict, n: int, words: list, k: int) -> int:
+    """Levenshtein distance of a text of ``n`` words, given by the bits of its places, and ``words``, by
+    bit vectors of the band of diagonals -k to k (Hyyro's recurrence, the window moves down one row a
+    column); any value over k means more than k."""
+    mask, goal = (1 << (2 * k + 1)) - 1, n - len(words)
+    up, down = mask & ~((1 << k) - 1), 0  # vertical differences of +1 and -1
+    own, d = 1 << (k + goal), max(goal, 0)
+    for at, w in enumerate(words, -k):
+        x = places.get(w, 0)
+        x = (x >> at if at >= 0 else x << -at) & mask
+        same = ((((x & up) + up) ^ up) | x | down) & mask
+        right, left = down | (mask & ~(same | up)), same & up
+        if not same & own:
+            d += 1  # values never fall along a diagonal
+            if d > k:
+                return d
+        same >>= 1
+        up, down = left | (mask & ~(same | right)), same & right
+    return d
+
+
 def edit_distance(a, b, limit: int) -> int | None:
-    """Levenshtein distance if it is at most ``limit``: furthest points on the diagonals of a band
-    that widens by one on either side with each edit and holds only diagonals from which the end
-    is within reach; one step serves the whole band."""
+    """Levenshtein distance if it is at most ``limit``. Common ends go first; the band is narrow at
+    first and as wide as ``limit`` if that does not do."""
     a, b = np.asarray(a), np.asarray(b)
     lo = _run(a, b)
     a, b = a[lo:], b[lo:]
     hi = _run(a[::-1], b[::-1])
-    a, b = a[: len(a) - hi], b[: len(b) - hi]
-    n, m = len(a), len(b)
-    goal = m - n
-    if abs(goal) > limit:
+    a, b = a[: len(a) - hi].tolist(), b[: len(b) - hi].tolist()
+    if abs(len(a) - len(b)) > limit:
         return None
-    if not n or not m:
-        return max(n, m)
-    limit = min(limit, max(n, m))
-    zero = limit + 1
-    far = np.full(2 * limit + 3, -2, np.int64)
-    for d in range(limit + 1):
-        first, last = max(-d, goal - limit + d), min(d, goal + limit - d)
-        if first > last:
-            return None
-        k = np.arange(first, last + 1)
-        at = slice(first + zero, last + 1 + zero)
-        if d:
-            i = np.maximum(far[at] + 1, np.maximum(far[first - 1 + zero : last + zero], far[first + 1 + zero : last + 2 + zero] + 1))
-            i = np.minimum(i, np.minimum(n, m - k))
-        else:
-            i = np.zeros(1, np.int64)
-        live = np.flatnonzero((i >= 0) & (i + k >= 0) & (i < n) & (i + k < m))
-        while len(live) > 4:
-            live = live[a[i[live]] == b[i[live] + k[live]]]
-            i[live] += 1
-            live = live[(i[live] < n) & (i[live] + k[live] < m)]
-        for x in live.tolist():
-            p = int(i[x])
-            i[x] = p + _run(a[p:], b[p + int(k[x]) :])
-        i[(i < 0) | (i + k < 0)] = -2
-        far[at] = i
-        if first <= goal <= last and far[goal + zero] == n:
+    if not a or not b:
+        return max(len(a), len(b))
+    places = _places(a)
+    k = max(abs(len(a) - len(b)), 100)
+    while True:
+        k = min(k, limit)
+        d = _banded(places, len(a), b, k)
+        if d <= k:
             return d
-    return None
+        if k == limit:
+            return None
+        k *= 8
+
+
+def _places(words: list) -> dict:
+    """word -> the number whose bits are its places."""
+    out: dict = {}
+    if len(words) < 4096:
+        for i, w in enumerate(words):
+            out[w] = out.get(w, 0) | 1 << i
+        return out
+    for i, w in enumerate(words):
+        out.setdefault(w, []).append(i)
+    for w, at in out.items():
+        x = np.zeros(at[-1] // 8 + 1, np.uint8)
+        np.bitwise_or.at(x, np.array(at) // 8, (1 << (np.array(at) % 8)).astype(np.uint8))
+        out[w] = int.from_bytes(x.tobytes(), "little")
+    return out
 
 
 def most_edits(longer, least: float = SIMILARITY):
@@ -195,10 +212,12 @@ def alike(a: np.ndarray, b: np.ndarray, bag_a: np.ndarray, bag_b: np.ndarray, le
     return aligned(a, b, least)
 
 
-def link_unit(seqs: list[np.ndarray], sides: np.ndarray, labels: np.ndarray | None = None, least: float = SIMILARITY) -> np.ndarray:
+def link_unit(seqs: list[np.ndarray], sides: np.ndarray, labels: np.ndarray | None = None, before: np.ndarray | None = None, least: float = SIMILARITY) -> np.ndarray:
     """Component label (an index) of each member. Members with equal ``labels`` are linked already;
-    only pairs of different sides are compared if there are two sides."""
+    only pairs of different sides are compared if there are two sides, and no pair that agrees in a
+    column of ``before`` (sketches under earlier functions, whose buckets decide it)."""
     s = len(seqs)
+    before = np.zeros((s, 0), np.int64) if before is None else before
     label = np.arange(s) if labels is None else np.unique(labels, return_inverse=True)[1]
     size = np.array([len(x) for x in seqs])
     order = np.argsort(size, kind="stable")
@@ -216,7 +235,7 @@ def link_unit(seqs: list[np.ndarray], sides: np.ndarray, labels: np.ndarray | No
         scratch[own] = False
         at += len(x)
     bits = bits.view(np.uint64)
-    label, size, side, two = label[order], size[order], sides[order], len(set(sides.tolist())) > 1
+    label, size, side, before, two = label[order], size[order], sides[order], before[order], len(set(sides.tolist())) > 1
     limits = most_edits(size, least)
     for r in range(s - 1):
         hi = int(np.searchsorted(size, size[r] / least + 1, "right"))  # a little too far; the limit decides
@@ -226,9 +245,11 @@ def link_unit(seqs: list[np.ndarray], sides: np.ndarray, labels: np.ndarray | No
             if two:
                 ok &= side[other] != side[r]
             at = np.flatnonzero(ok) + lo
+            if before.shape[1] and len(at):
+                at = at[~(before[at] == before[r]).any(axis=1)]
             if len(at):
-                shared = np.bitwise_count(bits[at] & bits[r]).sum(axis=1, dtype=np.int64)
-                for c in at[size[at] - shared <= limits[at]].tolist():
+                room = limits[at] - size[at] + np.bitwise_count(bits[at] & bits[r]).sum(axis=1, dtype=np.int64)
+                for c in at[np.argsort(-room, kind="stable")][: int((room >= 0).sum())].tolist():  # the likeliest first
                     if label[r] != label[c] and aligned(seqs[order[r]], seqs[order[c]], least):
                         label[label == label[c]] = label[r]
     out = np.empty(s, np.int64)
@@ -240,21 +261,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that has an edge, root the least node of its component.
     Large-star and small-star rounds; each is written to the shared folder."""
     now = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    mark = None
     while True:
+        # done when each node points to one root and no root points on
+        ends = now.select("u", F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        open_ = ends.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).where("outs > 1 or (outs = 1 and least = 0)")
+        if not open_.take(1):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join has exchanges of its own and a hub's rows can be split
         least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = table(large)
+        large = table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         down = table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         before, now = now, table(small)
         drop(before, least, large, down)
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     out = table(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
     drop(now)
     return out
@@ -308,11 +328,10 @@ def _edges(pairs: list) -> pa.RecordBatch:
 
 
 def _hub_links(stars: DataFrame, words: DataFrame) -> DataFrame:
-    """Links (a, b) among (node, hub): a hub's rows stream past its words."""
-    many = table(stars.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("deals")).where("deals > 1"))
-    dealt = stars.join(many, "hub", "left").withColumn("deal", F.pmod(F.xxhash64("node"), F.coalesce("deals", F.lit(1))).cast("int")).select("hub", "deal", "node")
-    spokes = dealt.join(words, "node").select("hub", "deal", F.lit(1).alias("role"), "node", "words")
-    hubs = dealt.select("hub", "deal").distinct().join(words.withColumnRenamed("node", "hub"), "hub").select("hub", "deal", F.lit(0).alias("role"), F.col("hub").alias("node"), "words")
+    """Links (a, b) among (node, hub): a hub's rows stream past its words, in up to ``DEALS`` parts."""
+    dealt = stars.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int"))
+    spokes = dealt.join(words.drop("sketch"), "node").select("hub", "deal", F.lit(1).alias("role"), "node", "words")
+    hubs = dealt.select("hub", "deal").distinct().join(words.select(F.col("node").alias("hub"), "words"), "hub").select("hub", "deal", F.lit(0).alias("role"), F.col("hub").alias("node"), "words")
     rows = spokes.unionByName(hubs).repartition("hub", "deal").sortWithinPartitions("hub", "deal", "role", "node")
 
     def run(batches):
@@ -327,22 +346,20 @@ def _hub_links(stars: DataFrame, words: DataFrame) -> DataFrame:
                     pairs.append((node, hub))
             yield _edges(pairs)
 
-    links = table(map_small(rows.select("hub", "role", "node", "words"), run, _EDGE))
-    drop(many)
-    return links
+    return table(map_small(rows.select("hub", "role", "node", "words"), run, _EDGE))
 
 
 def _units(members: DataFrame, block: int, most_words: int) -> DataFrame:
-    """(node, label, unit, side): the units of work of each (bucket, node, size, label)."""
+    """(node, label, f, unit, side): the units of work of each (bucket, f, node, size, label)."""
     step = -np.log(SIMILARITY) * 1.001  # linked sizes lie in the same or in neighbouring size classes
     m = members.withColumn("g", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(step)).cast("int"))
     part = m.groupBy("bucket", "g").agg(F.count("*").alias("c"), F.sum("size").alias("w"))
-    whole = part.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).where((F.col("c") > block) | (F.col("w") > most_words)).select("bucket")
-    blocks = part.select("bucket", "g", F.ceil(F.greatest(F.col("c") / block, F.col("w") / most_words)).cast("int").alias("b"))
-    up = blocks.select("bucket", (F.col("g") - 1).alias("g"), F.col("b").alias("b_up"))
-    down = blocks.select("bucket", (F.col("g") + 1).alias("g"), F.col("b").alias("b_down"))
-    sized = table(blocks.join(whole, "bucket").join(up, ["bucket", "g"], "left").join(down, ["bucket", "g"], "left"))  # apart from m's own exchange, so that a large bucket can be split in the join
-    big = m.join(sized, ["bucket", "g"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("b", F.lit(1))).cast("int"))
+    sizes = part.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.collect_list(F.struct("g", F.ceil(F.greatest(F.col("c") / block, F.col("w") / most_words)).cast("int").alias("b"))).alias("classes"))
+    # a few dozen classes a bucket at most; apart from m's own exchange, so that a large bucket can be split in the join
+    sized = table(sizes.where((F.col("c") > block) | (F.col("w") > most_words)).select("bucket", "classes"))
+    blocks = lambda g: F.get(F.filter("classes", lambda x: x["g"] == g), F.lit(0))["b"]
+    big = m.join(sized, "bucket", "left").withColumns({"b": blocks(F.col("g")), "b_up": blocks(F.col("g") + 1), "b_down": blocks(F.col("g") - 1)})
+    big = big.withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("b", F.lit(1))).cast("int"))
     unit = lambda *x: F.xxhash64("bucket", *x)
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
 
@@ -353,11 +370,12 @@ def _units(members: DataFrame, block: int, most_words: int) -> DataFrame:
     above = each(F.col("b_up"), lambda i: F.struct(unit(F.col("g"), F.col("own"), F.col("g") + 1, i).alias("unit"), F.lit(0).alias("side")))
     below = each(F.col("b_down"), lambda i: F.struct(unit(F.col("g") - 1, i, F.col("g"), F.col("own")).alias("unit"), F.lit(1).alias("side")))
     one = F.array(F.struct(unit().alias("unit"), F.lit(0).alias("side")))
-    return big.select("node", "label", F.explode(F.when(F.col("b").isNull(), one).otherwise(F.concat(same, above, below))).alias("e")).select("node", "label", "e.unit", "e.side")
+    return big.select("node", "label", "f", F.explode(F.when(F.col("b").isNull(), one).otherwise(F.concat(same, above, below))).alias("e")).select("node", "label", "f", "e.unit", "e.side")
 
 
 def _unit_links(rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of new links from (unit, side, node, label, words)."""
+    """Spanning edges (a, b) between the labels that new links join, from
+    (unit, side, node, label, f, words, sketch)."""
 
     def run(batches):
         unit, held = None, {}
@@ -367,55 +385,56 @@ def _unit_links(rows: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 return _edges([])
             sides, labels = np.array([held[x][0] for x in nodes]), np.array([held[x][1] for x in nodes])
-            label = link_unit([np.frombuffer(held[x][2], np.uint32) for x in nodes], sides, labels)
+            before = np.array([held[x][3] for x in nodes], np.int64).reshape(len(nodes), -1)
+            label = link_unit([np.frombuffer(held[x][2], np.uint32) for x in nodes], sides, labels, before)
             root: dict = {}
-            for x, c in zip(nodes, label.tolist()):
-                root[c] = min(x, root.get(c, x))
-            return _edges([(x, root[c]) for x, c, was in zip(nodes, label.tolist(), labels.tolist()) if x != root[c] and was != held[root[c]][1]])
+            for was, c in zip(labels.tolist(), label.tolist()):
+                root[c] = min(was, root.get(c, was))
+            return _edges(sorted({(was, root[c]) for was, c in zip(labels.tolist(), label.tolist()) if was != root[c]}))
 
         for batch in batches:
-            for u, side, node, label, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for u, side, node, label, words, before in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if u != unit:
                     if held:
                         yield close()
                     unit, held = u, {}
-                held[node] = (side, label, words)
+                held[node] = (side, label, words, before)
         if held:
             yield close()
 
     ordered = rows.repartition("unit").sortWithinPartitions("unit", "node")
-    return map_small(ordered.select("unit", "side", "node", "label", "words"), run, _EDGE)
+    return map_small(ordered.select("unit", "side", "node", "label", "words", F.slice("sketch", F.lit(1), F.col("f")).alias("before")), run, _EDGE)
 
 
 def _labelled(df: DataFrame, text: str, key: str, block: int, most_words: int) -> DataFrame:
     """(key, text_key, class) of every row, written to the shared folder."""
     base = table(_sketched(df, text, key))
     nodes = table(base.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("text_key", "key")).alias("pick")))
-    held = nodes.select("node", "size", F.explode("sketch").alias("bucket"))
+    held = nodes.select("node", "size", F.posexplode("sketch").alias("f", "bucket"))
     # members: which texts hold a bucket, told by sums of their hashes, so that equal buckets count once
     shared = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("s")).where("c > 1")
     shared = shared.select("bucket", "hub", "hub_size", F.struct("c", "x", "s").alias("members"))
-    joined = held.join(shared, "bucket").select("node", "size", "hub", "hub_size", "members").distinct()
-    held = table(joined)
+    held = table(held.join(shared, "bucket").groupBy("node", "size", "hub", "hub_size", "members").agg(F.min("f").alias("f")))
     within = F.greatest("size", "hub_size") - F.least("size", "hub_size") <= F.floor(F.greatest("size", "hub_size") * (1 - SIMILARITY) + 1e-9)
     stars = table(held.where((F.col("node") != F.col("hub")) & within).select("node", "hub").distinct())
     picks = held.select("node").distinct().join(nodes.select("node", "pick"), "node").select("node", F.col("pick.text_key").alias("pick_text"), F.col("pick.key").alias("pick_key"))
     keyed = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_key(text).alias("text_key"))
     texts = keyed.join(picks.hint("merge"), (F.col("text_key") == F.col("pick_text")) & F.col("key").eqNullSafe(F.col("pick_key"))).select("node", "text")
-    words = table(_word_rows(texts).groupBy("node").agg(F.first("words").alias("words")))
+    words = _word_rows(texts).groupBy("node").agg(F.first("words").alias("words"))
+    words = table(words.join(nodes.select("node", "sketch"), "node"))
     links = _hub_links(stars, words)
     found = components(links, "a", "b")
     # buckets that still hold several components; in one of two members the hub has decided
-    told = held.where("members.c > 2").select("node", "size", "members").join(found, "node", "left").select("members", "node", "size", F.coalesce("root", "node").alias("label"))
+    told = held.where("members.c > 2").select("node", "size", "members", "f").join(found, "node", "left").select("members", "f", "node", "size", F.coalesce("root", "node").alias("label"))
     told = table(told)
     mixed = table(told.groupBy("members").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("members", F.xxhash64("members").alias("bucket")))
-    rest = table(told.join(mixed, "members").select("bucket", "node", "size", "label"))
+    rest = table(told.join(mixed, "members").select("bucket", "f", "node", "size", "label"))
     more = table(_unit_links(_units(rest, block, most_words).join(words, "node")))
-    if more.take(1):
-        drop(found)
-        found = components(links.unionByName(more), "a", "b")
-    labelled = table(base.select("key", "text_key", "node").join(found, "node", "left").select("key", "text_key", F.coalesce("root", "node").alias("class")))
-    drop(base, nodes, held, stars, words, links, found, told, mixed, rest, more)
+    moved = components(more, "a", "b")
+    last = base.select("key", "text_key", "node").join(found, "node", "left").select("key", "text_key", F.coalesce("root", "node").alias("label"))
+    last = last.join(moved.select(F.col("node").alias("label"), "root"), "label", "left").select("key", "text_key", F.coalesce("root", "label").alias("class"))
+    labelled = table(last)
+    drop(base, nodes, held, stars, words, links, found, told, mixed, rest, more, moved)
     return labelled
 
 

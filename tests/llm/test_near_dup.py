@@ -151,9 +151,9 @@ def test_short_texts_with_one_edit(spark):
 
 
 def test_one_large_group_of_near_copies(spark):
-    """More copies of one text than a hub's unit holds; each has its own edit."""
+    """Many copies of one text; each has its own edit."""
     words = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join([*words[: i % 120], f"e{i}", *words[i % 120 + 1 :]])) for i in range(3 * near_dup.SPOKES)]
+    rows = [(i, " ".join([*words[: i % 120], f"e{i}", *words[i % 120 + 1 :]])) for i in range(400)]
     got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert {(r["class_id"], r["class_rows"]) for r in got} == {(0, len(rows))}
 
@@ -240,8 +240,8 @@ def test_pipeline_stages(spark, docs, sf_dir, odd):
 def test_sizes_at_the_threshold_meet(spark):
     """Sizes of exactly 4 to 5 share a unit of work in a family larger than a block."""
     pairs = [(3820, 4775), (7456, 9320), (11644, 14555)]
-    rows = [(i, 10 * i + j, size, 0) for i, p in enumerate(pairs) for j, size in enumerate(p)]
+    rows = [(i, 0, 10 * i + j, size, 0) for i, p in enumerate(pairs) for j, size in enumerate(p)]
     units = {}
-    for r in near_dup._units(spark.createDataFrame(rows, "bucket long, node long, size long, label long"), 1, 10**6).collect():
+    for r in near_dup._units(spark.createDataFrame(rows, "bucket long, f int, node long, size long, label long"), 1, 10**6).collect():
         units.setdefault(r["node"], set()).add(r["unit"])
     assert all(units[10 * i] & units[10 * i + 1] for i in range(len(pairs)))
