@@ -3,9 +3,9 @@
 Text evidence: log-likelihoods of hashed byte n-grams under one multinomial model per language.
 Models are fitted on rows with a declared language, about ``MAX_SAMPLE`` of each language (picked
 by a hash of key and text; all rows of a language that has no more; equal texts once). Texts are
-dealt into two folds by their hash and each fold has models of its own, fitted on the other one:
+dealt into four folds by their hash and each fold has models of its own, fitted on the other ones:
 so a row's declaration, which is evidence of its own below, never shaped the models that read
-its text. Every declared language has a model, of 256 KB in each task. Neighbouring n-grams are
+its text. Every declared language has a model, of 512 KB in each task. Neighbouring n-grams are
 not independent, so their sum is tempered by ``temper`` and capped at ``most_nats``.
 
 Declared-language evidence (for pages the lang attribute of the markup): P(declared | language).
@@ -36,9 +36,10 @@ from pyspark.sql import types as T
 
 from .common import fresh, map_batches, map_small, table
 
-BUCKETS, MAX_SAMPLE, FOLDS = 1 << 15, 20_000, 2
+BUCKETS, MAX_SAMPLE, FOLDS = 1 << 15, 20_000, 4
 TEMPER, MOST_NATS, HOST_WEIGHT, SUFFIX_WEIGHT = 0.1, 30.0, 20.0, 50.0
 LEAST_LETTERS, LEAST_POSTERIOR, FLOOR_SPREADS, FLOOR_DROP = 2, 0.5, 8.0, 4.5
+SMOOTH = 0.1  # pseudo-count of an n-gram; light, so that a small sample still tells unseen ones
 
 
 _SPACED = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
@@ -100,7 +101,7 @@ def train(df: DataFrame, declared: str = "lang", text: str = "text", key: str =
     whole = counts.sum(axis=0)
     counts = whole[None] - counts  # of the other folds
     counts = np.where(counts.any(axis=2, keepdims=True), counts, whole[None])  # a language that is all in one fold
-    logp = np.log((counts + 0.5) / (counts.sum(axis=2, keepdims=True) + 0.5 * buckets)).astype(np.float32)
+    logp = np.log((counts + SMOOTH) / (counts.sum(axis=2, keepdims=True) + SMOOTH * buckets)).astype(np.float32)
     p = counts / np.maximum(1.0, counts.sum(axis=2, keepdims=True))
     mean = np.where(counts.any(axis=2), (p * logp).sum(axis=2), -np.inf)
     spread = np.sqrt((p * (logp - (p * logp).sum(axis=2, keepdims=True)) ** 2).sum(axis=2))
