@@ -101,21 +101,24 @@ def cuts(n: int, window: int = WINDOW, least: int = LEAST) -> list[tuple[int, in
 
 
 def load_encoder(path: str, ranks_path: str | None = None, pattern: str | None = None):
-    """texts -> lists of ids by the tokenizers file at ``path``. Where the same vocabulary is at
-    hand as ranks, the ids come from that faster coder; both give the same ids (tests)."""
+    """texts -> lists of ids, as the tokenizers file at ``path`` gives them without added special
+    tokens; the string of a special token that stands in a text is that token. Where the same
+    vocabulary is at hand as ranks, the ids come from that faster coder; both give the same ids (tests)."""
     if ranks_path:
         import base64
+        import json
 
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [coder.encode_ordinary(t) for t in texts]
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        return lambda texts: [coder.encode(t, allowed_special="all") for t in texts]
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
     return lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
 
 

@@ -3,14 +3,13 @@
 The model protobuf is parsed here; normaliser (character map, dummy prefix, space rules), the
 metaspace mark, scores and byte fallback are rebuilt as a ``tokenizers`` pipeline. A unigram
 model keeps its scores; a BPE model's merges follow from its scores (a pair of pieces whose
-joined string is a piece, best score first). Batches are encoded by all cores of a task.
-Parity with the sentencepiece library is verified in every task on its first ``probe`` texts
-(a difference raises an error), and on each row if ``parity`` is set, at the cost of a second
-encoding.
+joined string is a piece, best score first). Batches are encoded by as many threads as a task has
+cores, two at least. Parity with the sentencepiece library is verified on each row if ``parity`` is
+set, at the cost of a second encoding: false where the ids differ, which fails no task.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. ``round_trip``
-says whether decoding gives the text as the normaliser leaves it. Repeated rows are encoded alike;
-other columns are not read.
+says whether decoding gives the very text; it is false for one that the normaliser changes or that
+holds the space mark. Repeated rows are encoded alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
-import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -120,22 +120,28 @@ def load(path: str):
         return build(parse_model(f.read()))
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", parity: bool = False, keep_ids: bool = True, chunk: int = 256, probe: int = 32) -> DataFrame:
+def threads() -> None:
+    """Bound the library's threads, before its first batch, to the cores of a task."""
+    context = TaskContext.get()
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ["RAYON_NUM_THREADS"] = str(max(2, context.cpus() if context else 2))
+
+
+def encode_column(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", parity: bool = False, keep_ids: bool = True, chunk: int = 256) -> DataFrame:
     """(key, n_ids, ids_crc32, round_trip, parity[, ids]): parity is null if not asked for."""
     fields = [T.StructField(key, id_type(df, key)), T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # batches use the task's cores
-        coder = load(path)
-        import sentencepiece
+        threads()
+        coder, reference = load(path), None
+        if parity:
+            import sentencepiece
 
-        reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        left = probe
+            reference = sentencepiece.SentencePieceProcessor(model_file=path)
 
         def step(cols):
-            nonlocal left
             out = {f.name: [] for f in fields}
             out[key] = cols[key]
             texts = [t or "" for t in cols[text]]
@@ -143,20 +149,13 @@ def encode_column(df: DataFrame, path: str, text: str = "text", key: str = "doc_
                 part = texts[at : at + chunk]
                 ids = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
                 back = coder.decode_batch(ids, skip_special_tokens=False)
-                n = len(part) if parity else min(left, len(part))
-                same = [a == b for a, b in zip(ids, reference.encode(part[:n], num_threads=1))] if n else []
-                left -= min(left, n)
-                if not parity:
-                    if not all(same):
-                        raise ValueError("the rebuilt tokenizer differs from the sentencepiece library")
-                    same = [None] * len(part)
-                for t, x, b, s in zip(part, ids, back, same):
-                    out["n_ids"].append(len(x))
-                    out["ids_crc32"].append(zlib.crc32(np.array(x, "<u4").tobytes()))
-                    out["round_trip"].append(b == t)
-                    out["parity"].append(s)
-                    if keep_ids:
-                        out["ids"].append(x)
+                same = [a == b for a, b in zip(ids, reference.encode(part, num_threads=1))] if reference else [None] * len(part)
+                out["n_ids"] += map(len, ids)
+                out["ids_crc32"] += [zlib.crc32(array("I", x)) for x in ids]
+                out["round_trip"] += [b == t for b, t in zip(back, part)]
+                out["parity"] += same
+                if keep_ids:
+                    out["ids"] += ids
             return out
 
         return step
@@ -168,6 +167,7 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id
     """(key, text) from an array column of ids; null ids give the empty text."""
 
     def make():
+        threads()
         coder = load(path)
         return lambda cols: {key: cols[key], "text": coder.decode_batch([list(x or ()) for x in cols[ids]], skip_special_tokens=False)}
 

@@ -22,57 +22,51 @@ BUCKETS, SIZES, MAX_LABELLED = 4096, (3, 4, 5), 5000
 
 #: labelled urls: 1 is unwanted (spam, scams, gambling, adult, piracy), 0 is wanted
 UNWANTED = """
-http://www.cheap-meds-online.example/buy/viagra
-http://cheap-pills.test/order
+http://www.cheap-meds-online.test/buy/viagra
 https://discount-pharmacy.test/pills/no-prescription
 http://buy-pills-now.test/
+https://shop.pills-without-doctor.test/order/12
 http://best-casino-bonus.test/slots/free-spins
 https://online-casino.test/win-money
 http://poker-jackpot.test/play/betting
 https://sports-betting-odds.test/bet/live
+https://www.bets-and-tips.test/en/free-bets
+http://lucky-slots.test/spin?bonus=100
 http://spam-site.test/click-here
 http://link-farm.test/page/links
-http://spam-links.test/seo/backlinks
-http://seo-farm.test/cheap-backlinks
+http://seo-spam.test/cheap-backlinks
+http://www.farm-of-links.test/exchange/450
 https://payday-loans-fast.test/apply/cash
 http://fast-cash-loan.test/credit/no-check
 http://free-money-now.test/claim-prize
 http://win-free-iphone.test/prize/winner
+https://free-gift-cards.test/survey/77.html
 https://xxx-videos.test/porn/free
 http://hot-girls-chat.test/adult/cams
 http://adult-dating.test/sex/meet
+https://cams-adult-live.test/room/5
+http://m.sexy-singles.test/de/12
 http://replica-watches.test/rolex/cheap
 https://cheap-replica-bags.test/sale
+http://cheap-followers.test/buy/likes
 http://crack-keygen.test/warez/download
 http://free-movies-torrent.test/pirate/stream
+http://full-version-cracked.test/serial/88
 http://crypto-doubler.test/invest/profit
 https://get-rich-quick.test/earn-money
+http://forex-signals-profit.test/fr/9
 http://weight-loss-miracle.test/diet/pills
-http://miracle-cure.test/buy/pills
-http://account-verify-login.test/secure/update/paypal
+http://miracle-cure.test/buy/now
+http://account-verify-login.test/secure/update
+https://secure-login-verify.test/bank/confirm?id=3
 http://cheap-essay-writer.test/order/essay
-http://clickbait-farm.test/you-wont-believe
-http://content-farm.test/spam/1
-http://ad-farm.test/popup
+http://clickbait-daily.test/you-wont-believe
+http://www.ads-popunder.test/pixel
+https://click-ads-network.test/track/2
+http://tracker-of-clicks.test/ad/redirect?u=1
+http://popup-ads.test/es/banner
+https://www.parked-domains-for-sale.test/offer
 http://casino-royal.test/bonus
-http://pills-discount.test/cheap/shop
-http://spam-blog.test/pills
-http://cheap-cialis.test/online/pharmacy
-http://free-bets-online.test/odds
-https://m.free-bets.test/bonus
-http://adult-videos-x.test/
-https://adult-x-cams.test/
-http://ads-tracker.test/
-http://ads-network-track.test/pixel
-http://www.ads-track-clicks.test/
-https://spam-pages.test/
-http://cheap-pills-for-less.test/
-http://cheap-pills-store.test/en/450
-https://www.spam-farm-links.test/de/612.html
-http://m.free-bets-now.test/fr/176/
-https://blog.adult-x-pics.test/es/77?page=2
-http://ads-track-pixel.test/en/9#top
-https://www.casino-win-big.test/en/3310
 """.split()
 WANTED = """
 https://www.university.test/research/papers/1234
@@ -83,19 +77,7 @@ https://m.weather.test/de/wetter
 https://www.museum.test/es/colecciones/88
 https://wiki.history.test/en/12345
 https://blog.cooking.test/fr/recettes/4411?page=2
-http://blog.travel.test/de/6712
-https://www.thesis.test/en/25246
-http://theatre.test/en/3111
-https://ththen.test/en/49431
-https://blog.nation.test/en/8674#top
-http://m.station.test/es/41207/
-https://www.other.test/fr/40279/
-https://m.thing.test/de/2217.html
-http://www.heron.test/en/25299/
-https://m.river.test/en/12254?page=2&ref=x
-https://stones.test/en/47483
-https://action.test/en/24982.html
-http://www.school.test/timetable
+https://www.school.test/timetable
 https://www.hospital.test/departments/cardiology
 https://www.government.test/forms/tax
 https://journal.science.test/articles/10
@@ -105,23 +87,62 @@ https://api.maps.test/v1/places
 https://www.football-club.test/fixtures
 https://data.statistics.test/population
 https://www.bank.test/contact
-https://www.farm-museum.test/visit
 https://www.orchestra.test/concerts
 https://blog.photography.test/en/2020/lens
 https://www.bakery.test/bread
-https://blog.theory.test/en/15701
-https://m.north.test/fr/29841
-https://therapy.test/fr/825
-https://there.test/en/618
-https://m.then.test/en/77
-https://blog.thering.test/es/27
-https://the.test/en/761
-https://thread.test/es/797
-https://m.thermal.test/de/481
-https://www.ether.test/es/22
-https://blog.method.test/de/638
-https://m.thousand.test/fr/878
-http://hearth.test/en/941/
+https://theatre.test/programme/autumn
+https://www.weather-station.test/en/17
+http://bridges.test/history
+https://www.railway.test/timetables/north
+https://m.harbour.test/es/barcos
+https://astronomy.test/telescope/guide
+https://www.translation.test/dictionary/german
+https://nation.test/constitution/article-5
+https://blog.mountain-hut.test/hiking
+http://physics.test/lecture/12.pdf
+https://www.therapy-centre.test/appointments
+https://archive.letters.test/1890/03
+https://www.botany.test/trees/oak
+https://music.teacher.test/lessons
+https://www.fire-brigade.test/en/safety
+https://www.parliament.test/debates/2019
+http://www.athletics.test/results/marathon
+https://blog.knitting.test/patterns/3
+https://www.insurance.test/claims/form
+https://www.airport.test/departures
+https://town.test/council/minutes
+https://rivers.test/en/levels
+http://www.printing.test/paper-sizes
+https://www.breathing.test/exercise
+https://lighthouse.test/visit
+https://www.chess-club.test/games/44
+http://www.engineering.test/standards/steel
+https://www.brewery.test/tours
+https://poetry.test/poem/771
+https://www.translators.test/fr/contact
+https://www.kitchen.test/tools
+https://www.ferry.test/timetable?route=2
+https://encyclopedia.test/entry/whale
+https://www.recycling.test/glass
+https://www.fishing.test/permits
+https://software.test/release-notes/4.2
+https://www.nursery.test/plants
+https://hotel.test/rooms
+https://www.newspaper.test/opinion/letters
+https://www.zoo.test/animals/otter
+https://blog.sailing.test/en/knots
+https://www.courts.test/judgments/2004
+https://www.geology.test/maps/9
+https://grammar.test/verbs/irregular
+https://www.economy.test/reports/inflation
+https://www.cathedral.test/services
+https://www.choir.test/rehearsals
+https://www.observatory.test/images/moon
+https://street-maps.test/town/centre
+http://www.heritage.test/castles/33
+https://teaching.test/mathematics/fractions
+https://www.nature-reserve.test/birds
+https://www.post-office.test/parcels
 """.split()
 #: rule strings host + path
 ALLOW = ("org/", "com/fr/")

@@ -169,11 +169,16 @@ def packed(df, **how):
     return packing.pack_documents(df, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, **how)
 
 
+#: the string of a special token in a text is that token, by the contract's call
+SPECIAL = ["<|endoftext|>", "one<|endoftext|>two", " a  <|endoftext|>  b\n<|endoftext|>\n", "<|endoftext|><|endoftext|>x", "<|endoftext| >", "<|endoftext", "a <|ENDOFTEXT|> b"]
+
+
 def test_packing_loses_nothing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    df = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    special = [(20_000 + i, t) for i, t in enumerate(SPECIAL)]
+    df = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).unionByName(spark.createDataFrame(special, "doc_id long, text string"))
     texts = defaultdict(list)
     for r in df.collect():
         texts[r["doc_id"]].append(r["text"] or "")
@@ -203,7 +208,7 @@ def test_packing_loses_nothing(spark, docs, odd, empty):
 
 def test_both_coders_agree(docs, odd):
     texts = [r[0] or "" for r in docs.select("text").limit(60).union(odd.select("text")).collect()]
-    assert packing.load_encoder(public.path("byte_bpe_50k.json"))(texts) == packing.load_encoder("", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)(texts)
+    assert packing.load_encoder(public.path("byte_bpe_50k.json"))(texts) == packing.load_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)(texts)
 
 
 def test_differencing():

@@ -51,6 +51,16 @@ def test_urls(spark, sf_dir):
     assert url_filter.judge(df.limit(0), model).count() == 0
 
 
+def test_url_model_on_urls_that_it_has_not_seen(spark):
+    bad = ["http://cheap-viagra.test/pills", "http://www.casino-slots-bonus.test/", "https://free-porn.test/xxx", "http://adult-cams-free.test/", "http://pills-online.test/cheap", "https://betting-tips.test/odds", "http://click-tracker-ads.test/pixel", "http://replica-rolex.test/buy", "http://fast-loans.test/cash", "http://spam-links.test/backlinks"]
+    good = ["https://www.library.test/books/12", "https://geography.test/rivers/danube", "https://www.kindergarten.test/en/menu", "https://blog.woodwork.test/de/stuhl", "https://www.opera.test/tickets", "https://chemistry.test/elements/iron", "https://www.canal.test/fr/ecluses", "https://farm.test/milk", "https://news.island.test/2020/01/02/storm", "https://www.watchmaker.test/repair"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
+    assert not set(bad + good) & {r["url"] for r in url_filter.labelled_urls(spark).collect()}
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, url_filter.fit(url_filter.labelled_urls(spark)), rules={}).collect()}
+    assert sum(verdicts[i] == "block" for i in range(len(bad))) >= 8
+    assert sum(verdicts[i + len(bad)] == "allow" for i in range(len(good))) >= 9
+
+
 def test_url_model_learns_its_table(spark):
     table = url_filter.labelled_urls(spark)
     w, c = url_filter.fit(table)
