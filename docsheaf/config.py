@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+import os
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,40 @@ TRANSIENT = ("downloading", "loading")
 WEBHOOK_TIMEOUT_S, WEBHOOK_ATTEMPTS = 30, 3
 MAX_IMAGE_MB, MAX_PDF_MB = 50, 100
 MODEL_MIN_BYTES = 104_857_600
+SWITCH_WAIT_S = 30
+
+
+def loaded(kind: type, prefix: str, spark: SparkSession | None = None, env: dict | None = None, base=None):
+    """Settings of a ``kind`` (Splitting or Preprocessing) with values of the environment
+    (``PREFIX_FIELD``) over those of ``base``, and those of the session (``spark.docsheaf.prefix.field``)
+    over both. A value that does not read as the field's type, or is out of range, is an error."""
+    base, env = base or kind(), os.environ if env is None else env
+    found = {}
+    for f in fields(kind):
+        text = env.get(f"{prefix}_{f.name}".upper())
+        if spark is not None:
+            text = spark.conf.get(f"spark.docsheaf.{prefix.lower()}.{f.name}", text)
+        if text is not None:
+            was = getattr(base, f.name)
+            try:
+                found[f.name] = _BOOLEANS[text.strip().lower()] if isinstance(was, bool) else type(was)(text)
+            except (KeyError, ValueError):
+                raise ValueError(f"{prefix}_{f.name}: {text!r} is no {type(was).__name__}") from None
+    return replace(base, **found)
+
+
+def dotenv(text: str) -> dict:
+    """NAME=value lines of a settings file; comments, blank lines, quotes and ``export`` are allowed."""
+    out = {}
+    for line in text.splitlines():
+        name, sep, value = line.strip().removeprefix("export ").partition("=")
+        if sep and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
+_BOOLEANS = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
 
 
 def engine_config(spark: SparkSession) -> DataFrame:

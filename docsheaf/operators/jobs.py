@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docsheaf import config
 
@@ -38,10 +41,12 @@ def live_status(events: DataFrame, key: str, ttl_s: int = config.STATUS_TTL_S) -
 
 
 def listing(registered: DataFrame, events: DataFrame, current: str | None) -> DataFrame:
-    """Registered models with status and progress; unparsable progress is 0."""
-    status = live_status(events, "model")
-    progress = events.groupBy("model").agg(F.max_by("progress", F.struct("us", "event_id")).alias("p"))
-    out = registered.join(F.broadcast(status), "model", "left").join(F.broadcast(progress), "model", "left")  # a row per registered model at most
+    """Registered models with status and progress; unparsable progress is 0. Events of other models
+    go before anything is grouped, so what is joined has a row per registered model at most."""
+    own = events.join(registered.select("model"), "model", "left_semi")
+    status = live_status(own, "model")
+    progress = own.groupBy("model").agg(F.max_by("progress", F.struct("us", "event_id")).alias("p"))
+    out = registered.join(status, "model", "left").join(progress, "model", "left")
     state = F.coalesce("status", F.lit("not_found"))
     return out.select("model", F.col("model").eqNullSafe(F.lit(current)).alias("is_loaded"), (state == "ready").alias("is_available"), state.alias("status"), F.coalesce(F.col("p").try_cast("double"), F.lit(0.0)).alias("progress"))
 
@@ -54,13 +59,35 @@ def stale_status(events: DataFrame, key: str, status_ttl_s: int = config.STATUS_
 
 
 def lock_winners(events: DataFrame, key: str, ttl_s: int = config.LOCK_TTL_S) -> DataFrame:
-    """(key, acquisitions, holder): set-if-absent with a time to live, in order of time; a fold
-    over the attempts of each key."""
-    tries = events.where("locks").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("a"))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("holder"), F.lit(0).cast("bigint").alias("n"))
-    win = lambda s, x: s["at"].isNull() | (x["us"] - s["at"] >= ttl_s * 1_000_000)
-    state = F.aggregate("a", start, lambda s, x: F.when(win(s, x), F.struct(x["us"].alias("at"), x["event_id"].alias("holder"), (s["n"] + 1).alias("n"))).otherwise(s))
-    return tries.select(key, state.alias("s")).select(key, F.col("s.n").alias("acquisitions"), F.col("s.holder").alias("holder"))
+    """(key, acquisitions, holder): set-if-absent with a time to live, in order of time. Who wins
+    hangs on the winner before, so a key's attempts are one sequence; they are sorted by Spark and
+    stream past one state, whatever their number."""
+    schema = T.StructType([events.schema[key], T.StructField("acquisitions", T.LongType()), T.StructField("holder", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        now, held = None, None  # key, (time, holder, acquisitions)
+        for batch in batches:
+            done = []
+            for k, us, event in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held is None or k != now:
+                    if held is not None:
+                        done.append((now, held[2], held[1]))
+                    now, held = k, (us, event, 1)
+                elif us - held[0] >= ttl_s * 1_000_000:
+                    held = (us, event, held[2] + 1)
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in done], schema=arrow)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, (now, held[2], held[1])))], schema=arrow)
+
+    tries = events.where("locks").select(key, "us", "event_id").repartition(key).sortWithinPartitions(key, "us", "event_id")
+    return tries.mapInArrow(run, schema)
+
+
+def released(locks: DataFrame, requests: DataFrame, key: str = "model") -> DataFrame:
+    """The locks that stay: one is taken away only by a request that names its holder."""
+    asked = requests.select(key, "holder").distinct()
+    return locks.join(asked, [key, "holder"], "left_anti").select(*locks.columns)
 
 
 def resolve_engine(requested: Column, current: Column, default: str = config.DEFAULT_ENGINE) -> Column:
@@ -96,6 +123,16 @@ def status_map(events: DataFrame) -> DataFrame:
     return live_status(events, "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "status")))).alias("statuses"))  # a row per model
 
 
+def switches(requests: DataFrame, models: DataFrame, wait_s: int = config.SWITCH_WAIT_S) -> DataFrame:
+    """(request_id, model, outcome) of requests (request_id, model, busy_s) to change the current
+    model: ``unknown`` if it is not registered, ``not_ready`` unless its status is ready, ``timeout``
+    if the engine in use stays busy longer than ``wait_s``, else ``switched``."""
+    known = models.select("model", F.col("status").alias("model_status"))
+    out = requests.join(known, "model", "left")
+    outcome = F.when(F.col("model_status").isNull(), "unknown").when(F.col("model_status") != "ready", "not_ready").when(F.col("busy_s") > wait_s, "timeout").otherwise("switched")
+    return out.select("request_id", "model", outcome.alias("outcome"))
+
+
 def without(jobs_: DataFrame, gone: DataFrame, key: str = "job_id") -> DataFrame:
     """Deleted jobs taken out."""
     return jobs_.join(gone.select(key).distinct(), key, "left_anti")

@@ -9,9 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docsheaf.config import GLOBAL_PREPROCESSING, Preprocessing
+from docsheaf.operators import geometry, steps
+
 
 def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     x = np.frombuffer(data, np.uint8)
@@ -34,8 +38,15 @@ def _padded(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def laplacian_variance(g: np.ndarray) -> float:
-    p = _padded(g.astype(np.float64), 1)
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+    """By sums of integers, so that it does not hang on their order."""
+    p = _padded(g.astype(np.int64), 1)
+    x = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+    n, total, squares = x.size, int(x.sum()), int((x * x).sum())
+    return float(n * squares - total * total) / float(n * n)
+
+
+def each_channel(x: np.ndarray, change) -> np.ndarray:
+    return change(x) if x.ndim == 2 else np.stack([change(x[..., i]) for i in range(x.shape[2])], axis=-1)
 
 
 def box_mean(x: np.ndarray, r: int = 2) -> np.ndarray:
@@ -233,20 +244,23 @@ def denoise(g: np.ndarray, strength: float, template: int = 7, search: int = 21)
     return np.rint(total / weight).astype(np.uint8)
 
 
-METRICS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("blur_score", "noise_level", "contrast_ratio", "brightness", "content_density", "edge_density")], T.StructField("otsu", T.LongType()), T.StructField("is_inverted", T.BooleanType()), T.StructField("has_text", T.BooleanType()), T.StructField("n_regions", T.LongType())])
+METRICS = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "width", "height")], *[T.StructField(n, T.DoubleType()) for n in ("blur_score", "noise_level", "contrast_ratio", "brightness", "content_density", "edge_density", "skew_angle")], T.StructField("otsu", T.LongType()), T.StructField("is_inverted", T.BooleanType()), T.StructField("has_text", T.BooleanType()), T.StructField("n_regions", T.LongType())])
 
 
-def analyse(rasters: DataFrame) -> DataFrame:
-    """One pass, one struct of metrics per raster; decisions on them are column expressions."""
+def analyse(rasters: DataFrame, c: Preprocessing = GLOBAL_PREPROCESSING) -> DataFrame:
+    """One pass, one row of metrics per raster; resolution and the ``needs_*`` decisions are column
+    expressions on them."""
     arrow = to_arrow_schema(METRICS)
 
     def row(r):
         g = to_gray(decode(r["height"], r["width"], r["channels"], r["data"]))
         e = edge_density(g)
-        return {"doc_id": r["doc_id"], "blur_score": round(laplacian_variance(g), 6), "noise_level": round(noise_level(g), 6), "contrast_ratio": michelson(g), "brightness": round(brightness(g), 9), "content_density": float(ink(g).mean()), "edge_density": e, "otsu": otsu_threshold(g), "is_inverted": is_inverted(g), "has_text": 0.01 < e < 0.3, "n_regions": len(regions(g))}
+        return {"doc_id": r["doc_id"], "width": r["width"], "height": r["height"], "blur_score": round(laplacian_variance(g), 6), "noise_level": round(noise_level(g), 6), "contrast_ratio": michelson(g), "brightness": round(brightness(g), 9), "content_density": float(ink(g).mean()), "edge_density": e, "skew_angle": skew_angle(g), "otsu": otsu_threshold(g), "is_inverted": is_inverted(g), "has_text": 0.01 < e < 0.3, "n_regions": len(regions(g))}
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_pylist([row(r) for r in b.to_pylist()], schema=arrow)
 
-    return rasters.select("doc_id", "height", "width", "channels", "data").mapInArrow(run, METRICS)
+    found = rasters.select("doc_id", "height", "width", "channels", "data").mapInArrow(run, METRICS)
+    need = steps.flags(c, F.col("noise_level"), F.col("skew_angle"), F.col("contrast_ratio"))
+    return found.withColumns({"estimated_dpi": geometry.estimated_dpi(F.col("width"), F.col("height")), "needs_sharpening": F.col("blur_score") < c.blur_threshold, **need})

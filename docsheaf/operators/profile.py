@@ -41,8 +41,13 @@ def gaps(found: DataFrame, least: int = 10) -> DataFrame:
 
 def select_gaps(positions: Column, size: Column, k: int) -> Column:
     """k positions near the even spacing: each ideal takes the nearest one left, the first if tied."""
+    return select_nearest(positions, size, F.lit(k))
+
+
+def select_nearest(positions: Column, size: Column, k: Column) -> Column:
+    """``select_gaps`` for a number of positions that is a column."""
     start = F.struct(positions.alias("left"), F.array().cast("array<bigint>").alias("out"))
-    ideals = F.array(*[size * float(i + 1) / float(k + 1) for i in range(k)])
+    ideals = F.when(k > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)).cast("bigint")), lambda i: size * i.cast("double") / (k + 1).cast("double"))).otherwise(F.array().cast("array<double>"))
 
     def fold(acc, ideal):
         # positions rise, so the least (distance, position) is the first of the nearest

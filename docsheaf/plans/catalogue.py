@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf import config
 from docsheaf.functions.text import model_output_text, without_marks
-from docsheaf.operators import engines, jobs, kernels, merge, profile, splitting, steps, validate
+from docsheaf.operators import engines, jobs, kernels, merge, pages, profile, splitting, steps, validate
 from docsheaf.operators import geometry as geo
 from docsheaf.plans.oracle import ORACLE_SQL  # noqa: F401
 from docsheaf.sources import files
@@ -382,7 +380,7 @@ def resolve_engine(spark, sf):
     ids = m.select("user_id").distinct()
     asked = F.get(F.array(F.lit("qari"), F.lit(""), F.lit(None).cast("string"), F.lit("unknown")), (F.col("user_id") % 4).cast("int"))
     e = ids.select("user_id", jobs.resolve_engine(asked, F.when(F.col("user_id") % 3 == 0, "got").otherwise("")).alias("engine"))
-    return e.join(F.broadcast(state), e["engine"] == state["model"], "left").select("user_id", "engine", jobs.submit_gate(F.col("engine"), F.col("status")).alias("code"))
+    return e.join(state, e["engine"] == state["model"], "left").select("user_id", "engine", jobs.submit_gate(F.col("engine"), F.col("status")).alias("code"))
 
 
 @query
@@ -436,7 +434,7 @@ def submit_upload(spark, sf):
     m = fx.model_events(spark, sf)
     state = m.groupBy("model").agg(F.max_by("status", F.struct("us", "event_id")).alias("status"))  # one row per engine
     u = fx.uploads(spark, sf).withColumn("engine", jobs.resolve_engine(F.get(F.array(F.lit("qari"), F.lit(""), F.lit("nope")), (F.col("doc_id") % 3).cast("int")), F.lit(None).cast("string")))
-    j = u.join(F.broadcast(state), u["engine"] == state["model"], "left")
+    j = u.join(state, u["engine"] == state["model"], "left")
     code = validate.submit(jobs.submit_gate(F.col("engine"), F.col("status")), validate.check_name(F.col("filename")), validate.check_file(F.col("size_bytes"), F.col("header"), "image", config.MAX_IMAGE_MB))
     return j.withColumn("code", code).select("doc_id", "engine", "code", F.when(F.col("code") == 202, "pending").alias("state"), F.when(F.col("code") == 202, validate.stored_name(F.col("doc_id"), F.col("filename"))).alias("stored_as"))
 
@@ -464,6 +462,18 @@ def image_metrics(spark, sf):
     return kernels.analyse(rasters(spark, sf))
 
 
+@query
+def page_quality(spark, sf):
+    """The metrics that follow from sums of the pixels alone, from the pixel pass."""
+    return kernels.analyse(rasters(spark, sf)).select("doc_id", "blur_score", F.round("contrast_ratio", 6).alias("contrast"), F.round("brightness", 6).alias("brightness"), "otsu", F.round("content_density", 6).alias("content_density"), "estimated_dpi", "needs_sharpening")
+
+
+@query
+def page_pipeline(spark, sf):
+    """Rasters through straightening, splitting, preparation, a stand-in engine and the merge."""
+    return pages.process(rasters(spark, sf), "qari")
+
+
 @query
 def pixel_statistics(spark, sf):
     """Contrast, brightness and the inverted mean of the same rasters, without Python."""
@@ -522,8 +532,5 @@ def job_state_stream(spark, sf):
     e = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     status = fx.mapped(F.col("event_type"), fx.JOB_STATUS)
     events = e.select(F.col("user_id").alias("job_id"), "event_id", ((fx.epoch_us(F.col("ts")) - F.lit(bounds)) / 20).cast("long").alias("us"), status.alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("event_id"))).alias("error")).where("status is not null")
-    name = f"job_states_{uuid.uuid4().hex}"
-    run = job_stream.job_states(events, timeouts=False).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("status", "updated_us", "error"), "updated_us").alias("s"))
-    return last.select("job_id", "s.status", "s.updated_us", "s.error")
+    last = job_stream.run_once(job_stream.job_states(events, timeouts=False))
+    return last.select("job_id", "status", "updated_us", "error")

@@ -169,7 +169,21 @@ NAME = "CASE WHEN job_id % 6 = 0 THEN 'a \"quoted\" \\ name.png' ELSE 'f' || job
 
 RASTER = """v AS (SELECT doc_id, list_transform(string_split(rpad(regexp_replace(text, '[^ -~]', '~', 'g'), CAST(64 * greatest(48, ceil(length(text) / 64.0::DOUBLE)) AS INT), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS v FROM documents)"""
 
+QUALITY = """WITH px AS (SELECT doc_id, (i - 1) // 64 AS y, (i - 1) % 64 AS x, t[i] AS c, unicode(t[i]) AS v, len(t) // 64 AS height FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM
+ (SELECT doc_id, string_split(rpad(regexp_replace(text, '[^ -~]', '~', 'g'), CAST(64 * greatest(48, ceil(length(text) / 64.0::DOUBLE)) AS INT), ' '), '') AS t FROM documents))),
+lap AS (SELECT doc_id, height, v, coalesce(lag(v) OVER r, lead(v) OVER r) + coalesce(lead(v) OVER r, lag(v) OVER r) + coalesce(lag(v) OVER c, lead(v) OVER c) + coalesce(lead(v) OVER c, lag(v) OVER c) - 4 * v AS l
+ FROM px WINDOW r AS (PARTITION BY doc_id, y ORDER BY x), c AS (PARTITION BY doc_id, x ORDER BY y)),
+s AS (SELECT doc_id, max(height) AS height, count(*) AS n, sum(l) AS s1, sum(l * l) AS s2, min(v) AS lo, max(v) AS hi, sum(v) AS t FROM lap GROUP BY doc_id),
+h AS (SELECT doc_id, v, count(*) AS k FROM lap GROUP BY doc_id, v),
+c AS (SELECT doc_id, v, CAST(sum(k) OVER w AS BIGINT) AS w0, CAST(sum(k * v) OVER w AS BIGINT) AS m0, CAST(sum(k) OVER a AS BIGINT) AS w, CAST(sum(k * v) OVER a AS BIGINT) AS m FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY v), a AS (PARTITION BY doc_id)),
+o AS (SELECT doc_id, arg_min(v, (-b, v)) AS otsu FROM (SELECT doc_id, v, CASE WHEN w0 < w THEN (m0 * w - m * w0)::DOUBLE * (m0 * w - m * w0)::DOUBLE / (w0::DOUBLE * (w - w0)::DOUBLE) ELSE 0.0 END AS b FROM c) GROUP BY doc_id),
+d AS (SELECT doc_id, sum(k) AS dark FROM h JOIN o USING (doc_id) WHERE v <= otsu GROUP BY doc_id)
+SELECT doc_id, blur AS blur_score, round((hi - lo) / (hi + lo)::DOUBLE, 6) AS contrast, round(t / (n * 255.0::DOUBLE), 6) AS brightness, CAST(otsu AS BIGINT) AS otsu, round(dark / n::DOUBLE, 6) AS content_density,
+ CAST(72 AS BIGINT) AS estimated_dpi, blur < 100.0 AS needs_sharpening
+FROM (SELECT *, round((n * s2 - s1 * s1)::DOUBLE / (n * n)::DOUBLE, 6) AS blur FROM s JOIN o USING (doc_id) JOIN d USING (doc_id))"""
+
 ORACLE_SQL = {
+    "page_quality": QUALITY,
     "merge_exact_overlap": merged(1),
     "merge_two_columns": merged(2),
     "reading_order_ltr": formatted("c"),

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from docsheaf import config
 from docsheaf.operators.jobs import STALE_ERROR
+from docsheaf.sources import scratch
 
 OUT = "job_id long, status string, updated_us long, error string, expired boolean"
 STATE = "us long, event_id long, status string, error_us long, error_id long, error string"
@@ -50,6 +51,23 @@ def job_states(events: DataFrame, timeouts: bool = True) -> DataFrame:
     return events.select("job_id", "us", "event_id", "status", "error").groupBy("job_id").applyInPandasWithState(advance, OUT, STATE, "update", mode)
 
 
+def run_once(states: DataFrame, key: str = "job_id") -> DataFrame:
+    """The last state of each key after a run over what there is. Updates are written batch by
+    batch as files to the shared folder; a batch that runs again replaces its files."""
+    out = f"{scratch.folder(states.sparkSession)}/states"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    empty = states.sparkSession.createDataFrame([], states.schema).withColumn("batch", F.lit(-1).cast("long"))
+    empty.write.parquet(f"{out}/part=-1")
+    run = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = states.sparkSession.read.schema(empty.schema).parquet(out)
+    names = [c for c in states.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("s")).select(key, "s.*")  # one row of a key in a batch
+
+
 def deliver(post: Callable[[str, str], bool], attempts: int | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: POST each (webhook_url, payload), up to ``attempts`` times, without
     a pause between; rows without a url count as delivered."""

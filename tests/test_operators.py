@@ -1,5 +1,6 @@
 """Edges of single operators, held against plain Python written from their definitions."""
 
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docsheaf import config
 from docsheaf.functions.text import exact_overlap, model_output_text, position_of_base_char, strip, without_marks
-from docsheaf.operators import engines, geometry, jobs, kernels, merge, profile, splitting, steps, validate
+from docsheaf.operators import engines, geometry, jobs, kernels, merge, pages, profile, splitting, steps, validate
 from docsheaf.sources import files
 from docsheaf.streaming import jobs as job_stream
 
@@ -264,3 +265,149 @@ def test_webhook_attempts():
     finally:
         m.F = old
     assert calls == ["u"] * 3
+
+
+# --- pages, settings, locks, files --------------------------------------------------------
+
+
+def plain_page(r, prepare_by, split):
+    """A page by the kernels alone, with plain Python for the choice of cuts."""
+    g = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])
+    skew = kernels.skew_angle(g)
+    turned = abs(skew) >= prepare_by.skew_threshold
+    g = kernels.rotate(g, skew) if turned else g
+    h, w = g.shape
+    if not (w * h / 1e6 > split.max_megapixels or max(w, h) > split.max_dimension):
+        cut, method = [(0, 0, 0, 0, w, h)], "none"
+    else:
+        e = min(split.target_chunk_size, split.max_dimension)
+        least = math.ceil(math.sqrt(math.ceil(w * h / 1e6 / split.max_megapixels))) if w * h / 1e6 > split.max_megapixels else 1
+        rows, cols = max(math.ceil(h / e), least), max(math.ceil(w / e), least)
+        if split.prefer_horizontal_splits and cols > 1:
+            rows, cols = (rows * cols, 1) if rows * cols <= 4 else (math.ceil(rows * cols / min(cols, 2)), min(cols, 2))
+        ink = kernels.ink(g).sum(axis=1)
+        top, low = int(ink.max()), []
+        for y in range(h):
+            s = int(ink[max(0, y - 2) : y + 3].sum())
+            low.append(s < (1 - split.gap_threshold) * 5 * top if top else True)
+        runs, y = [], 0
+        while y < h:
+            n = y
+            while n < h and low[n]:
+                n += 1
+            if n > y and n < h:
+                runs.append((y, n - y))
+            y = max(n, y + 1)
+        centers = [a + n // 2 for a, n in runs if n >= split.min_gap_pixels and (a + n // 2) * 10 > h and (a + n // 2) * 10 < h * 9]
+        left, picked = list(centers), []
+        if len(centers) > rows - 1:
+            for i in range(1, rows):
+                best = min(left, key=lambda c: (abs(c - h * float(i) / float(rows)), c), default=None)
+                if best is not None:
+                    left.remove(best)
+                    picked.append(best)
+        else:
+            picked = centers
+        splits, prev = [], 0
+        for c in sorted(picked):
+            if c - prev >= split.min_chunk_size and h - c >= split.min_chunk_size:
+                splits.append(c)
+                prev = c
+        if splits:
+            edges = [0, *splits, h]
+            cut, method = [(i, 0, 0, a, w, b - a) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "projection"
+        else:
+            method, cut = "grid", []
+            bh, bw = h / rows, w / cols
+            oy, ox = int(bh * split.overlap_percent), int(bw * split.overlap_percent)
+            for i in range(rows):
+                for j in range(cols):
+                    y0, y1 = max(0, int(i * bh) - (oy if i else 0)), min(h, int((i + 1) * bh) + (oy if i < rows - 1 else 0))
+                    x0, x1 = max(0, int(j * bw) - (ox if j else 0)), min(w, int((j + 1) * bw) + (ox if j < cols - 1 else 0))
+                    cut.append((i, j, x0, y0, x1 - x0, y1 - y0))
+    done = [pages.prepare(g[y : y + ch, x : x + cw], prepare_by) for _, _, x, y, cw, ch in cut]
+    texts = [(i, j, d.tobytes().decode("utf-8", "replace")) for (i, j, *_), (d, _) in zip(cut, done)]
+    used = {s for _, names in done for s in names}
+    applied = (["global_deskew"] if turned else []) + [s for s in steps.ORDER if s in used]
+    return method, len(cut), ",".join(applied), merge.merged_text(texts)
+
+
+@pytest.mark.parametrize("engine", ["deepseek", "small"])
+def test_page_pipeline(spark, engine, monkeypatch):
+    """Pages with bands of text, slanted lines and noise, under wide and narrow limits."""
+    if engine == "small":
+        limits = config.Splitting(max_megapixels=0.02, max_dimension=120, target_chunk_size=100, min_chunk_size=30, min_gap_pixels=8, overlap_percent=0.25)
+        monkeypatch.setattr(config, "GLOBAL_SPLITTING", limits)
+    split = config.GLOBAL_SPLITTING
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(6):
+        g = np.full((240, 150), 235, np.uint8)
+        for y in range(12, 230, 46):
+            g[y : y + (20 if i % 2 else 40)] = rng.integers(30, 90, (1, 150))
+        if i == 4:
+            g = rng.integers(0, 256, (240, 150)).astype(np.uint8)
+        if i == 5:
+            g = kernels.rotate(np.repeat(np.repeat(rng.integers(0, 2, (20, 1)) * 200 + 30, 12, 0), 150, 1).astype(np.uint8), -7)
+        made.append((i, g.shape[0], g.shape[1], 1, bytearray(g.tobytes())))
+    prepare_by = config.Preprocessing(denoise_strength=0)
+    monkeypatch.setitem(config.ENGINE_PREPROCESSING, "deepseek", prepare_by)
+    df = spark.createDataFrame(made, "doc_id long, height int, width int, channels int, data binary")
+    got = {r["doc_id"]: (r["method"], r["n_chunks"], r["applied"], r["merged"]) for r in pages.process(df, "deepseek").collect()}
+    want = {m[0]: plain_page(dict(zip(("doc_id", "height", "width", "channels", "data"), m)), prepare_by, split) for m in made}
+    assert got == want
+    assert {m for m, *_ in got.values()} == ({"none"} if engine == "deepseek" else {"projection", "grid"})
+    assert all("binarization" in a for _, _, a, _ in got.values()) and any("global_deskew" in a for _, _, a, _ in got.values())
+
+
+def test_settings_from_the_environment(spark):
+    env = config.dotenv("# limits\nSPLITTING_MAX_MEGAPIXELS=3.5\nexport SPLITTING_ENABLED='no'\n\nOTHER=1\nbroken")
+    found = config.loaded(config.Splitting, "SPLITTING", env=env)
+    assert found == config.Splitting(max_megapixels=3.5, enabled=False)
+    spark.conf.set("spark.docsheaf.splitting.max_dimension", "999")
+    assert config.loaded(config.Splitting, "SPLITTING", spark, env).max_dimension == 999
+    spark.conf.unset("spark.docsheaf.splitting.max_dimension")
+    assert config.loaded(config.Splitting, "SPLITTING", env={}) == config.Splitting()
+    for bad in ({"SPLITTING_MAX_DIMENSION": "many"}, {"SPLITTING_OVERLAP_PERCENT": "2"}, {"SPLITTING_ENABLED": "perhaps"}):
+        with pytest.raises(ValueError):
+            config.loaded(config.Splitting, "SPLITTING", env=bad)
+
+
+def test_locks_and_switches(spark):
+    tries = [(1, 10, 100, True), (1, 11, 200, True), (1, 12, 100 + 900_000_000, True), (2, 13, 5, True), (2, 14, 6, False), (None, 15, 1, True), (None, 16, 2, True)]
+    df = spark.createDataFrame(tries, "user_id long, event_id long, us long, locks boolean").repartition(3)
+    assert {tuple(r) for r in jobs.lock_winners(df, "user_id").collect()} == {(1, 2, 12), (2, 1, 13), (None, 1, 15)}
+    held = spark.createDataFrame([("a", "x"), ("b", "y")], "model string, holder string")
+    asked = spark.createDataFrame([("a", "other"), ("b", "y"), ("b", "y")], "model string, holder string")
+    assert [tuple(r) for r in jobs.released(held, asked).collect()] == [("a", "x")]
+    models = spark.createDataFrame([("qari", "ready"), ("got", "loading")], "model string, status string")
+    want = {1: "switched", 2: "timeout", 3: "not_ready", 4: "unknown"}
+    requests = spark.createDataFrame([(1, "qari", 30.0), (2, "qari", 30.5), (3, "got", 0.0), (4, "zzz", 0.0)], "request_id long, model string, busy_s double")
+    assert {r["request_id"]: r["outcome"] for r in jobs.switches(requests, models).collect()} == want
+
+
+def test_files_in_and_out(spark, tmp_path):
+    good = bytes.fromhex("89504e470d0a1a0a0000000d4948445200000001000000010802000000907753de0000000c49444154789c63f8cfc0000003010100c9fe92ef0000000049454e44ae426082")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(good)
+    (tmp_path / "in" / "b.png").write_bytes(good[:30])
+    pictures = files.images(spark, str(tmp_path / "in"))
+    found = {r["origin"].rpartition("/")[2]: (r["height"], r["error"]) for r in pictures.collect()}
+    assert found == {"a.png": (1, None), "b.png": (None, "Invalid or corrupted image file")}
+    up = files.uploads(spark, str(tmp_path / "in"))
+    checked = files.decodable(up, pictures)
+    assert checked.columns == up.columns
+    assert {r["name"]: r["check"] for r in checked.collect()} == {"a.png": "ok", "b.png": "Invalid or corrupted image file"}
+    texts = spark.createDataFrame([("scan", "one\ntwo"), ("page 2", None)], "stem string, text string")
+    files.write_texts(texts, str(tmp_path / "out"))
+    back = {r["file"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    assert {k: v.rstrip("\n") for k, v in back.items()} == {"scan_ocr.txt": "one\ntwo", "page 2_ocr.txt": ""}
+
+    def read(data):
+        if data == b"bad":
+            raise ValueError("no such format")
+        return {"page_count": len(data), "title": "T"}
+
+    docs = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"bad")), (3, None)], "doc_id long, content binary")
+    told = {r["doc_id"]: (r["page_count"], r["title"], r["author"], r["error"]) for r in files.metadata(docs, read).collect()}
+    assert told == {1: (3, "T", None, None), 2: (0, None, None, "no such format"), 3: (0, "T", None, None)}
