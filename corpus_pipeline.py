@@ -11,14 +11,23 @@ from docsheaf.llm import lang_id, near_dup, packing, pii, quality_rules
 from docsheaf.llm.common import read, table
 
 
+def _prefix(docs):
+    """Underscores that no column starts with, for the names that an operator adds."""
+    out = "__"
+    while any(c.startswith(out) for c in docs.columns):
+        out += "_"
+    return out
+
+
 def language_id(spark, docs, sf_dir):
-    found = lang_id.identify(docs, lang_id.train(docs), extra=tuple(docs.columns), prefix="__")
-    return found.where("__kept").select(*docs.columns)
+    own = _prefix(docs)
+    found = lang_id.identify(docs, lang_id.train(docs), extra=tuple(docs.columns), prefix=own)
+    return found.where(f"{own}kept").select(*docs.columns)
 
 
 def quality(spark, docs, sf_dir):
-    rules = quality_rules.train(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules, extra=tuple(docs.columns), prefix="__").where("__kept").select(*docs.columns)
+    rules, own = quality_rules.train(docs, read(spark, sf_dir, "labels")), _prefix(docs)
+    return quality_rules.judge(docs, rules, extra=tuple(docs.columns), prefix=own).where(f"{own}kept").select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):

@@ -22,10 +22,23 @@ class Engine:
     name = ""
     splits_pages = True
     right_to_left = False
+    loaded = False
 
     def load(self) -> None:
         pass
 
+    def ready(self) -> Engine:
+        """Loaded once, however often it is asked for."""
+        if not self.loaded:
+            self.load()
+            self.loaded = True
+        return self
+
+    def read(self, data: bytes) -> tuple[str, str, float]:
+        if not self.loaded:
+            raise RuntimeError(f"The {self.name} engine is not loaded")
+        return self.extract(data)
+
     def extract(self, data: bytes) -> tuple[str, str, float]:
         raise NotImplementedError
 
@@ -94,14 +107,13 @@ def recognise(chunks: DataFrame, engine: str | Callable[[], Engine], data: str =
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        e = make()
-        e.load()
+        e = make().ready()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 raw = r.pop(data)
                 try:
-                    out = (*e.extract(bytes(raw or b"")), None)
+                    out = (*e.read(bytes(raw or b"")), None)
                 except Exception as x:  # noqa: BLE001  an engine's failure belongs to its chunk
                     out = ("", "", 0.0, None if swallow else f"chunk {r.get('index')}: {x}")
                 rows.append(r | dict(zip(RESULT.names, out)))

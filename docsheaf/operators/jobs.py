@@ -99,6 +99,13 @@ def submit_gate(engine: Column, status: Column) -> Column:
     return F.when(~engine.isin(*config.ENGINES), 400).when(status.isin("downloading", "failed"), 503).otherwise(202).cast("long")
 
 
+def enqueue(requests: DataFrame, path: str) -> None:
+    """Append job rows (job_id, engine, pages, ...) as files to the folder that a job stream reads; a
+    job's time is the usual one for each of its pages, one at least."""
+    budget = F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)) * config.JOB_TIMEOUT_S
+    requests.withColumn("timeout_s", budget.cast("long")).write.mode("append").json(path)
+
+
 def webhook_payload(job_id: Column, status: Column, filename: Column, error: Column, result: Column | None = None) -> Column:
     """The delivery as JSON text; fields without a value are null. ``result`` is a struct, present
     for a job that ended well."""

@@ -118,12 +118,13 @@ def chunks(pages: DataFrame, cut: DataFrame, c: config.Preprocessing) -> DataFra
     return pages.join(cut, "doc_id").select("doc_id", "height", "width", "data", "tiles").mapInArrow(run, _CHUNK)
 
 
-def process(rasters: DataFrame, engine: str) -> DataFrame:
+def process(rasters: DataFrame, engine: str, preprocessing: config.Preprocessing | None = None, splitting: config.Splitting | None = None) -> DataFrame:
     """(doc_id, method, n_chunks, applied, merged, error) of each page; ``applied`` is the union of the
-    chunks' steps in pipeline order, after ``global_deskew`` if the page was turned."""
-    prepare_by = config.ENGINE_PREPROCESSING.get(engine, config.GLOBAL_PREPROCESSING)
+    chunks' steps in pipeline order, after ``global_deskew`` if the page was turned. Settings are those
+    given, else the engine's, else the global ones."""
+    prepare_by = preprocessing or config.ENGINE_PREPROCESSING.get(engine, config.GLOBAL_PREPROCESSING)
     pages = straightened(rasters, prepare_by)
-    cut = tiles(pages, config.ENGINE_SPLITTING.get(engine, config.GLOBAL_SPLITTING))
+    cut = tiles(pages, splitting or config.ENGINE_SPLITTING.get(engine, config.GLOBAL_SPLITTING))
     parts = chunks(pages, cut, prepare_by)
     used = parts.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.flatten(F.collect_set("applied")).alias("a"))  # a set of step lists, a few
     order = F.array(*[F.lit(s) for s in steps.ORDER])

@@ -411,3 +411,18 @@ def test_files_in_and_out(spark, tmp_path):
     docs = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"bad")), (3, None)], "doc_id long, content binary")
     told = {r["doc_id"]: (r["page_count"], r["title"], r["author"], r["error"]) for r in files.metadata(docs, read).collect()}
     assert told == {1: (3, "T", None, None), 2: (0, None, None, "no such format"), 3: (0, "T", None, None)}
+
+
+def test_engines_load_before_they_read():
+    e = engines.ENGINES.create("got")
+    with pytest.raises(RuntimeError, match="not loaded"):
+        e.read(b"x")
+    assert e.ready().read(b"x") == ("x", "$ x", 0.0) and e.ready() is e
+
+
+def test_enqueued_jobs_carry_their_time(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "qari", 3), (2, "got", None)], "job_id long, engine string, pages int")
+    jobs.enqueue(rows, str(tmp_path / "queue"))
+    jobs.enqueue(rows.limit(1), str(tmp_path / "queue"))
+    got = sorted((r["job_id"], r["timeout_s"]) for r in spark.read.json(str(tmp_path / "queue")).collect())
+    assert got == [(1, 3600), (1, 3600), (2, 1200)]
