@@ -356,6 +356,44 @@ def test_registered_language_query(spark, sf_dir):
     assert {r["declared_language"] for r in rows if r["page_id"] is not None} == {"en", "de", "fr", "es"}
 
 
+def plain_score(text, model):
+    """Forward-backward over both states of each word, one text at a time, then the document's logistic."""
+    words, field = re.findall(r"\w+", text), model["field"]
+    e = [math.exp(max(-30.0, min(30.0, float(np.float32(sum(field["weights"][i] for i in toxicity.features(w))))))) for w in words]
+    a = np.exp(field["transition"])
+    alpha, beta = [], [None] * len(words)
+    for t, x in enumerate(e):
+        v = np.array([1.0, math.exp(field["start"])]) if t == 0 else alpha[-1] @ a
+        v = v * np.array([1.0, x])
+        alpha.append(v / v.sum())
+    for t in range(len(words) - 1, -1, -1):
+        v = np.ones(2) if t == len(words) - 1 else a @ (np.array([1.0, e[t + 1]]) * beta[t + 1])
+        beta[t] = v / v.sum()
+    m = [(x * y)[1] / (x * y).sum() for x, y in zip(alpha, beta)]
+    features = (max(m), math.log1p(sum(m)), min(1.0, 10 * sum(m) / len(m))) if m else (0.0, 0.0, 0.0)
+    z = model["document"][0] + sum(w * f for w, f in zip(model["document"][1:], features))
+    return 1 / (1 + math.exp(-z)), sum(x >= 0.5 for x in m)
+
+
+def test_document_scores_by_plain_recursion(docs, labels):
+    model = toxicity.train(docs, labels)
+    some = docs.sort("doc_id").limit(40)
+    texts = {r["doc_id"]: r["text"] or "" for r in some.collect()}
+    for r in toxicity.score(some, model).collect():
+        p, n = plain_score(texts[r["doc_id"]], model)
+        assert abs(r["score"] - p) < 1e-6 and r["n_toxic"] == n
+
+
+def test_toxicity_with_repeated_keys(spark):
+    """One row of a key is learned from, its least text; of its labels the greatest holds."""
+    made = [(i, "plain words only here " * 4 + ("nasty vile " * 2 if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in made], "doc_id long, toxic int")
+    noisy = docs.unionByName(docs.select("doc_id", F.concat("text", F.lit("zzz")).alias("text"))).unionByName(docs)
+    a, b = toxicity.train(docs, labels), toxicity.train(noisy, labels.unionByName(labels.withColumn("toxic", F.lit(0))))
+    assert np.array_equal(a["field"]["weights"], b["field"]["weights"]) and np.array_equal(a["document"], b["document"])
+
+
 # --- 7 quality ----------------------------------------------------------------------------
 
 

@@ -3,13 +3,16 @@
 import os
 import random
 import time
+import zlib
 from collections import Counter, defaultdict
 from itertools import takewhile
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers as public
 import pytest
-from docsheaf.llm import near_dup, packing, pii, quality_rules
+from docsheaf.llm import lang_id, near_dup, packing, pii, quality_rules
+from tokenizers import Tokenizer
 
 
 def plain_distance(a, b):
@@ -214,7 +217,8 @@ def test_pipeline_stages(spark, docs, sf_dir, odd):
         after = {r["doc_id"]: r for r in now.collect()}
         assert now.columns == docs.columns and set(after) <= set(before), name
         if name == "language_id":
-            assert len(after) >= 0.98 * len(before)
+            verdicts = {r["doc_id"]: r["kept"] for r in lang_id.identify(docs, lang_id.train(docs)).collect()}
+            assert len(after) >= 0.98 * len(before) and set(after) == {k for k, kept in verdicts.items() if kept}
         if name == "quality_rules":
             for k, r in before.items():
                 n, _, _, _, repeat = quality_rules.text_stats(r["text"])[:5]
@@ -230,6 +234,16 @@ def test_pipeline_stages(spark, docs, sf_dir, odd):
                 assert (r["text"] == before[k]["text"]) if not found else ("<" in r["text"] and r["n_chars"] == len(r["text"]))
                 assert not [e for e in pii.entities(r["text"])]
     last = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
+    coder = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    pieces = defaultdict(list)
+    for r in last.collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for r in now.collect():  # every id of every text lies in exactly one piece
+        ids, at = np.array([*coder.encode(r["text"], add_special_tokens=False).ids, packing.END_ID], "<u4"), 0
+        for start, length, crc, total in sorted(pieces[r["doc_id"]]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in now.collect()}
     assert max(r["s"] for r in last.groupBy("sequence_id").agg({"length": "sum"}).toDF("id", "s").collect()) <= packing.WINDOW
     for _, stage in corpus_pipeline.STAGES:
