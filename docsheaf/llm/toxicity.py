@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import drop, id_type, map_batches, map_small, table
 
-MAX_LABELLED, LEAST_ODDS, SUPPORT, WIDTH, SPAN = 6_000, 2.0, 4, 1 << 16, 24
+MAX_LABELLED, LEAST_ODDS, SUPPORT, WIDTH, SPAN, LONG = 6_000, 2.0, 4, 1 << 16, 24, 20_000
 _TOKEN = re.compile(r"\w+")
 
 
@@ -49,16 +49,51 @@ def features(word: str, width: int = WIDTH) -> tuple[int, int, int]:
     return h(f"w{w}".encode("utf-8", "surrogatepass")) % width, h(f"p{w[:4]}".encode("utf-8", "surrogatepass")) % width, h(f"s{w[-4:]}".encode("utf-8", "surrogatepass")) % width
 
 
+def _chain(steps: np.ndarray, first: float) -> np.ndarray:
+    """Ratios r(t) = (m00 r(t-1) + m01) / (m10 r(t-1) + m11) of 2 x 2 ``steps`` from ``first`` on. Blocks
+    of about the root of their number: all blocks' products at once, then their starts, then all
+    blocks' ratios at once."""
+    n = len(steps)
+    width = math.isqrt(n) + 1
+    m = np.concatenate([steps, np.broadcast_to(np.eye(2), (-n % width, 2, 2))]).reshape(-1, width, 2, 2)
+    whole = np.broadcast_to(np.eye(2), (len(m), 2, 2))
+    for t in range(width):
+        whole = m[:, t] @ whole
+        whole = whole / whole.max(axis=(1, 2), keepdims=True)
+    start, r = np.empty(len(m)), first
+    for i, w in enumerate(whole):
+        start[i], r = r, (w[0, 0] * r + w[0, 1]) / (w[1, 0] * r + w[1, 1])
+    out, r = np.empty((len(m), width)), start
+    for t in range(width):
+        x = m[:, t]
+        r = out[:, t] = (x[:, 0, 0] * r + x[:, 0, 1]) / (x[:, 1, 0] * r + x[:, 1, 1])
+    return out.ravel()[:n]
+
+
+def _steps(left: np.ndarray, right: np.ndarray, low_left: np.ndarray, low_right: np.ndarray) -> np.ndarray:
+    out = np.empty((max(len(left), len(low_left)), 2, 2))
+    out[:, 0, 0], out[:, 0, 1], out[:, 1, 0], out[:, 1, 1] = left, right, low_left, low_right
+    return out
+
+
 def _messages(emission: np.ndarray, lengths: np.ndarray, field: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Emission odds, forward and backward ratios of every token of concatenated sequences; one
-    step of a recursion serves all sequences."""
+    step of a recursion serves all sequences but those over ``LONG``, which go in blocks."""
     total = int(lengths.sum())
     a = np.exp(field["transition"])
     e = np.exp(np.clip(emission, -30, 30))
+    forward, backward = np.empty(total), np.empty(total)
+    begins = np.cumsum(lengths) - lengths
+    for i in np.flatnonzero(lengths > LONG):
+        at = slice(begins[i], begins[i] + lengths[i])
+        x, back = e[at], e[at][:0:-1]
+        first, one = x[0] * math.exp(field["start"]), np.ones(len(back))
+        forward[at] = np.concatenate([[first], _chain(_steps(x[1:] * a[1, 1], x[1:] * a[0, 1], one * a[1, 0], one * a[0, 0]), first)])
+        backward[at] = np.concatenate([[1.0], _chain(_steps(back * a[1, 1], one * a[1, 0], back * a[0, 1], one * a[0, 0]), 1.0)])[::-1]
+    lengths = np.where(lengths > LONG, 0, lengths)
     order = np.argsort(-lengths, kind="stable")
-    start = (np.cumsum(lengths) - lengths)[order]
+    start = begins[order]
     size = lengths[order]
-    forward, backward = np.empty(total), np.empty(total)
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(longest), "left")  # sequences longer than t
     r = np.zeros(0)

@@ -109,6 +109,18 @@ def test_marginals_by_enumeration():
         at += n
 
 
+def test_long_sequences_in_blocks(monkeypatch):
+    """Blocks give the ratios of the plain recursion."""
+    rng = np.random.default_rng(6)
+    field = {"transition": rng.normal(size=(2, 2)), "start": -0.4}
+    lengths = np.array([700, 3, 0, 1201, 5])
+    e = rng.normal(size=lengths.sum()) * 3
+    want = toxicity._messages(e, lengths, field)
+    monkeypatch.setattr(toxicity, "LONG", 2)
+    for x, y in zip(toxicity._messages(e, lengths, field), want):
+        assert np.allclose(x, y, rtol=1e-9)
+
+
 def test_field_gradient():
     """The pair marginals are those of the enumeration, so gold minus them is the gradient."""
     rng = np.random.default_rng(2)
