@@ -125,15 +125,21 @@ def secret_spans(text: Column, classes: dict = CLASSES, allow: tuple = ALLOW, wi
             found = F.filter(found, lambda m: F.char_length(F.regexp_extract(m["value"], ASSIGN, 1)) >= 6)
         parts.append(F.when(text.rlike(pattern), _spans(found, kind, rank)).otherwise(none))
     allowed = "|".join(f"(?:{a})" for a in allow)
-    for rank, (kind, (shape, least)) in enumerate(classes.items(), len(BASE)):
-        # only strings of this class are candidates, so a text without one costs one search
-        fits = F.filter(_located(text, CANDIDATE), lambda m: m["value"].rlike(shape) & ~(m["value"].rlike(allowed) if allow else F.lit(False)))
-        hot = F.transform(fits, lambda m: F.struct(m["first"].alias("at"), _windows(m["value"], least, width).alias("w")))
-        spans = F.transform(
-            F.filter(hot, lambda h: h["w"]["first"] > 0),
-            lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (h["at"] + h["w"]["first"] - 1).alias("first"), (h["at"] + h["w"]["last"]).alias("last")),
-        )
-        parts.append(F.when(text.rlike(CANDIDATE), spans).otherwise(none))
+
+    def classed(candidates):
+        out = [none]
+        free = F.filter(candidates, lambda m: ~m["value"].rlike(allowed)) if allow else candidates
+        for rank, (kind, (shape, least)) in enumerate(classes.items(), len(BASE)):
+            fits = F.filter(free, lambda m: m["value"].rlike(shape))  # noqa: B023  built at once
+            hot = F.transform(fits, lambda m: F.struct(m["first"].alias("at"), _windows(m["value"], least, width).alias("w")))  # noqa: B023
+            spans = F.transform(
+                F.filter(hot, lambda h: h["w"]["first"] > 0),
+                lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (h["at"] + h["w"]["first"] - 1).alias("first"), (h["at"] + h["w"]["last"]).alias("last")),  # noqa: B023
+            )
+            out.append(spans)
+        return F.concat(*out)
+
+    parts.append(F.when(text.rlike(CANDIDATE), let(_located(text, CANDIDATE), classed)).otherwise(none))
     order = lambda a, b: F.when(a["first"] != b["first"], F.signum(a["first"] - b["first"]).cast("int")).otherwise(a["rank"] - b["rank"])
     return F.array_sort(F.concat(*parts), order)
 
