@@ -605,3 +605,11 @@ def test_codec_columns(odd, empty):
 def test_parity_of_every_row(spark, docs, sf_dir):
     rows = queries.op9_sentencepiece(spark, sf_dir).select("parity").collect()
     assert len(rows) == docs.count() and all(r["parity"] is True for r in rows)
+
+
+def test_both_decoders_agree(docs, odd):
+    path = public.path("piece_bpe_32k.model")
+    coder = sp_codec.load(path)
+    texts = [r[0] or "" for r in docs.select("text").limit(80).union(odd.select("text")).collect()] + [" two  spaces ", "▁mark", "日本語 ☃ \u0378", "a\nb\tc", "<s> </s> <unk> <0x41>", "  "]
+    ids = [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)] + [[], [0, 1, 2], [1, 300, 2], [3, 300, 200, 201], [29871], [29871, 29871]]
+    assert sp_codec.decoder(path, coder)(ids) == coder.decode_batch(ids, skip_special_tokens=False)
