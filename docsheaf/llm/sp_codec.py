@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from array import array
+from functools import lru_cache
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -115,27 +116,44 @@ def build(model: dict):
     return out
 
 
+def _stamp(path: str) -> tuple:
+    found = os.stat(path)
+    return path, found.st_mtime_ns, found.st_size
+
+
+@lru_cache(maxsize=2)
+def _parsed(stamp: tuple) -> dict:
+    with open(stamp[0], "rb") as f:
+        return parse_model(f.read())
+
+
+@lru_cache(maxsize=2)
+def _built(stamp: tuple):
+    return build(_parsed(stamp))
+
+
 def load(path: str):
-    with open(path, "rb") as f:
-        return build(parse_model(f.read()))
+    """The tokenizer of a model file; tasks of one worker share it."""
+    return _built(_stamp(path))
 
 
 def decoder(path: str, coder):
-    """lists of ids -> texts: pieces joined, marks read as spaces, the dummy space gone. Texts with an
-    unknown, control or byte piece go through the library's decoder; both give the same (tests)."""
-    with open(path, "rb") as f:
-        model = parse_model(f.read())
-    plain = [p if kind in (NORMAL, USER, UNUSED) else None for p, _, kind in model["pieces"]]
+    """lists of ids -> texts: the bytes of all pieces joined, marks read as spaces, the dummy space gone.
+    A piece of text is whole characters, so the joined bytes are UTF-8 if and only if each run of byte
+    pieces is. Texts where one is not, or with an unknown, control or empty piece, go through the
+    library's decoder; both give the same (tests)."""
+    model = _parsed(_stamp(path))
+    plain = [p.replace(MARK, " ").encode() or None if kind in (NORMAL, USER, UNUSED) else bytes.fromhex(p[3:5]) if kind == BYTE else None for p, _, kind in model["pieces"]]
 
     def decode(batch: list) -> list[str]:
         out, hard = [], []
         for i, ids in enumerate(batch):
-            parts = [plain[x] for x in ids]
-            if None in parts:
+            try:
+                text = b"".join([plain[x] for x in ids]).decode()
+            except (TypeError, UnicodeDecodeError):  # TypeError: a piece that has no bytes
                 hard.append(i)
                 out.append("")
                 continue
-            text = "".join(parts).replace(MARK, " ")
             out.append(text[1:] if model["dummy_prefix"] and text[:1] == " " else text)
         if hard:
             for i, text in zip(hard, coder.decode_batch([batch[i] for i in hard], skip_special_tokens=False)):

@@ -613,3 +613,15 @@ def test_both_decoders_agree(docs, odd):
     texts = [r[0] or "" for r in docs.select("text").limit(80).union(odd.select("text")).collect()] + [" two  spaces ", "▁mark", "日本語 ☃ \u0378", "a\nb\tc", "<s> </s> <unk> <0x41>", "  "]
     ids = [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)] + [[], [0, 1, 2], [1, 300, 2], [3, 300, 200, 201], [29871], [29871, 29871]]
     assert sp_codec.decoder(path, coder)(ids) == coder.decode_batch(ids, skip_special_tokens=False)
+
+
+def test_byte_pieces_need_no_library(docs, odd):
+    """Line ends and rare characters are byte pieces in most texts; broken runs of them are the library's."""
+    path = public.path("piece_bpe_32k.model")
+    coder = sp_codec.load(path)
+    assert sp_codec.load(path) is coder
+    texts = [r[0] or "" for r in docs.select("text").limit(80).union(odd.select("text")).collect()] + ["a\nb\tc", "☃\n\u0378 🎉🎉", "\n"]
+    ids = [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)]
+    assert sp_codec.decoder(path, None)(ids) == texts
+    broken = [[3 + 0xE2, 3 + 0x96], [3 + 0x0A, 3 + 0xE2, 300], [3 + 0x20, 3 + 0xE2, 3 + 0x96, 3 + 0x81], [300, 3 + 0xFF, 3 + 0x41, 301], [3 + 0xED, 3 + 0xA0, 3 + 0x80], [3 + 0xC0, 3 + 0x80]]
+    assert sp_codec.decoder(path, coder)(broken) == coder.decode_batch(broken, skip_special_tokens=False)
