@@ -360,6 +360,92 @@ def test_page_pipeline(spark, engine, monkeypatch):
     assert all("binarization" in a for _, _, a, _ in got.values()) and any("global_deskew" in a for _, _, a, _ in got.values())
 
 
+def test_a_page_is_read_once(spark):
+    df = spark.createDataFrame([(1, 48, 64, 1, bytearray(b"x" * 48 * 64))], "doc_id long, height int, width int, channels int, data binary")
+    for engine in ("qari", "got", "deepseek"):
+        plan = pages.process(df, engine)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan, engine
+
+
+def test_a_failed_chunk_is_named():
+    class Broken(engines.Engine):
+        name = "broken"
+
+        def extract(self, data):
+            if data[0] == 7:
+                raise ValueError("unreadable")
+            return "text", "text", 0.0
+
+    c, plain = config.GLOBAL_SPLITTING, config.Preprocessing(enabled=False)
+    x = np.zeros((20, 10), np.uint8)
+    x[10:] = 7
+    places = [(0, 0, 0, 0, 10, 10), (1, 0, 0, 10, 10, 10)]
+    assert pages.page_text(x, places, plain, Broken().ready()) == (None, "chunk 1: unreadable", set())
+    assert pages.page_text(x[:10], places[:1], plain, Broken().ready()) == ("text", None, set())
+    assert pages.cut(x, c) == ("none", [(0, 0, 0, 0, 10, 20)])
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_cuts_as_the_column_operators(spark, wide):
+    """Gaps, grids, split lines and tiles of a page in hand are those of the columns."""
+    c = config.Splitting(max_megapixels=0.02, max_dimension=120, target_chunk_size=100, min_chunk_size=25, overlap_percent=0.3, prefer_horizontal_splits=wide)
+    rng = np.random.default_rng(5)
+    inks = [np.repeat(rng.integers(0, 3, 40) * rng.integers(0, 20, 40), rng.integers(1, 16, 40)) for _ in range(30)] + [np.zeros(90, int), np.full(200, 3)]
+    sizes = [(len(x), int(rng.integers(40, 500))) for x in inks]
+    rows = spark.createDataFrame([(i, y, int(v)) for i, x in enumerate(inks) for y, v in enumerate(x)], "doc_id long, y long, ink long")
+    found = profile.gaps(profile.runs(profile.smoothed(rows), 0.05), 3).groupBy("doc_id").agg(F.array_sort(F.collect_list("center")).alias("g"))
+    want = {r["doc_id"]: r["g"] for r in found.collect()}
+    got = {i: pages.gaps(x, 0.05, 3) for i, x in enumerate(inks)}
+    assert got == {i: want.get(i, []) for i in got} and sum(map(len, got.values())) > 60
+    n_rows, n_cols = geometry.grid_size(F.col("width"), F.col("height"), c.target_chunk_size, c.max_dimension, c.max_megapixels, F.lit(wide))
+    df = spark.createDataFrame([(i, h, w, got[i]) for i, (h, w) in enumerate(sizes)], "doc_id long, height long, width long, g array<long>").withColumns({"rows": n_rows, "cols": n_cols})
+    split = profile.by_min_size(profile.select_nearest(F.col("g"), F.col("height"), F.col("rows") - 1), F.col("height"), c.min_chunk_size)
+    for r in df.withColumn("s", split).collect():
+        assert pages.grid(r["height"], r["width"], c) == (r["rows"], r["cols"])
+        assert pages.splits(r["g"], r["height"], r["rows"] - 1, c.min_chunk_size) == r["s"]
+    by_page = {}
+    for r in geometry.overlapping_tiles(df, c.overlap_percent).orderBy("doc_id", "index").collect():
+        by_page.setdefault(r["doc_id"], []).append(tuple(r[n] for n in ("row", "col", "x_offset", "y_offset", "w", "h")))
+    assert by_page == {i: pages.tiles(h, w, *pages.grid(h, w, c), c.overlap_percent) for i, (h, w) in enumerate(sizes)}
+
+
+def plain_skew(g):
+    ys, xs = np.nonzero(kernels.edges(g))
+    found = []
+    for k in range(180):
+        t = np.deg2rad(k)
+        d = np.rint(xs * np.cos(t) + ys * np.sin(t)).astype(int)
+        found += [(-int(n), k) for n in np.unique(d, return_counts=True)[1] if n > 100]
+    angles = [k - 90.0 for _, k in sorted(found)[:50] if 45 < k < 135]
+    return float(np.median(angles)) if angles else 0.0
+
+
+def test_skew_and_its_bound(monkeypatch):
+    rng = np.random.default_rng(11)
+    found = []
+    for i in range(24):
+        g = np.repeat(np.repeat(rng.integers(0, 2, (20, 1)) * 200 + 30, 8, 0), int(rng.integers(66, 240)), 1).astype(np.uint8)
+        g = kernels.rotate(g, float(rng.uniform(-50, 50)) if i % 3 else 0.0)
+        found.append(kernels.skew_angle(g))
+        assert found[-1] == plain_skew(g)
+    assert sum(x != 0 for x in found) > 5
+    for w in (1, 2, 30, 64, 71, 140):  # no line on a page of nothing but edges has more pixels
+        ys, xs = (v.ravel() for v in np.mgrid[: 2 * w + 9, :w])
+        lines = [np.bincount(d - d.min()).max() for d in (np.rint(xs * np.cos(t) + ys * np.sin(t)).astype(int) for t in np.deg2rad(range(46, 135)))]
+        assert max(lines) <= kernels.longest_line(w) <= max(lines) + 2
+    monkeypatch.setattr(kernels, "edges", None)  # a page too narrow for 100 votes needs no edges
+    assert kernels.skew_angle(rng.integers(0, 256, (400, 64)).astype(np.uint8)) == 0.0
+
+
+def test_noise_level_by_definition():
+    rng = np.random.default_rng(12)
+    for h, w in ((1, 1), (2, 9), (5, 4), (48, 64), (33, 7)):
+        g = rng.integers(90, 90 + 30 * h, (h, w)).clip(0, 255).astype(np.uint8)
+        p = kernels._padded(g.astype(float), 2)
+        boxes = [p[y : y + 5, x : x + 5].std() for y in range(h) for x in range(w)]
+        assert kernels.noise_level(g) == pytest.approx(min(1.0, np.median(boxes) / 50), abs=1e-9)
+
+
 def test_settings_from_the_environment(spark):
     env = config.dotenv("# limits\nSPLITTING_MAX_MEGAPIXELS=3.5\nexport SPLITTING_ENABLED='no'\n\nOTHER=1\nbroken")
     found = config.loaded(config.Splitting, "SPLITTING", env=env)
