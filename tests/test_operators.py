@@ -1,12 +1,16 @@
 """Edges of single operators, held against plain Python written from their definitions."""
 
 import math
+import os
+import subprocess
+import sys
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docsheaf import config
@@ -362,11 +366,24 @@ def test_page_pipeline(spark, engine, monkeypatch):
 
 def test_a_page_is_read_once(spark):
     df = spark.createDataFrame([(1, 48, 64, 1, bytearray(b"x" * 48 * 64))], "doc_id long, height int, width int, channels int, data binary")
+    ids = [r[0] for r in pages.process(df.union(df).union(df.selectExpr("null", "height", "width", "channels", "data")), "qari").select("doc_id").collect()]
+    assert sorted(ids, key=str) == [1, 1, None]  # each page has its row
     for engine in ("qari", "got", "deepseek"):
         plan = pages.process(df, engine)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan, engine
 
 
+def test_pages_after_a_used_function(spark, tmp_path):
+    """Functions go to executors by value: without those of the driver that hold its JVM, and without the package."""
+    spark.createDataFrame([("a b c", "a b c")], "a string, b string").select(merge.fuzzy_overlap("a", "b")).collect()
+    df = spark.createDataFrame([(1, 48, 64, 1, bytearray(b"x" * 48 * 64))], "doc_id long, height int, width int, channels int, data binary")
+    assert pages.process(df, "qari").count() == 1
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((kernels.skew_angle, pages.cut, config.GLOBAL_SPLITTING)))
+    code = "import pickle, numpy as np; f, cut, c = pickle.load(open('f', 'rb')); x = np.full((9, 150), 7, np.uint8); print(f(x), cut(x, c)[0])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True).stdout.split() == ["0.0", "none"]
+
+
 def test_a_failed_chunk_is_named():
     class Broken(engines.Engine):
         name = "broken"
